@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk: int
         texts = part.column("text")
         return {
             "doc_id": part.column("doc_id"),
-            "n_bytes": pa.compute.cast(pa.compute.binary_length(texts), pa.int64()),
+            "n_bytes": pc.cast(pc.binary_length(texts), pa.int64()),
             "n_tokens": piece_counter(model_path).count(texts.to_pylist(), chunk, overlap),
         }
 
