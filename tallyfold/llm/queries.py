@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, ngram_join, token_counts, token_files
+from . import line_crf, mixing, ngram_join, packing, suffix_dedup, token_counts, token_files
 from .common import read_table
 
 #: Folder of the public tokenizer files; None: the installed ``public_tokenizers`` package.
@@ -21,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
@@ -29,6 +34,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     field = line_crf.train(docs, read_table(spark, sf_dir, "labels"))
@@ -43,8 +57,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
