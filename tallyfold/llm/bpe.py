@@ -16,12 +16,16 @@ import numpy as np
 
 #: White space as the library's pattern classes define it (Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
+#: Letters of one alphabet, and the marks that never belong to the same pre-token as a letter before them.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:"
+_WORD = f"[{_LETTERS}]+(?=[{_MARKS}{_WS}]|$)"
 #: Byte-level files: a space belongs to the word after it; a longer run leaves only its last character.
-_SPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_SPACED = re.compile(f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: Files that drop white space.
-_BARE = re.compile(f"[^{_WS}]+")
+_BARE = re.compile(f"{_WORD}|[^{_WS}]+")
 
-MEMO_UNITS = 700_000
+#: Units of one generation of the memo; the generation before is kept beside it.
+MEMO_UNITS = 600_000
 MEMO_UNIT_CHARS = 64
 JOINED = 2000
 
@@ -45,6 +49,7 @@ class Encoder:
         self.mark_id = self.tok.token_to_id(self.mark)
         self.vocab = self.tok.get_vocab_size()
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,39 +71,30 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split, memo = {}, self.memo
+        split = {}
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):  # cut out before units are formed
                 out[i] = self._whole([text])[0]
             else:
                 split[i] = self.units(text)
-        new = list({u for units in split.values() for u in units}.difference(memo))
-        if len(memo) + len(new) > MEMO_UNITS:
-            memo.clear()
-            new = list({u for units in split.values() for u in units})
-        found = self._learn(new)
-        look = memo
-        if any(len(u) > MEMO_UNIT_CHARS for u in found):  # long units are used, but not kept
-            memo.update((u, b) for u, b in found.items() if len(u) <= MEMO_UNIT_CHARS)
-            look = _Both(found, memo)
-        else:
-            memo.update(found)
+        if len(self.memo) > MEMO_UNITS:  # what is used again moves on to the next generation
+            self.before, self.memo = self.memo, {}
+        memo, before = self.memo, self.before
+        new = []
+        for u in set().union(*split.values()).difference(memo):
+            if u in before:
+                memo[u] = before[u]
+            else:
+                new.append(u)
+        memo.update(self._learn(new))
         for i, units in split.items():
-            out[i] = b"".join(map(look.__getitem__, units))
+            out[i] = b"".join(map(memo.__getitem__, units))
+        for u in new:  # long units are used, but not kept
+            if len(u) > MEMO_UNIT_CHARS:
+                del memo[u]
         return out
 
 
-class _Both(dict):
-    """Entries of one call, then the memo."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key):
-        return self.then[key]
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
     if path not in _open:

@@ -43,19 +43,20 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer_path)
         top = max(enc.vocab, end_id + 1)
         dtype = "<u2" if top <= 1 << 16 else "<u4"
+        end = np.array([end_id], "<u4").tobytes()
         often = np.zeros(top, "i8")
         spread = mix(np.arange(top, dtype=np.uint64)) >> np.uint64(1)
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
                 raws, keys, sizes = [], [], []
                 for raw in enc.ids(part.column("text").to_pylist()):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                    ids = np.frombuffer(raw + end, "<u4").astype(dtype)
                     own = np.unique(ids)
                     often[own] += 1
                     rare = own[own >= FREQUENT_IDS]
                     keys.append(int(spread[rare if len(rare) else own].min()))
                     sizes.append(len(ids))
-                    raws.append(ids.astype(dtype).tobytes())
+                    raws.append(ids.tobytes())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"), "n": pa.array(sizes, pa.int64()), "near": pa.array(keys, pa.int64()),

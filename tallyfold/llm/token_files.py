@@ -57,6 +57,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         dtype = "<u2" if max(enc.vocab, end_id + 1) <= 1 << 16 else "<u4"
         fs, root = _fs(folder)
         fs.create_dir(root, recursive=True)
+        end = np.array([end_id], "<u4").tobytes()
         out, shard, at, offsets, ids_, known = None, None, 0, [], [], []
         own = uuid.uuid4().hex
         for batch in batches:
@@ -67,11 +68,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 docs_ = part.column("doc_id")
                 known.append(np.asarray(docs_.is_valid()).astype("u1"))
                 ids_.append(docs_.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                for raw in enc.ids(part.column("text").to_pylist()):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(dtype)
-                    out.write(ids.tobytes())
+                raws = enc.ids(part.column("text").to_pylist())
+                out.write(np.frombuffer(end.join([*raws, b""]), "<u4").astype(dtype).tobytes())
+                for raw in raws:
                     offsets.append(at)
-                    at += len(ids)
+                    at += len(raw) // 4 + 1
         if out is None:
             return
         out.close()
