@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_crf, mixing, ngram_join, packing, spotsigs, suffix_dedup, token_counts, token_files
+from . import html_extract, line_crf, mixing, ngram_join, packing, spotsigs, suffix_dedup, token_counts, token_files
 from .common import read_table
 
 #: Folder of the public tokenizer files; None: the installed ``public_tokenizers`` package.
@@ -26,6 +26,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op2_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_wrapper_extract": op2_wrapper_extract,
     "op3_spotsigs": op3_spotsigs,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
