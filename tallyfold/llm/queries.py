@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_crf, mixing, ngram_join, packing, spotsigs, suffix_dedup, token_counts, token_files
+from . import (
+    html_extract,
+    license_scan,
+    line_crf,
+    mixing,
+    ngram_join,
+    packing,
+    spotsigs,
+    suffix_dedup,
+    token_counts,
+    token_files,
+)
 from .common import read_table
 
 #: Folder of the public tokenizer files; None: the installed ``public_tokenizers`` package.
@@ -42,6 +53,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs, length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -70,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_spotsigs": op3_spotsigs,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
