@@ -1 +1 @@
-
+"""Operators on frames."""
