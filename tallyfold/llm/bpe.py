@@ -2,8 +2,8 @@
 
 The pre-tokenizers of the files in use never join anything across a boundary between two units, so
 a text's ids are its units' ids one after the other.  Units are encoded by the library itself, each
-new one once per worker; the units of one call are joined by a special token, which the library
-always cuts out before anything else looks at the text.
+new one once per worker: plain words by its model alone, which is what its normalizer and
+pre-tokenizer make of them, and everything else by the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -11,23 +11,52 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: White space as the library's pattern classes define it (Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Letters of one alphabet, and the marks that never belong to the same pre-token as a letter before them.
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:"
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,!?;:#*$%&|()\[\]{}<>/\"+="
 _WORD = f"[{_LETTERS}]+(?=[{_MARKS}{_WS}]|$)"
 #: Byte-level files: a space belongs to the word after it; a longer run leaves only its last character.
 _SPACED = re.compile(f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: Files that drop white space.
 _BARE = re.compile(f"{_WORD}|[^{_WS}]+")
 
+_PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
+
 #: Units of one generation of the memo; the generation before is kept beside it.
-MEMO_UNITS = 600_000
+MEMO_UNITS = 300_000
 MEMO_UNIT_CHARS = 64
-JOINED = 2000
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the character that byte-level models have for it: itself where it can be seen, and the
+    characters from U+0100 on for all others, in the order of bytes."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
+
+
+class _Memo(dict):
+    """Unit -> ids as bytes; units that aren't there are encoded."""
+
+    def __init__(self, encode, before: dict):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.before.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
+        if len(unit) <= MEMO_UNIT_CHARS:  # longer units are used, but not kept
+            self[unit] = ids
+        return ids
+
 
 _open: dict[str, Encoder] = {}
 
@@ -45,54 +74,27 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.bare = spec["normalizer"] is not None
         self.units = (_BARE if self.bare else _SPACED).findall
-        self.mark = self.special[0]
-        self.mark_id = self.tok.token_to_id(self.mark)
         self.vocab = self.tok.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.pieces = self.tok.model.tokenize
+        self.memo = _Memo(self._unit, {})
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        found = {}
-        for j in range(0, len(new), JOINED):
-            part = new[j : j + JOINED]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(part) - 1:  # not expected; the library decides, unit by unit
-                found.update(zip(part, self._whole(part), strict=True))
-                continue
-            raw, start = ids.tobytes(), 0
-            for unit, end in zip(part, [*(at * 4).tolist(), len(raw)], strict=True):
-                found[unit] = raw[start:end]
-                start = end + 4
-        return found
+    def _unit(self, unit: str) -> bytes:
+        if not _PLAIN(unit):
+            return self._whole([unit])[0]
+        letters = (unit.lower() if self.bare else unit).encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.pieces(letters)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = {}
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):  # cut out before units are formed
-                out[i] = self._whole([text])[0]
-            else:
-                split[i] = self.units(text)
         if len(self.memo) > MEMO_UNITS:  # what is used again moves on to the next generation
-            self.before, self.memo = self.memo, {}
-        memo, before = self.memo, self.before
-        new = []
-        for u in set().union(*split.values()).difference(memo):
-            if u in before:
-                memo[u] = before[u]
-            else:
-                new.append(u)
-        memo.update(self._learn(new))
-        for i, units in split.items():
-            out[i] = b"".join(map(memo.__getitem__, units))
-        for u in new:  # long units are used, but not kept
-            if len(u) > MEMO_UNIT_CHARS:
-                del memo[u]
-        return out
+            old = self.memo
+            old.before = {}
+            self.memo = _Memo(self._unit, old)
+        look, units = self.memo.__getitem__, self.units
+        # special strings are cut out before units are formed
+        return [self._whole([t])[0] if any(s in t for s in self.special) else b"".join(map(look, units(t))) for t in texts]
 
 
 def encoder(path: str) -> Encoder:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one step of a Python kernel holds at a time (a single longer text comes alone).
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

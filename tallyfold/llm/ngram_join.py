@@ -33,7 +33,7 @@ from .components import Forest, components
 from .words import Words, distinct_per_text, mix, utf8
 
 #: Elements that one task settles at a time.
-WINDOW = 3_000_000
+WINDOW = 2_000_000
 #: Bounds of a block: sets and elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Sets of which the broadcast of ids is allowed; beyond it ids are joined by shuffles.

@@ -33,11 +33,11 @@ from .words import mix, utf8
 LENGTH = 200
 Q = 32
 #: Runs that a task settles at a time, and bytes of contexts that one refinement holds.
-SETTLE_RUNS, REFINE_BYTES = 400_000, 3_000_000
+SETTLE_RUNS, REFINE_BYTES = 400_000, 1_500_000
 #: Contexts of one anchor beyond which windows are counted by a shuffle instead of in one task.
 HOT_CONTEXTS = 20_000
 #: Bytes of a huge text that are looked at together.
-PIECE = 8_000_000
+PIECE = 1_000_000
 
 _U = np.uint64
 _BYTE = mix(np.arange(256, dtype=np.uint64) + _U(0x1000))
