@@ -82,7 +82,7 @@ def check_template(grid: DataFrame, template: DataFrame) -> None:
 
 
 def alignment(labels: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
-    """Matched, missing and extra keys, one row per value of the first keys but the last two."""
+    """Matched, missing and extra keys; rows are grouped by all keys but the last two."""
     by = keys[:-2]
     left = labels.select(*keys, F.lit(1).alias("_l"))
     right = predictions.select(*keys, F.lit(1).alias("_r"))
@@ -97,8 +97,8 @@ def check_alignment(labels: DataFrame, predictions: DataFrame, keys: list[str])
     for name, df in (("labels", labels), ("predictions", predictions)):
         if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
             raise CardinalityError(f"{name}: {keys} isn't unique")
-    r = alignment(labels.withColumn("_all", F.lit(0)), predictions.withColumn("_all", F.lit(0)), ["_all", *keys]).agg(
-        F.sum("missing").alias("missing"), F.sum("extra").alias("extra")
-    ).first() if len(keys) == 2 else alignment(labels, predictions, keys).agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra")).first()
+    whole = ["_all", *keys]
+    found = alignment(labels.withColumn("_all", F.lit(0)), predictions.withColumn("_all", F.lit(0)), whole)
+    r = found.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra")).first()
     if r.missing or r.extra:
         raise GuardError(f"labels and predictions differ: missing={r.missing} extra={r.extra}")
