@@ -35,6 +35,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default, which is meant for narrow rows.
+BATCH_ROWS = 1000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Batches of texts of a few megabytes; a number that the session has set itself stays."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written once to the shared folder, which cut lineage and outlive lost executors.
 
@@ -45,6 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        narrow_batches(spark)
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         self._at: dict[int, str] = {}
@@ -96,6 +108,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that the JVM can take one by one."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def by_slices(
     column: str, schema: pa.Schema, kernel: Callable[[pa.RecordBatch], dict | None], most: int = STEP_BYTES
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -5,7 +5,7 @@ marks it as content or boilerplate, and the content's share of the text's charac
 whether the document stays.  Two plain rules on words come first (``base_failed``).
 
 The field is fitted on the driver on a bounded sample of labelled documents: ``TRAIN_DOCS`` per
-class, the first ``TRAIN_LINES`` lines of each.  Lines of good documents are content; lines of bad
+class, the first ``TRAIN_LINES`` lines of each, ``TRAIN_CHARS`` characters at most.  Lines of good documents are content; lines of bad
 ones start as boilerplate and are relabelled once by the first fit.
 """
 
@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, text_or_empty
+from .common import by_slices, narrow_batches, text_or_empty
 from .words import Words, code_points_before, mix, utf8
 
 TRAIN_DOCS = 600
 TRAIN_LINES = 60
+TRAIN_CHARS = 20_000
 #: Least share of characters in content lines.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
@@ -243,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, lines
     picked = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # at most 2 * per_class rows of two numbers: a proven bound
     sample = F.broadcast(picked[0].unionByName(picked[1]))
-    head = F.array_join(F.slice(F.split(text_or_empty(), "\n"), 1, lines), "\n").alias("text")
+    head = F.substring(F.array_join(F.slice(F.split(text_or_empty(), "\n"), 1, lines), "\n"), 1, TRAIN_CHARS).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), head).join(sample, "doc_id").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     if len({r.quality for r in rows}) < 2:
@@ -263,6 +264,7 @@ def quality(docs: DataFrame, field: Field | None, content_share: float = CONTENT
     Repeated rows and ties are judged alike; columns of ``docs`` with one of the added names are
     replaced; without a field (no labels) every line counts as content.
     """
+    narrow_batches(docs.sparkSession)
     added = [
         pa.field(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     ] + [pa.field("content_share", pa.float64())]

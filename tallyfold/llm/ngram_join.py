@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Scratch, slices, text_or_empty
+from .common import STEP_BYTES, Scratch, pieces, slices, text_or_empty
 from .components import Forest, components
 from .words import Words, distinct_per_text, mix, utf8
 
 #: Elements that one task settles at a time.
 WINDOW = 2_000_000
+#: Elements of one row of a written window.
+LIST_ITEMS = 20_000
 #: Bounds of a block: sets and elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Sets of which the broadcast of ids is allowed; beyond it ids are joined by shuffles.
@@ -176,20 +178,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         window = _Window()
         seen: set[tuple[int, int]] = set()
 
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("row", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-            + [(c, pa.list_(pa.int64())) for c in ("elements", "owners", "sets", "shared")]
-        )
-        empty = pa.array([], pa.int64())
-
-        def wide(doc_id, row, uid, n, s1, s2, lists):
-            m = len(uid)
-            cols = [doc_id, row, uid, pa.array(n), pa.array(s1), pa.array(s2)]
-            for values in lists:
-                counts = np.zeros(m, "i4")
-                counts[:1] = len(values)
-                cols.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype("i4"), values.cast(pa.int64())))
-            return pa.RecordBatch.from_arrays(cols, schema=schema)
+        names = ["doc_id", "row", "uid", "n", "s1", "s2", "elements", "owners", "sets", "shared"]
+        long, many = pa.int64(), pa.list_(pa.int64())
+
+        def settled():
+            """A window's results in rows of their own, of a bounded number of elements each."""
+            e, o, s, c = window.settle()
+            e = e.view("i8")
+            for a in range(0, len(e), LIST_ITEMS):
+                lists = [x[a : a + LIST_ITEMS].tolist() for x in (e, o, s, c)]
+                one = [pa.array([v], long) for v in (None, None, -1, 0, 0, 0)]
+                yield pa.RecordBatch.from_arrays([*one, *[pa.array([x], many) for x in lists]], names=names)
 
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
@@ -208,16 +207,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
                 take = np.where(new, np.minimum(n, base + _need(base)), 0)
                 place = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(first[:-1], take)
                 window.add(uid, values[place], take)
-                lists = [empty] * 4
+                own = [part.column("doc_id"), part.column("row"), part.column("uid"), pa.array(n), pa.array(s1.view("i8")), pa.array(s2.view("i8"))]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(n), many)] * 4], names=names)
                 if window.held >= WINDOW:
-                    e, o, s, c = window.settle()
-                    lists = [pa.array(e.view("i8")), pa.array(o), pa.array(s), pa.array(c)]
-                yield wide(part.column("doc_id"), part.column("row"), part.column("uid"), n, s1.view("i8"), s2.view("i8"), lists)
+                    yield from settled()
         if window.held:
-            e, o, s, c = window.settle()
-            lists = [pa.array(e.view("i8")), pa.array(o), pa.array(s), pa.array(c)]
-            one = np.zeros(1, "i8")
-            yield wide(pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), one, one, one, lists)
+            yield from settled()
 
     lists = ", ".join(f"{c} array<long>" for c in ("elements", "owners", "sets", "shared"))
     scanned = scratch.save(
@@ -262,9 +257,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
             n = np.diff(first)
             window.add(uid[new], values[np.repeat(new, n)] if not new.all() else values[first[0] : first[-1]], n[new])
             if window.held >= WINDOW:
-                yield _asked_rows(*window.settle())
+                yield from pieces(_asked_rows(*window.settle()))
         if window.held:
-            yield _asked_rows(*window.settle())
+            yield from pieces(_asked_rows(*window.settle()))
 
     whole_saved = scratch.save(whole, "sets-1")
     counts2 = _shared_counts(whole_saved.mapInArrow(ask, _ASKED))

@@ -25,11 +25,11 @@ from .words import mix
 
 WINDOW = 4096
 #: Ids of a shard, about.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Terms of a seed's query, and neighbours that one query returns.
 QUERY_TERMS, NEIGHBOURS = 12, 48
 K1, B = 1.2, 0.75
-#: Ids below this one are frequent word parts; they don't count for a document's shard.
+#: Ids below this one are frequent word parts; they say nothing of a document's subject, and are no terms.
 FREQUENT_IDS = 5000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,7 +37,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows of documents (``ids``: uint16 or uint32 bytes, the end id last), and per task one row of
-    document frequencies by token id (null ``ids``)."""
+    document frequencies by token id (null ``ids``); only ids from ``FREQUENT_IDS`` on are terms."""
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -51,10 +51,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 raws, keys, sizes = [], [], []
                 for raw in enc.ids(part.column("text").to_pylist()):
                     ids = np.frombuffer(raw + end, "<u4").astype(dtype)
-                    own = np.unique(ids)
+                    own = np.unique(ids[ids >= FREQUENT_IDS])
                     often[own] += 1
-                    rare = own[own >= FREQUENT_IDS]
-                    keys.append(int(spread[rare if len(rare) else own].min()))
+                    keys.append(int(spread[own if len(own) else ids].min()))
                     sizes.append(len(ids))
                     raws.append(ids.tobytes())
                 yield pa.RecordBatch.from_pydict(
@@ -81,7 +80,7 @@ class Index:
         self.idf = idf
         self.terms, tf, owner = [], [], []
         for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
+            t, c = np.unique(ids[ids >= FREQUENT_IDS], return_counts=True)
             self.terms.append((t, c))
             tf.append(c)
             owner.append(np.full(len(t), i))
@@ -98,6 +97,8 @@ class Index:
     def neighbours(self, seed: int, free: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first."""
         t, c = self.terms[seed]
+        if not len(t):
+            return np.empty(0, "i8")
         best = t[np.lexsort((t, -self.idf[t] * np.minimum(c, 4)))[:QUERY_TERMS]]
         spans = [slice(self.at[x], self.at[x + 1]) for x in best.tolist()]
         owner = np.concatenate([self.owner[s] for s in spans])
@@ -183,10 +184,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     total = rows.agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")).first()
     by_id = encoded.filter("ids is null").select(F.posexplode("df").alias("id", "df")).filter("df > 0").groupBy("id").agg(F.sum("df").alias("df"))
     df = {r.id: r.df for r in by_id.collect()}  # a number for each id of the vocabulary at most
-    idf = np.zeros(max(df, default=0) + 1)
+    vocab = max(encoder(tokenizer_path).vocab, end_id + 1)
+    idf = np.zeros(vocab)
     for i, n in df.items():
         idf[i] = math.log(1 + (total.docs - n + 0.5) / (n + 0.5))
-    wide = "<u2" if max(encoder(tokenizer_path).vocab, end_id + 1) <= 1 << 16 else "<u4"
+    wide = "<u2" if vocab <= 1 << 16 else "<u4"
     shards = max(1, math.ceil((total.tokens or 0) / shard_tokens))
     dealt = rows.repartitionByRange(shards, "near", "doc_id", F.xxhash64("ids")).sortWithinPartitions("near", "doc_id", "ids")
     # numbers a partition's sequences; a retried task numbers them alike

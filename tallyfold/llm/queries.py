@@ -92,5 +92,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: DuckDB SQL of the queries that SQL can express.  The others hash, compress, encode, train or round in
+#: an order of their own; the tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op10_ngram_jaccard_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, MIN(a.n) AS nx, MIN(b.n) AS ny, COUNT(*) AS c
+  FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 90 * (nx + ny - c)),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+smallest AS (SELECT x, MIN(y) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, (SELECT COUNT(*) FROM links l WHERE l.x = doc_id) AS n_links
+FROM sets JOIN smallest ON x = doc_id""",
+}

@@ -25,12 +25,30 @@ al como con del el esta este lo los las más no para por su sus una y
 
 CHAIN = 2
 
-_ANY = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")"
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, with common beginnings tried once."""
+    rest: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        rest.setdefault(w[:1], []).append(w[1:])
+    end = "" in rest and rest.pop("")
+    kinds = [c + _any_of(r) for c, r in rest.items()]
+    body = kinds[0] if len(kinds) == 1 and end is False else "(?:" + "|".join(kinds) + ")" if kinds else ""
+    return body + "?" if body and end is not False else body
+
+
+_ANY = _any_of(ANCHORS)
 #: At the start of a word that is an anchor: it and all up to the last word of its chain.
 _SPOT = f"(?<= )(?=({_ANY}" + f"(?: {_ANY}(?= ))*+ [^ ]+" * CHAIN + ") )"
 _INNER = f" {_ANY}(?= )"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _hashes(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda s: F.hash(s))))
 
@@ -41,12 +59,17 @@ def signatures(text: Column) -> Column:
     A text without any has one for each three words in a row instead, one of fewer words has all of
     them as its only one, and one without a word its own hash, so that equal texts always are alike."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    spots = F.transform(F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)), lambda s: F.regexp_replace(s, _INNER, ""))
-    triples = F.regexp_extract_all(plain, F.lit("(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"), F.lit(1))
-    words = F.trim(plain)
-    only = F.array(F.when(words == "", text).otherwise(words))
-    found = _hashes(spots)
-    return F.when(F.size(found) > 0, found).when(F.size(triples) > 0, _hashes(triples)).otherwise(_hashes(only))
+
+    def other(p: Column) -> Column:
+        triples = F.regexp_extract_all(p, F.lit("(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"), F.lit(1))
+        words = F.trim(p)
+        return _let(triples, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.when(words == "", text).otherwise(words))))
+
+    def spots(p: Column) -> Column:
+        found = F.regexp_extract_all(p, F.lit(_SPOT), F.lit(1))
+        return _let(found, lambda s: F.when(F.size(s) > 0, F.transform(s, lambda x: F.regexp_replace(x, _INNER, ""))).otherwise(other(p)))
+
+    return _hashes(_let(plain, spots))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -126,11 +149,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("next.doc_id").alias("_d"), F.col("next.mark").alias("_m"), F.col("doc_id").alias("pd"), F.col("mark").alias("pm"), half.alias("need")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))
+    sets = scratch.save(rows.select("doc_id", "mark", signatures(F.col("text")).alias("sigs")), "signatures")
     head = F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int"))
-    left = rows.join(mine, same).select("doc_id", "mark", "n", "copies", head.alias("head"), signatures(F.col("text")).alias("sigs"))
+    left = rows.join(mine, same).select("doc_id", "mark", "n", "copies", head.alias("head"))
     tail = F.substring(F.col("text"), F.lit(1), F.col("need"))
-    right = rows.join(theirs, same).select("pd", "pm", tail.alias("tail"), signatures(F.col("text")).alias("next_sigs"))
-    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("mark") == F.col("pm"))).withColumn("edited", F.concat("head", "tail"))
+    right = rows.join(theirs, same).select("pd", "pm", tail.alias("tail"))
+    next_sets = sets.join(theirs, same).select("pd", "pm", F.col("sigs").alias("next_sigs"))
+    own_sets = sets.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "sigs")
+    before = F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("mark") == F.col("pm"))
+    both = left.join(right, before).drop("pd", "pm").join(next_sets, before).drop("pd", "pm").join(own_sets, same).drop("_d", "_m")
+    both = both.withColumn("edited", F.concat("head", "tail"))
     both = both.withColumn("edited_sigs", signatures(F.col("edited")))
     last = both.select(
         "doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"),

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Scratch, slices, text_or_empty
+from .common import STEP_BYTES, Scratch, pieces, slices, text_or_empty
 from .words import mix, utf8
 
 LENGTH = 200
@@ -156,12 +156,12 @@ def _scan(length: int, q: int):
         head[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
         count = np.diff(np.append(np.flatnonzero(head), len(anchor)))
         many = np.repeat(count > 1, count)
-        yield rows(anchor[head], context[head], k1[head], k2[head], _pack(lo[head], hi[head], many[head].astype("i8")), False)
+        yield from pieces(rows(anchor[head], context[head], k1[head], k2[head], _pack(lo[head], hi[head], many[head].astype("i8")), False))
         if many.any():
             owner, a, b = _merged(text[many], lo[many], hi[many] + length)
             first = dict(zip(text.tolist(), range(len(text)), strict=True))
             at = np.array([first[t] for t in owner.tolist()])
-            yield rows(np.zeros(len(a), "i8"), b, k1[at], k2[at], a, True)
+            yield from pieces(rows(np.zeros(len(a), "i8"), b, k1[at], k2[at], a, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, base = [], 0, 0
@@ -169,8 +169,8 @@ def _scan(length: int, q: int):
             for part in slices(batch, "text", STEP_BYTES):
                 raw, off = utf8(part.column("text"))
                 k1, k2 = part.column("k1").to_numpy(), part.column("k2").to_numpy()
-                for piece, poff, first, place in _pieces(raw, off, length):
-                    text, lo, hi, anchor, context = runs(piece, poff, length, q)
+                for own, poff, first, place in _pieces(raw, off, length):
+                    text, lo, hi, anchor, context = runs(own, poff, length, q)
                     text = text + first
                     held.append((text + base, lo + place, hi + place, anchor, context, k1[text], k2[text]))
                     n += len(lo)
