@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,11 +42,27 @@ def shared_root(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def narrow_batches(spark: SparkSession) -> None:
-    """Batches of texts of a few megabytes; a number that the session has set itself stays."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sets a session up for Python kernels: batches of texts of a few megabytes (a number that the
+    session has set itself stays), and this package on the executors where nothing else puts it there."""
     name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(name, default) == default:
         spark.conf.set(name, BATCH_ROWS)
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    root = str(package.parent)
+    found = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if sc.applicationId in _shipped or root in found:
+        return
+    _shipped.add(sc.applicationId)
+    zipped = os.path.join(tempfile.mkdtemp(prefix="tallyfold-"), "tallyfold.zip")
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(zipped)
 
 
 class Scratch:
@@ -56,7 +75,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        narrow_batches(spark)
+        prepare(spark)
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         self._at: dict[int, str] = {}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, narrow_batches, text_or_empty
+from .common import by_slices, prepare, text_or_empty
 
 # Wordings of well-known licences and notices.
 TEMPLATES: dict[str, list[str]] = {
@@ -163,7 +163,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no block.  Rows are judged one by one, so repeats and ties are alike.
     """
-    narrow_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_blocks", pa.int64()), ("n_found", pa.int64()), ("license", pa.string()), ("licenses", pa.string()), ("differences", pa.int64()), ("saving", pa.float64())]
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, narrow_batches, text_or_empty
+from .common import by_slices, prepare, text_or_empty
 from .words import Words, code_points_before, mix, utf8
 
 TRAIN_DOCS = 600
@@ -264,7 +264,7 @@ def quality(docs: DataFrame, field: Field | None, content_share: float = CONTENT
     Repeated rows and ties are judged alike; columns of ``docs`` with one of the added names are
     replaced; without a field (no labels) every line counts as content.
     """
-    narrow_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     added = [
         pa.field(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     ] + [pa.field("content_share", pa.float64())]

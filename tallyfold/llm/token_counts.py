@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, narrow_batches, text_or_empty
+from .common import by_slices, prepare, text_or_empty
 
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK = 40_000
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, chunk: int
     Row by row, so repeated rows, ties and null ids give one row each; a null text counts as empty
     (0 bytes, 0 tokens); other columns are ignored; an empty table gives an empty result.
     """
-    narrow_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def kernel(part: pa.RecordBatch) -> dict:
