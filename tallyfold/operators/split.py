@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,12 @@ class Split:
     counters: DataFrame
 
 
-def by_origin(history: DataFrame, origins: DataFrame, name: str = "cutoff", days: int | None = None) -> DataFrame:
+def by_origin(history: DataFrame, origins: DataFrame | list[date], name: str = "cutoff", days: int | None = None) -> DataFrame:
     """Each history row once per origin that may see it (at most ``days`` old).
 
-    ``origins``: a small frame of dates, which becomes an array in the plan, so that rows are
+    ``origins``: dates, or a small frame of them, which become an array in the plan, so that rows are
     expanded where they are read and no join or shuffle is needed."""
-    dates = sorted(r[0] for r in origins.select(name).distinct().collect())
+    dates = sorted(set(origins) if isinstance(origins, list) else {r[0] for r in origins.select(name).distinct().collect()})
     seen = F.array(*[F.lit(d) for d in dates])
     if days is None:
         keep = F.filter(seen, lambda o: o >= F.col("date"))

@@ -80,7 +80,7 @@ def alignment_audit(spark: SparkSession, sf: str) -> DataFrame:
 def features(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
     s = _split(spark, sf)
     requests = s.requests.withColumnRenamed("cutoff", "origin")
-    return X.feature_matrix(s.history, requests, fx.inventory(spark, sf), fx.calendar(spark, sf), columns)
+    return X.feature_matrix(s.history, requests, fx.inventory(spark, sf), fx.calendar(spark, sf), columns, origins=list(fx.FOLDS.values()))
 
 
 def _features(*columns: str) -> Query:
@@ -181,7 +181,7 @@ def _model_scores(spark: SparkSession, sf: str, fit, name: str) -> DataFrame:
     rows = [(d.isoformat(), d) for d in fx.origins(fold)] + [("F1", fold)]
     s = split(fx.history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
     inv, cal = fx.inventory(spark, sf), fx.calendar(spark, sf)
-    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, cal, cols).join(
+    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, cal, cols, origins=[d for _, d in rows]).join(
         s.labels.select("unique_id", "date", "sales", "weight"), ["unique_id", "date"]
     ).cache()
     model = fit(frame.filter(F.col("origin") < F.lit(fold)), list(cols))
