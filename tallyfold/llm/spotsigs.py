@@ -149,15 +149,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("next.doc_id").alias("_d"), F.col("next.mark").alias("_m"), F.col("doc_id").alias("pd"), F.col("mark").alias("pm"), half.alias("need")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))
-    sets = scratch.save(rows.select("doc_id", "mark", signatures(F.col("text")).alias("sigs")), "signatures")
     head = F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int"))
-    left = rows.join(mine, same).select("doc_id", "mark", "n", "copies", head.alias("head"))
+    # both sides read one shuffle of the texts; signing them twice costs less than moving or keeping the sets
+    sigs = signatures(F.col("text"))
+    left = rows.join(mine, same).select("doc_id", "mark", "n", "copies", head.alias("head"), sigs.alias("sigs"))
     tail = F.substring(F.col("text"), F.lit(1), F.col("need"))
-    right = rows.join(theirs, same).select("pd", "pm", tail.alias("tail"))
-    next_sets = sets.join(theirs, same).select("pd", "pm", F.col("sigs").alias("next_sigs"))
-    own_sets = sets.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "sigs")
-    before = F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("mark") == F.col("pm"))
-    both = left.join(right, before).drop("pd", "pm").join(next_sets, before).drop("pd", "pm").join(own_sets, same).drop("_d", "_m")
+    right = rows.join(theirs, same).select("pd", "pm", tail.alias("tail"), sigs.alias("next_sigs"))
+    both = left.join(right, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("mark") == F.col("pm")))
     both = both.withColumn("edited", F.concat("head", "tail"))
     both = both.withColumn("edited_sigs", signatures(F.col("edited")))
     last = both.select(
