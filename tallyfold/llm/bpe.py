@@ -27,8 +27,8 @@ _BARE = re.compile(f"{_WORD}|[^{_WS}]+")
 
 _PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
 
-#: Units of one generation of the memo; the generation before is kept beside it.
-MEMO_UNITS = 300_000
+#: Units that the memo may hold.  It is emptied as a whole, which gives all of its memory back.
+MEMO_UNITS = 800_000
 MEMO_UNIT_CHARS = 64
 
 
@@ -46,13 +46,11 @@ _BYTES = _byte_letters()
 class _Memo(dict):
     """Unit -> ids as bytes; units that aren't there are encoded."""
 
-    def __init__(self, encode, before: dict):
-        self.encode, self.before = encode, before
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.before.get(unit)
-        if ids is None:
-            ids = self.encode(unit)
+        ids = self.encode(unit)
         if len(unit) <= MEMO_UNIT_CHARS:  # longer units are used, but not kept
             self[unit] = ids
         return ids
@@ -76,7 +74,7 @@ class Encoder:
         self.units = (_BARE if self.bare else _SPACED).findall
         self.vocab = self.tok.get_vocab_size()
         self.pieces = self.tok.model.tokenize
-        self.memo = _Memo(self._unit, {})
+        self.memo = _Memo(self._unit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,10 +86,8 @@ class Encoder:
         return array("I", [t.id for t in self.pieces(letters)]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_UNITS:  # what is used again moves on to the next generation
-            old = self.memo
-            old.before = {}
-            self.memo = _Memo(self._unit, old)
+        if len(self.memo) > MEMO_UNITS:
+            self.memo.clear()
         look, units = self.memo.__getitem__, self.units
         # special strings are cut out before units are formed
         return [self._whole([t])[0] if any(s in t for s in self.special) else b"".join(map(look, units(t))) for t in texts]
@@ -102,3 +98,9 @@ def encoder(path: str) -> Encoder:
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]
+
+
+def forget() -> None:
+    """Empties the memos of this worker, for kernels that need the memory and don't encode."""
+    for enc in _open.values():
+        enc.memo.clear()

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import STEP_BYTES, Scratch, pieces, slices, text_or_empty
 from .components import Forest, components
 from .words import Words, distinct_per_text, mix, utf8
@@ -175,6 +176,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 
     # 1. Scan: sets by size and two sums, and the elements to ask about.
     def scan(batches):
+        forget()
         window = _Window()
         seen: set[tuple[int, int]] = set()
 

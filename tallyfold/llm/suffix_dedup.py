@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import STEP_BYTES, Scratch, pieces, slices, text_or_empty
 from .words import mix, utf8
 
@@ -164,6 +165,7 @@ def _scan(length: int, q: int):
             yield from pieces(rows(np.zeros(len(a), "i8"), b, k1[at], k2[at], a, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n, base = [], 0, 0
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
