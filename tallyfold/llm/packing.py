@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, forget
 from .common import STEP_BYTES, Scratch, slices, text_or_empty
 from .words import mix
 
 WINDOW = 4096
 #: Ids of a shard, about.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 #: Terms of a seed's query, and neighbours that one query returns.
-QUERY_TERMS, NEIGHBOURS = 12, 48
+QUERY_TERMS, NEIGHBOURS = 8, 32
 K1, B = 1.2, 0.75
 #: Ids below this one are frequent word parts; they say nothing of a document's subject, and are no terms.
 FREQUENT_IDS = 5000
@@ -195,6 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     dealt = dealt.withColumn("shard", F.spark_partition_id())
 
     def run(batches):
+        forget()
         held: list[pa.RecordBatch] = []
         size, part, shard = 0, 0, 0
 
@@ -230,4 +231,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
         if held:
             yield flush()
 
-    return dealt.mapInArrow(run, _PIECES)
+    # however finely the session deals ranges out, the result has a file per shard of the meant size
+    return dealt.mapInArrow(run, _PIECES).coalesce(shards)
