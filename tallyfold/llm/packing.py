@@ -4,8 +4,9 @@ Documents become token ids once.  They are dealt to shards by a min-hash of thei
 that documents with words in common tend to meet, in ranges of bounded size: any number of equal
 documents is split by their ids.  Each shard holds a BM25 inverted index of its documents, with the
 document frequencies of the whole corpus.  A sequence starts with a seed document (or what is left
-of one that was cut); the index returns the seed's unused neighbours, best first; those that fit go
-in, and the best one that doesn't is cut to fill the window.  What remains at a shard's end goes into
+of one that was cut); the index returns the seed's unused neighbours by all of its terms, best first,
+a page at a time; those that fit go in, and the best one of a page that doesn't is cut to fill the
+window.  What remains at a shard's end goes into
 sequences whose lengths are powers of two, so that nothing is padded.
 """
 
@@ -26,10 +27,10 @@ from .words import mix
 WINDOW = 4096
 #: Ids of a shard, about.
 SHARD_TOKENS = 4_000_000
-#: Terms of a seed's query, and neighbours that one query returns.
-QUERY_TERMS, NEIGHBOURS = 8, 32
+#: Neighbours on a page; more pages are asked for until the window is full.
+NEIGHBOURS = 32
 K1, B = 1.2, 0.75
-#: Ids below this one are frequent word parts; they say nothing of a document's subject, and are no terms.
+#: Ids below this one are frequent word parts; they don't say in which shard a document goes.
 FREQUENT_IDS = 5000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,7 +38,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows of documents (``ids``: uint16 or uint32 bytes, the end id last), and per task one row of
-    document frequencies by token id (null ``ids``); only ids from ``FREQUENT_IDS`` on are terms."""
+    document frequencies by token id (null ``ids``); every id but the appended end is a term."""
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -51,8 +52,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 raws, keys, sizes = [], [], []
                 for raw in enc.ids(part.column("text").to_pylist()):
                     ids = np.frombuffer(raw + end, "<u4").astype(dtype)
-                    own = np.unique(ids[ids >= FREQUENT_IDS])
-                    often[own] += 1
+                    every = np.unique(ids[:-1])
+                    often[every] += 1
+                    own = every[every >= FREQUENT_IDS]
                     keys.append(int(spread[own if len(own) else ids].min()))
                     sizes.append(len(ids))
                     raws.append(ids.tobytes())
@@ -74,48 +76,54 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 
 class Index:
-    """BM25 over the documents of one shard; ``idf`` by token id comes from the whole corpus."""
+    """BM25 over the documents of one shard; ``idf`` by token id comes from the whole corpus, and an id
+    of idf 0 is no term."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
-        self.idf = idf
-        self.terms, tf, owner = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids[ids >= FREQUENT_IDS], return_counts=True)
-            self.terms.append((t, c))
+        self.terms, tf = [], []
+        for ids in docs:
+            t, c = np.unique(ids[idf[ids] > 0], return_counts=True)
+            self.terms.append(t)
             tf.append(c)
-            owner.append(np.full(len(t), i))
-        term = np.concatenate([t for t, _ in self.terms])
-        owner, tf = np.concatenate(owner), np.concatenate(tf)
+        term, tf = np.concatenate(self.terms), np.concatenate(tf)
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
         size = np.array([len(d) for d in docs], float)
         norm = K1 * (1 - B + B * size / size.mean())
         order = np.argsort(term, kind="stable")
-        self.owner = owner[order]
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner]))[order].astype("f4")
-        self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(docs)
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+        self.all = term[order], owner[order], weight[order]
+        self.vocab, self.n = len(idf), len(docs)
+        self._keep(np.ones(self.n, bool))
+
+    def _keep(self, live: np.ndarray) -> None:
+        """Postings of these documents only."""
+        term, owner, weight = self.all
+        if not live.all():
+            kept = live[owner]
+            term, owner, weight = term[kept], owner[kept], weight[kept]
+        self.live, self.n_live, self.owner, self.weight = live, int(live.sum()), owner, weight
+        self.at = np.searchsorted(term, np.arange(self.vocab + 1)).tolist()
 
     def neighbours(self, seed: int, free: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        t, c = self.terms[seed]
-        if not len(t):
+        """Unused documents that share a term with the seed, best first by all of its terms."""
+        if (free & ~self.live).any() or 4 * np.count_nonzero(free) < 3 * self.n_live:
+            self._keep(free.copy())  # used documents leave the lists
+        spans = [slice(self.at[x], self.at[x + 1]) for x in self.terms[seed].tolist() if self.at[x] < self.at[x + 1]]
+        if not spans:
             return np.empty(0, "i8")
-        best = t[np.lexsort((t, -self.idf[t] * np.minimum(c, 4)))[:QUERY_TERMS]]
-        spans = [slice(self.at[x], self.at[x + 1]) for x in best.tolist()]
-        owner = np.concatenate([self.owner[s] for s in spans])
-        weight = np.concatenate([self.weight[s] for s in spans])
-        open_ = free[owner]
-        owner, weight = owner[open_], weight[open_]
-        if not len(owner):
-            return owner
-        found, place = np.unique(owner, return_inverse=True)
-        score = np.bincount(place, weights=weight)
-        return found[np.lexsort((found, -score))[:most]]
+        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        score[~free] = 0
+        found = np.flatnonzero(score)
+        if len(found) > most:
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
+        return found[np.lexsort((found, -score[found]))[:most]]
 
 
 def pack_shard(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that cover every id once.
 
-    ``neighbours(seed, free)`` gives unused documents, best first.
+    ``neighbours(seed, free)`` gives a page of unused documents, best first, and an empty one if there
+    are no more.
     """
     free = np.ones(len(sizes), bool)
     pieces, sequence, fill = [], 0, 0
@@ -133,9 +141,10 @@ def pack_shard(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple
         pieces.append((seed, used, take, sequence, fill))
         fill += take
         cut = (seed, used + take) if used + take < sizes[seed] else None
-        if fill < window:
-            rest = []
-            for d in neighbours(seed, free).tolist():
+        rest, page = [], None
+        while fill < window and not rest and page != []:
+            page = neighbours(seed, free).tolist()
+            for d in page:
                 if sizes[d] <= window - fill:
                     free[d] = False
                     pieces.append((d, 0, sizes[d], sequence, fill))
@@ -144,10 +153,10 @@ def pack_shard(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple
                         break
                 else:
                     rest.append(d)
-            if fill < window and rest:
-                free[rest[0]] = False
-                cut = (rest[0], 0)
-                continue
+        if fill < window and rest:
+            free[rest[0]] = False
+            cut = (rest[0], 0)
+            continue
         if fill == window:
             sequence, fill = sequence + 1, 0
     return _powers_of_two(pieces, sequence, fill)
@@ -188,6 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
     idf = np.zeros(vocab)
     for i, n in df.items():
         idf[i] = math.log(1 + (total.docs - n + 0.5) / (n + 0.5))
+    idf[end_id] = 0  # every document has it
     wide = "<u2" if vocab <= 1 << 16 else "<u4"
     shards = max(1, math.ceil((total.tokens or 0) / shard_tokens))
     dealt = rows.repartitionByRange(shards, "near", "doc_id", F.xxhash64("ids")).sortWithinPartitions("near", "doc_id", "ids")

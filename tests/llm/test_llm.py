@@ -440,6 +440,31 @@ def test_neighbours_share_words():
     assert set((found // 10).tolist()) == {0} and 3 not in found
 
 
+def test_neighbours_are_those_of_all_terms():
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.zipf(1.2, 60) % 8000).astype("u2") for _ in range(120)]  # nearly all ids are frequent ones
+    idf = rng.random(49_408) + 0.01
+    idf[1] = 0
+    index, mean = packing.Index(docs, idf), np.mean([len(d) for d in docs])
+    free = np.ones(120, bool)
+    for seed in range(100):
+        free[seed] = False
+        norm = [packing.K1 * (1 - packing.B + packing.B * len(d) / mean) for d in docs]
+        score = [sum(idf[t] * (packing.K1 + 1) / (1 + norm[i]) for t in set(d.tolist()) & set(docs[seed].tolist())) if free[i] else 0 for i, d in enumerate(docs)]
+        want = sorted((i for i in range(120) if score[i] > 0), key=lambda i: (-score[i], i))[:7]
+        assert np.allclose([score[i] for i in index.neighbours(seed, free, 7)], [score[i] for i in want])
+    free[:] = True  # documents may come back
+    assert len(index.neighbours(0, free, 200)) > 100
+
+
+def test_pages_of_neighbours_fill_the_window():
+    def evens(seed, free):
+        return np.array([i for i in range(0, 200, 2) if free[i]][: packing.NEIGHBOURS], "i8")
+
+    pieces = packing.pack_shard([10] * 200, evens, 1000)
+    assert {p[0] for p in pieces if p[3] == 0} == set(range(0, 200, 2))
+
+
 # --- op9
 
 
