@@ -37,6 +37,9 @@ NEVER_NAMES = set(
     "signup login search form share sharing social related recommended recommendations comment comments commentlist respond disqus reviews "
     "widget toolbar pager pagination skip copyright".split()
 )
+#: A name's first part counts where the last one only says what kind of box it is; no part counts after these.
+BOX_NAMES = set("area bar block box buttons container icons left links list right slot unit wrap wrapper zone".split())
+NOT_NAMES = {"has", "no", "not", "with", "without"}
 NEVER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 CONTENT_TAGS = {"article", "main"}
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "summary"}
@@ -60,22 +63,31 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("label", "tag", "never", "kids")
+    __slots__ = ("label", "tag", "never", "named", "kids")
 
-    def __init__(self, tag: str, label: str, never: bool):
-        self.tag, self.label, self.never, self.kids = tag, label, never, []
+    def __init__(self, tag: str, label: str, never: bool, named: bool = False):
+        self.tag, self.label, self.never, self.named, self.kids = tag, label, never, named, []
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """The label's addition, and whether the attributes say that this is no content."""
-    label, never = "", False
+def _never_name(name: str, inside: bool) -> bool:
+    """Whether a class or id is that of no content; headers within an article are content."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not parts or NOT_NAMES.intersection(parts):
+        return False
+    key = parts[0] if parts[-1] in BOX_NAMES else parts[-1]
+    return key in NEVER_NAMES and not (inside and key == "header")
+
+
+def _names(attrs: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """The label's addition, whether the attributes say that this is no content, and whether the names do."""
+    label, never, named = "", False, False
     if not attrs.strip():
-        return label, never
+        return label, never, named
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
             label += ("." if key == "class" else "#") + value[:40] if key == "class" or not any(c.isdigit() for c in value) else ""
-            never |= any(x in NEVER_NAMES for x in re.split(r"[^a-z]+", value))
+            named |= any(_never_name(x, inside) for x in value.split())
         elif key == "role":
             never |= value in NEVER_ROLES
         elif key == "hidden" and m[2] is None:
@@ -84,7 +96,12 @@ def _names(attrs: str) -> tuple[str, bool]:
             never |= value == "true"
         elif key == "style":
             never |= "display:none" in value.replace(" ", "")
-    return label, never
+    return label, never, named
+
+
+def _size(node: Node) -> int:
+    """Characters of text below a node that may be content but for names."""
+    return sum(len(k) if isinstance(k, str) else 0 if k.never and not k.named else _size(k) for k in node.kids)
 
 
 def parse(page: str) -> Node:
@@ -92,6 +109,7 @@ def parse(page: str) -> Node:
     a paragraph also ends at the next block, a list item, cell or row at the next of its kind."""
     root = Node("html", "html", False)
     stack, at, inside = [root], 0, 0
+    around: list[Node] = []  # named as no content, around a page's main part or heading
 
     def pop_to(i: int) -> None:
         nonlocal inside
@@ -111,6 +129,10 @@ def parse(page: str) -> Node:
         if m is None:
             if at < len(page):
                 stack[-1].kids.append(page[at:])
+            if around:
+                most = _size(root) / 2
+                for node in around:
+                    node.never &= _size(node) <= most
             return root
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
@@ -142,9 +164,12 @@ def parse(page: str) -> Node:
             close("tr", until=("table",))
         elif tag == "option":
             close("option", until=("select",))
-        name, never = _names(attrs)
+        name, never, named = _names(attrs, inside > 0)
         never = never or tag in NEVER_TAGS or tag == "header" and not inside
-        node = Node(tag, tag + name, never)
+        named = named and not never and tag not in CONTENT_TAGS
+        node = Node(tag, tag + name, never or named, named)
+        if tag in ("main", "h1"):
+            around += [n for n in stack if n.named and n not in around]
         stack[-1].kids.append(node)
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)

@@ -197,6 +197,17 @@ def test_real_pages(spark, sf):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+def test_names_of_layouts_are_content():
+    def text(page):
+        return " ".join(t for _, t in html_extract.blocks(html_extract.parse(page)))
+
+    for wrap in ('div class="layout has-sidebar"', 'article class="no-comments"', 'main class="page widget"', 'div class="form-story"', 'div class="with-banner"', 'div class="page-widget"'):
+        assert text(f"<body><{wrap}><h1>Title</h1><p>a story of some length</p></{wrap.split()[0]}></body>") == "Title a story of some length"
+    assert text('<article><header class="entry-header"><h1>Title</h1></header><div class="post-header">lead</div><p>story</p></article>') == "Title lead story"
+    for name in ("ad", "ad-slot", "sidebar-left", "site-footer", "cookie-notice", "box comments"):
+        assert text(f'<body><p>story</p><div class="{name}">noise</div></body>') == "story"
+
+
 # --- op3
 
 
