@@ -44,13 +44,13 @@ NEVER_ROLES = set("navigation banner contentinfo complementary search form alert
 CONTENT_TAGS = {"article", "main"}
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "summary"}
 
-#: Share of a host's different pages that have a text, and their least number, for it to be template.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 8
+#: Share of a host's different pages with a node that have a text there, for it to be template (from two pages on).
+CONSTANT_SHARE = 0.8
 #: Share of the varying text that the content's slot has to hold.
 SLOT_SHARE = 0.9
 SHAPE_BUCKETS = 64
-#: Hosts up to which templates are sent to every task.
-BROADCAST_HOSTS = 100_000
+#: Hosts, and texts of all their templates, up to which templates are sent to every task.
+BROADCAST_HOSTS, BROADCAST_TEXTS = 100_000, 1_000_000
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -322,22 +322,25 @@ def extract(pages: DataFrame) -> DataFrame:
     def look(batches):
         for batch in batches:
             for part in slices(batch, "html", STEP_BYTES):
-                hosts, marks, trees, texts = [], [], [], []
+                hosts, marks, trees, texts, nodes = [], [], [], [], []
                 for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     found = blocks(parse(page))
                     hosts.append(host_of(url))
                     trees.append(json.dumps(shape(found), separators=(",", ":")))
-                    texts.append(sorted({_hash(p, t) for p, t in found}))
+                    pairs = sorted({(_hash(p, t), _hash(p, "")) for p, t in found})
+                    texts.append([t for t, _ in pairs])
+                    nodes.append([n for _, n in pairs])
                     marks.append(_hash("", "\n".join(t for _, t in found)))
                 yield pa.RecordBatch.from_pydict(
-                    {"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "tree": pa.array(trees, pa.string()), "texts": pa.array(texts, pa.list_(pa.int64()))}
+                    {"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "tree": pa.array(trees, pa.string()), "texts": pa.array(texts, pa.list_(pa.int64())), "nodes": pa.array(nodes, pa.list_(pa.int64()))}
                 )
 
-    seen = scratch.save(rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string, texts array<long>").dropDuplicates(["host", "mark"]), "pages")
-    # Text on most pages of a host.  The count is taken before the host, so that a large one is summed in parts.
-    per_host = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    common = seen.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= CONSTANT_PAGES)
-    constant = common.join(per_host, "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("constant"))
+    seen = scratch.save(rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string, texts array<long>, nodes array<long>").dropDuplicates(["host", "mark"]), "pages")
+    # Text on most pages that have its node.  Counts are taken before the host, so that a large one is summed in parts.
+    per_node = seen.select("host", F.explode(F.array_distinct("nodes")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
+    pairs = seen.select("host", F.explode(F.arrays_zip("texts", "nodes")).alias("p")).select("host", "p.texts", "p.nodes").toDF("host", "text", "node")
+    common = pairs.groupBy("host", "node", "text").agg(F.count("*").alias("n")).filter("n >= 2")
+    constant = common.join(per_node, ["host", "node"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("constant"))
     # Shapes: lengths differ from page to page, so trees of one shape add up first, within their task too.
     bucketed = seen.select("host", F.pmod(F.xxhash64(F.regexp_replace("tree", "[0-9]+", "")), F.lit(SHAPE_BUCKETS)).cast("int").alias("bucket"), "tree")
     near = bucketed.mapInArrow(_fold, "host string, bucket int, tree string")
@@ -358,12 +361,13 @@ def extract(pages: DataFrame) -> DataFrame:
                     found = blocks(parse(page))
                     text = text_of(found, where, frozenset(known or ())) if where else None
                     if text is None:
-                        text = text_of(found, slot(shape(found))) or ""
+                        text = text_of(found, slot(shape(found)), frozenset(known or ())) or ""
                     out.append(text)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(out, pa.string())})
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    few = wrappers.count() <= BROADCAST_HOSTS
+    held = wrappers.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size(F.coalesce("constant", F.array()))), F.lit(0)).alias("texts")).first()
+    few = held.hosts <= BROADCAST_HOSTS and held.texts <= BROADCAST_TEXTS
     joined = rows.withColumn("host", host).join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "page_id")
     done = joined.select("page_id", "url", "html", "slot", "constant").mapInArrow(cut, f"page_id {kind}, url string, text string")

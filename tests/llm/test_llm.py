@@ -180,6 +180,15 @@ def test_constant_text_is_template(spark):
     assert {r.page_id: r.text for r in got} == {n: f"story number {n} is {n * n}" for n in range(20)}
 
 
+def test_template_of_few_pages_and_of_two_layouts(spark):
+    rows = [(n, f"https://few/{n}", f"<body><div class=x>Follow us today</div><p>story {n}</p></body>") for n in range(2)]
+    for n in range(2, 12):
+        kind, note = ("a", "first layout") if n < 8 else ("b", "second layout")
+        rows.append((n, f"https://two/{n}", f"<body><div class={kind}><div>{note}</div><p>story {n}</p></div></body>"))
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {n: f"story {n}" for n in range(12)}
+
+
 def test_tree_matching():
     a = ["html", 1, 0, [["a", 1, 5, []], ["b", 1, 1, []], ["c", 1, 2, []]]]
     b = ["html", 1, 0, [["a", 1, 4, []], ["x", 1, 9, []], ["c", 1, 1, []]]]
