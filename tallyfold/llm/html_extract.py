@@ -3,9 +3,9 @@
 Pages become trees of elements, in which neighbouring siblings with one label are merged, so that a
 list or an article of any length has one shape.  The trees of one host are aligned by simple tree
 matching, first within buckets of shapes and then across them, into one template per host, which
-knows how many pages have a node and how much text varies there.  Text that is the same on most of a
-host's pages is template; the deepest node that holds nearly all text that varies is the slot of the
-content.  A page's text are the blocks of its slot, in page order.
+knows how many pages have a node and how much text varies there.  Text that is the same on most of the
+host's pages with its node is template; the deepest node that holds all text that varies is the slot of
+the content.  A page's text are the blocks of its slot that aren't template, in page order.
 
 Labels say what alignment cannot: adverts and menus vary from page to page too.  Elements whose tag,
 class, id or role names navigation, adverts, forms, comments and the like are never content.
@@ -46,8 +46,6 @@ CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th",
 
 #: Share of a host's different pages with a node that have a text there, for it to be template (from two pages on).
 CONSTANT_SHARE = 0.8
-#: Share of the varying text that the content's slot has to hold.
-SLOT_SHARE = 0.9
 SHAPE_BUCKETS = 64
 #: Hosts, and texts of all their templates, up to which templates are sent to every task.
 BROADCAST_HOSTS, BROADCAST_TEXTS = 100_000, 1_000_000
@@ -215,20 +213,25 @@ def blocks(node: Node, path: str = "", out: list | None = None) -> list[tuple[st
 
 
 def shape(found: list[tuple[str, str]]) -> list:
-    """The tree of a page's blocks, one node for all siblings of one label, with lengths of text."""
-    root = ["html", 1, 0, []]
+    """The tree of a page's blocks, one node for all siblings of one label, with (hash, length) of each text."""
+    root = ["html", 1, [], []]
     for path, text in found:
         node = root
         for label in path.split("/")[1:]:
             kid = next((k for k in node[3] if k[0] == label), None)
             if kid is None:
-                kid = [label, 1, 0, []]
+                kid = [label, 1, [], []]
                 node[3].append(kid)
             node = kid
-        node[2] += len(text)
+        node[2].append((_hash(path, text), len(text)))
     return root
 
 
+def varying(tree: list, constant: set[int] | frozenset) -> list:
+    """The same tree with the length of the text that isn't template."""
+    return [tree[0], tree[1], sum(n for h, n in tree[2] if h not in constant), [varying(k, constant) for k in tree[3]]]
+
+
 def _match(a: list, b: list, memo: dict) -> int:
     """Simple tree matching: the most pairs of nodes that keep labels, parents and order."""
     if a[0] != b[0]:
@@ -268,16 +271,15 @@ def align(a: list, b: list, memo: dict | None = None) -> list:
 
 
 def slot(tree: list) -> str:
-    """The path of the deepest node that holds nearly all varying text."""
+    """The path of the deepest node that holds all varying text."""
 
     def weight(n):
         return n[2] + sum(map(weight, n[3]))
 
-    node, path = tree, tree[0]
+    node, path, total = tree, tree[0], weight(tree)
     while True:
-        most = SLOT_SHARE * weight(node)
-        kid = max(node[3], key=lambda k: (k[0].split(".")[0].split("#")[0] in CONTENT_TAGS, weight(k)), default=None)
-        if kid is None or kid[0].split(".")[0] in ("p", "li", "td", "pre", "h1", "h2", "h3") or weight(kid) < most and kid[0].split(".")[0].split("#")[0] not in CONTENT_TAGS or not weight(kid):
+        kid = max(node[3], key=weight, default=None)
+        if kid is None or not total or weight(kid) < total or kid[0].split(".")[0] in ("p", "li", "td", "pre", "h1", "h2", "h3"):
             return path
         node, path = kid, f"{path}/{kid[0]}"
 
@@ -341,8 +343,19 @@ def extract(pages: DataFrame) -> DataFrame:
     pairs = seen.select("host", F.explode(F.arrays_zip("texts", "nodes")).alias("p")).select("host", "p.texts", "p.nodes").toDF("host", "text", "node")
     common = pairs.groupBy("host", "node", "text").agg(F.count("*").alias("n")).filter("n >= 2")
     constant = common.join(per_node, ["host", "node"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("constant"))
+    constant = scratch.save(constant, "constants")
+    held = constant.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("constant")), F.lit(0)).alias("texts")).first()
+    few = held.hosts <= BROADCAST_HOSTS and held.texts <= BROADCAST_TEXTS
+
+    def weigh(batches):
+        for batch in batches:
+            for part in slices(batch, "tree", STEP_BYTES):
+                trees = [varying(json.loads(t), frozenset(known or ())) for t, known in zip(part.column("tree").to_pylist(), part.column("constant").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"host": part.column("host"), "tree": pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())})
+
+    weighed = seen.select("host", "tree").join(F.broadcast(constant) if few else constant, "host", "left").select("host", "tree", "constant").mapInArrow(weigh, "host string, tree string")
     # Shapes: lengths differ from page to page, so trees of one shape add up first, within their task too.
-    bucketed = seen.select("host", F.pmod(F.xxhash64(F.regexp_replace("tree", "[0-9]+", "")), F.lit(SHAPE_BUCKETS)).cast("int").alias("bucket"), "tree")
+    bucketed = weighed.select("host", F.pmod(F.xxhash64(F.regexp_replace("tree", "[0-9]+", "")), F.lit(SHAPE_BUCKETS)).cast("int").alias("bucket"), "tree")
     near = bucketed.mapInArrow(_fold, "host string, bucket int, tree string")
     partial = near.groupBy("host", "bucket").applyInArrow(_merge_trees(["host", "bucket"]), "host string, bucket int, tree string")
     trees = partial.groupBy("host").applyInArrow(_merge_trees(["host"]), "host string, tree string")
@@ -359,15 +372,15 @@ def extract(pages: DataFrame) -> DataFrame:
                 out = []
                 for page, where, known in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), part.column("constant").to_pylist(), strict=True):
                     found = blocks(parse(page))
-                    text = text_of(found, where, frozenset(known or ())) if where else None
+                    known = frozenset(known or ())
+                    text = text_of(found, where, known) if where else None
                     if text is None:
-                        text = text_of(found, slot(shape(found)), frozenset(known or ())) or ""
+                        text = text_of(found, slot(varying(shape(found), known)), known) or ""
                     out.append(text)
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(out, pa.string())})
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    held = wrappers.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size(F.coalesce("constant", F.array()))), F.lit(0)).alias("texts")).first()
-    few = held.hosts <= BROADCAST_HOSTS and held.texts <= BROADCAST_TEXTS
+    few = few and wrappers.count() <= BROADCAST_HOSTS
     joined = rows.withColumn("host", host).join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "page_id")
     done = joined.select("page_id", "url", "html", "slot", "constant").mapInArrow(cut, f"page_id {kind}, url string, text string")

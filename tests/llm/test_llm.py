@@ -189,6 +189,23 @@ def test_template_of_few_pages_and_of_two_layouts(spark):
     assert {r.page_id: r.text for r in got} == {n: f"story {n}" for n in range(12)}
 
 
+def test_slot_holds_all_varying_text(spark):
+    story, long = "a long story about {n} ", "the same words of the house on each page "
+    rows, want = [], {}
+    for n in range(6):
+        body = (story * 40).format(n=n).strip()
+        for k, page, lines in (
+            (0, f"<article><h1>Title {n}</h1><p>Lead {n}</p><div class=body><p>{body}</p></div><div><p>End {n}</p></div></article>", [f"Title {n}", f"Lead {n}", body, f"End {n}"]),
+            (1, f"<h1>Title {n}</h1><div><p>{body}</p></div>", [f"Title {n}", body]),
+            (2, f"<article><p>teaser {n}</p></article><div><p>{body}</p></div>", [f"teaser {n}", body]),
+            (3, f"<div class=a><p>{long * 400}</p></div><div class=b><p>{body}</p></div>", [body]),
+        ):
+            rows.append((10 * k + n, f"https://slot{k}/{n}", f"<body>{page}</body>"))
+            want[10 * k + n] = "\n".join(lines)
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_tree_matching():
     a = ["html", 1, 0, [["a", 1, 5, []], ["b", 1, 1, []], ["c", 1, 2, []]]]
     b = ["html", 1, 0, [["a", 1, 4, []], ["x", 1, 9, []], ["c", 1, 1, []]]]
