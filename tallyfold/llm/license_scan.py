@@ -1,15 +1,17 @@
 """License notices in texts, by conditional compression.
 
 Lines that speak of licences are candidate blocks, alone and with the lines between them.  A block is
-compressed with nothing, and with each licence's wording as a zstandard raw dictionary; the wordings
-are ranked by how much of the block they save.  The best ones are confirmed, or not, by the exact
-differences between the block's words and the wording's.
+widened by the length of the longest wording, and compressed with nothing and with each licence's
+wording as a zstandard raw dictionary.  Wordings that save enough are confirmed, or not, by the exact
+differences between the block's words and the wording's; the best one's words are taken out, and the
+rest is searched again until nothing more is found.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,12 @@ TEMPLATES: dict[str, list[str]] = {
     "BSD-3-Clause": [
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
         "from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
         "Released under the BSD 3-Clause License.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -41,14 +49,31 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
         "that the above copyright notice and this permission notice appear in all copies.",
@@ -68,12 +93,15 @@ TEMPLATES: dict[str, list[str]] = {
 CUES = ("licen", "copyright", "rights reserved", "public domain", "hereby granted", "redistribution", "permission", "cc by", "free software")
 #: Lines without a cue that a block may have between two with one.
 GAP = 3
-#: Wordings that are compared word by word, the least saving that ranks at all, and the least share of
-#: the wording's words that the block must have, in order.
-RANKED, LEAST_SAVING, LEAST_SHARE = 4, 0.3, 0.9
+#: The least saving with which a wording is compared word by word, and the least share of its words that
+#: the block must have, in order.
+LEAST_SAVING, LEAST_SHARE = 0.3, 0.9
+#: Characters by which a block is widened on either side: the longest wording, with room for marks of comments.
+WIDER = 2 * max(len(w) for wordings in TEMPLATES.values() for w in wordings)
 MEMO_BLOCKS = 50_000
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*")
+_PLACED = re.compile(_TOKEN.pattern, re.I | re.A)
 _open: list[Scanner] = []
 
 
@@ -92,61 +120,101 @@ class Scanner:
                 held = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 packer = zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False)
                 self.known.append((name, _words(wording), packer, len(self.plain.compress(wording.encode()))))
-        self.memo: dict[str, tuple | None] = {}
-
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(bytes that a wording saves, as a share of its own compressed size; wording), best first."""
-        data = block.encode()
-        size = len(self.plain.compress(data))
-        return sorted((((size - len(p.compress(data))) / own, -i) for i, (_, _, p, own) in enumerate(self.known)), reverse=True)
+        self.count = [Counter(want) for _, want, _, _ in self.known]
+        self.memo: dict[tuple, list] = {}
 
-    def confirm(self, block: str) -> tuple | None:
-        """(licence, saving, share of its words, missing words, extra words) of the best wording that holds."""
-        if block in self.memo:
-            return self.memo[block]
-        have, best = _words(block), None
-        for saving, i in self.savings(block)[:RANKED]:
-            name, want, _, _ = self.known[-i]
+    def best(self, block: str, cores: list[tuple[int, int]]) -> tuple | None:
+        """(licence, saving, share of its words, missing words, extra words) of the best wording that
+        holds, with the first and last character.  Beyond the cores (the lines with cues), the extra
+        words within a notice may be as many as its own at most."""
+        placed = list(_PLACED.finditer(block))
+        have = [m[0].lower() for m in placed]
+        count, best, size, data = Counter(have), None, None, block.encode()
+        for i, (name, want, packer, own) in enumerate(self.known):
+            # too few of its words in any order, so never enough in order
+            if sum(min(n, count[w]) for w, n in self.count[i].items()) < LEAST_SHARE * len(want):
+                continue
+            size = len(self.plain.compress(data)) if size is None else size
+            saving = (size - len(packer.compress(data))) / own
             if saving < LEAST_SAVING:
-                break
+                continue
             same = difflib.SequenceMatcher(None, want, have, autojunk=False)
             spans = [m for m in same.get_matching_blocks() if m.size]
             hit = sum(m.size for m in spans)
+            # words that only happen to stand further off
+            while len(spans) > 1:
+                x, y = spans[0], spans[-1]
+                if x.size < spans[1].b - x.b - x.size and hit - x.size >= LEAST_SHARE * len(want):
+                    hit -= spans.pop(0).size
+                elif y.size < y.b - spans[-2].b - spans[-2].size and hit - y.size >= LEAST_SHARE * len(want):
+                    hit -= spans.pop().size
+                else:
+                    break
             if hit < LEAST_SHARE * len(want):
                 continue
+            first, last = spans[0].b, spans[-1].b + spans[-1].size
             missing = len(want) - hit
-            extra = spans[-1].b + spans[-1].size - spans[0].b - hit  # within the notice only
+            extra = last - first - hit  # within the notice only
             # a version or a name is a word like others, and has to be there
-            if any(w not in have for w in want if any(c.isdigit() for c in w)):
+            if any(w not in have[first:last] for w in want if any(c.isdigit() for c in w)):
+                continue
+            start, end = placed[first].start(), placed[last - 1].end()
+            if extra > len(want) and not any(a <= start and end <= b for a, b in cores):
                 continue
             key = (missing + extra, -len(want), -saving)
             if best is None or key < best[0]:
-                best = (key, (name, saving, hit / len(want), missing, extra))
-        if len(self.memo) >= MEMO_BLOCKS:
-            self.memo.clear()
-        self.memo[block] = found = best and best[1]
-        return found
+                best = (key, (name, saving, hit / len(want), missing, extra), start, end)
+        return best and best[1:]
+
+    def confirm(self, block: str) -> tuple | None:
+        """(licence, saving, share of its words, missing words, extra words) of the best wording that holds."""
+        found = self.best(block, [(0, len(block))])
+        return found and found[0]
+
+    def confirm_all(self, block: str, cores: tuple[tuple[int, int], ...]) -> list[tuple]:
+        """(first character, licence, ...) of each notice in the block, the best one first."""
+        key = block, cores
+        if key not in self.memo:
+            found = []
+            while hit := self.best(block, cores):
+                what, start, end = hit
+                # what repeats word for word is found alike
+                again = re.compile(rf"(?<![a-z0-9])(?<![a-z0-9][.\-/]){re.escape(block[start:end])}(?![.\-/]?[a-z0-9])", re.I | re.A)
+                found += [(m.start(), *what) for m in again.finditer(block)]
+                block = again.sub(lambda m: " " * len(m[0]), block)
+            if len(self.memo) >= MEMO_BLOCKS:
+                self.memo.clear()
+            self.memo[key] = found
+        return self.memo[key]
 
     def scan(self, text: str) -> tuple[int, list[tuple]]:
-        """Number of candidate blocks, and what was confirmed in them: (first line, licence, ...)."""
+        """Number of candidate blocks, and the notices that were confirmed: (first character, licence, ...)."""
         low = text.lower()
         if not any(c in low for c in CUES):
             return 0, []
-        lines = text.split("\n")
-        marked = [i for i, line in enumerate(lines) if any(c in line.lower() for c in CUES)]
-        runs: list[list[int]] = []
-        for i in marked:
-            if runs and i - runs[-1][1] <= GAP + 1:
-                runs[-1][1] = i
+        at, marked, runs = 0, 0, []
+        for i, line in enumerate(text.split("\n")):
+            low = line.lower()
+            if any(c in low for c in CUES):
+                marked += 1
+                if runs and i - runs[-1][1] <= GAP + 1:
+                    runs[-1][1], runs[-1][3] = i, at + len(line)
+                else:
+                    runs.append([i, i, at, at + len(line)])
+            at += len(line) + 1
+        # widened blocks that overlap are one
+        wide: list[list] = []
+        for _, _, start, end in runs:
+            if wide and start - WIDER <= wide[-1][1]:
+                wide[-1][1] = end + WIDER
+                wide[-1][2].append((start, end))
             else:
-                runs.append([i, i])
-        blocks = [(i, i) for i in marked] + [(a, b) for a, b in runs if a != b]
+                wide.append([max(0, start - WIDER), end + WIDER, [(start, end)]])
         found = []
-        for a, b in blocks:
-            hit = self.confirm("\n".join(lines[a : b + 1]))
-            if hit:
-                found.append((a, *hit))
-        return len(blocks), found
+        for start, end, cores in wide:
+            for hit in self.confirm_all(text[start:end], tuple((a - start, b - start) for a, b in cores)):
+                found.append((start + hit[0], *hit[1:]))
+        return marked + sum(a != b for a, b, _, _ in runs), found
 
 
 def scanner() -> Scanner:
@@ -157,7 +225,7 @@ def scanner() -> Scanner:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``; other columns ignored): ``doc_id``,
-    ``n_blocks`` (candidates), ``n_found`` (confirmed blocks), ``license`` (of the block with the fewest
+    ``n_blocks`` (candidates), ``n_found`` (confirmed notices), ``license`` (of the notice with the fewest
     differences, then the largest saving; null if none), ``licenses`` (all, ascending, by comma),
     ``differences`` (missing and extra words of the best one), ``saving`` (bytes saved, as a share of the wording's compressed size).
 

@@ -365,6 +365,23 @@ def test_licenses(spark, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_wrapped_notices_are_found_whole():
+    later = "This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.\n"
+    apache = "Licensed under the Apache License,\nVersion 2.0.\n"
+    scan = license_scan.Scanner()
+
+    def names(text):
+        return sorted(f[1] for f in scan.scan(text)[1])
+
+    prose = "The river runs past the town and its stones.\n" * 60
+    assert names(prose + later.format("program", "", "3") + prose) == ["GPL-3.0"]
+    assert names(later.format("program", "", "2")) == ["GPL-2.0"] and names(later.format("program", "Affero ", "3")) == ["AGPL-3.0"]
+    assert names(later.format("library", "Lesser ", "2.1")) == ["LGPL-2.1"] and names(later.format("library", "Lesser ", "3")) == ["LGPL-3.0"]
+    assert names(prose + mpl + "\n" + apache + later.format("program", "", "3") + prose) == ["Apache-2.0", "GPL-3.0", "MPL-2.0"]
+    assert names("No license here.\n" + prose) == []
+
+
 def test_each_wording_is_its_own():
     scan = license_scan.Scanner()
     for name, wordings in license_scan.TEMPLATES.items():
