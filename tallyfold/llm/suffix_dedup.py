@@ -188,8 +188,8 @@ def _scan(length: int, q: int):
 
 def _meet(length: int):
     """Runs in the order of (anchor, context): intervals of equal contexts, and the runs of anchors
-    with different contexts (one of each repeated context, which needs no answer).  A very long run
-    of one context is cut: what follows only has to know that there was one before."""
+    with different contexts (one of each repeated context, which needs no answer).  All runs of one
+    anchor are held at once."""
 
     def decide(anchor, context, k1, k2, place):
         many, lo = place & 1, place >> 12
