@@ -30,9 +30,11 @@ SHARD_TOKENS = 4_000_000
 #: Neighbours on a page; more pages are asked for until the window is full.
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
+DENSE = 8
 #: Ids below this one are frequent word parts; they don't say in which shard a document goes.
 FREQUENT_IDS = 5000
 
+_U_MAX = np.iinfo(np.uint64).max
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,24 +46,27 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         enc = encoder(tokenizer_path)
         top = max(enc.vocab, end_id + 1)
         dtype = "<u2" if top <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
         often = np.zeros(top, "i8")
         spread = mix(np.arange(top, dtype=np.uint64)) >> np.uint64(1)
+        rare = np.where(np.arange(top) >= FREQUENT_IDS, spread, _U_MAX)
         for batch in batches:
-            for part in slices(batch, "text", STEP_BYTES):
-                raws, keys, sizes = [], [], []
-                for raw in enc.ids(part.column("text").to_pylist()):
-                    ids = np.frombuffer(raw + end, "<u4").astype(dtype)
-                    every = np.unique(ids[:-1])
-                    often[every] += 1
-                    own = every[every >= FREQUENT_IDS]
-                    keys.append(int(spread[own if len(own) else ids].min()))
-                    sizes.append(len(ids))
-                    raws.append(ids.tobytes())
+            for part in slices(batch, "text", 4 * STEP_BYTES):
+                found, n = enc.column(part.column("text"))
+                first = np.cumsum(n + 1) - (n + 1)
+                ids = np.full(len(found) + len(n), end_id, dtype)
+                own = np.ones(len(ids), bool)
+                own[first + n] = False
+                ids[own] = found
+                doc = np.repeat(np.arange(len(n)), n)
+                often += np.bincount(np.unique(doc * top + found) % top, minlength=top)
+                near = np.minimum.reduceat(rare[ids], first)
+                near = np.where(near == _U_MAX, np.minimum.reduceat(spread[ids], first), near)
+                places = np.append(first, len(ids)).astype("i4") * ids.itemsize
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column("doc_id"), "n": pa.array(sizes, pa.int64()), "near": pa.array(keys, pa.int64()),
-                        "ids": pa.array(raws, pa.binary()), "df": pa.nulls(len(sizes), pa.list_(pa.int64())),
+                        "doc_id": part.column("doc_id"), "n": pa.array(n + 1), "near": pa.array(near.view("i8")),
+                        "ids": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(ids)]),
+                        "df": pa.nulls(len(n), pa.list_(pa.int64())),
                     }
                 )
         yield pa.RecordBatch.from_pydict(
@@ -77,46 +82,60 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 class Index:
     """BM25 over the documents of one shard; ``idf`` by token id comes from the whole corpus, and an id
-    of idf 0 is no term."""
+    of idf 0 is no term.
+
+    A term's list holds its documents and their weights.  The list of a term that a ``DENSE``-th of all
+    documents have is a row with a weight for each document, which is added up as it is."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
-        self.terms, tf = [], []
-        for ids in docs:
-            t, c = np.unique(ids[idf[ids] > 0], return_counts=True)
-            self.terms.append(t)
-            tf.append(c)
-        term, tf = np.concatenate(self.terms), np.concatenate(tf)
-        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        size = np.array([len(d) for d in docs], float)
+        self.n, vocab = len(docs), len(idf)
+        size = np.array([len(d) for d in docs])
+        every = np.concatenate(docs)
+        key = np.repeat(np.arange(self.n) * vocab, size) + every
+        key, tf = np.unique(key[idf[every] > 0], return_counts=True)
+        owner, term = np.divmod(key, vocab)
+        self.first, self.terms = np.searchsorted(owner, np.arange(self.n + 1)), term
         norm = K1 * (1 - B + B * size / size.mean())
-        order = np.argsort(term, kind="stable")
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[owner])
-        self.all = term[order], owner[order], weight[order]
-        self.vocab, self.n = len(idf), len(docs)
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm[owner])).astype("f4")
+        df = np.bincount(term, minlength=vocab)
+        often = np.flatnonzero(df * DENSE > self.n)
+        self.row = np.full(vocab, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), "f4")
+        here = self.row[term] >= 0
+        self.dense[self.row[term[here]], owner[here]] = weight[here]
+        order = np.argsort(term[~here], kind="stable")
+        self.all = term[~here][order], owner[~here][order], weight[~here][order]
+        self.vocab = vocab
         self._keep(np.ones(self.n, bool))
 
     def _keep(self, live: np.ndarray) -> None:
-        """Postings of these documents only."""
+        """Postings of these documents only, which are numbered anew."""
         term, owner, weight = self.all
-        if not live.all():
-            kept = live[owner]
-            term, owner, weight = term[kept], owner[kept], weight[kept]
-        self.live, self.n_live, self.owner, self.weight = live, int(live.sum()), owner, weight
-        self.at = np.searchsorted(term, np.arange(self.vocab + 1)).tolist()
+        self.live, self.docs = live, np.flatnonzero(live)
+        self.rows = self.dense if live.all() else np.take(self.dense, self.docs, axis=1)
+        kept = live[owner]
+        self.owner, self.weight = (np.cumsum(live) - 1)[owner[kept]], weight[kept]
+        self.at = np.searchsorted(term[kept], np.arange(self.vocab + 1))
 
     def neighbours(self, seed: int, free: np.ndarray, most: int = NEIGHBOURS) -> np.ndarray:
         """Unused documents that share a term with the seed, best first by all of its terms."""
-        if (free & ~self.live).any() or 4 * np.count_nonzero(free) < 3 * self.n_live:
+        if (free & ~self.live).any() or 4 * np.count_nonzero(free) < 3 * len(self.docs):
             self._keep(free.copy())  # used documents leave the lists
-        spans = [slice(self.at[x], self.at[x + 1]) for x in self.terms[seed].tolist() if self.at[x] < self.at[x + 1]]
-        if not spans:
-            return np.empty(0, "i8")
-        score = np.bincount(np.concatenate([self.owner[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
-        score[~free] = 0
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        row = self.row[terms]
+        spans = [slice(a, b) for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist(), strict=True) if a < b]
+        score = np.zeros(len(self.docs), "f4")
+        if spans:
+            owner, weight = np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans])
+            score += np.bincount(owner, weights=weight, minlength=len(score))
+        for r in row[row >= 0].tolist():
+            score += self.rows[r]
+        score *= free[self.docs]
         found = np.flatnonzero(score)
         if len(found) > most:
             found = found[score[found] >= np.partition(score[found], -most)[-most]]
-        return found[np.lexsort((found, -score[found]))[:most]]
+        return self.docs[found[np.lexsort((found, -score[found]))[:most]]]
 
 
 def pack_shard(sizes: list[int], neighbours, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
