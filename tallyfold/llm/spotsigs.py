@@ -39,9 +39,9 @@ def _any_of(words: list[str]) -> str:
 
 
 _ANY = _any_of(ANCHORS)
-#: At the start of a word that is an anchor: it and all up to the last word of its chain.
-_SPOT = f"(?<= )(?=({_ANY}" + f"(?: {_ANY}(?= ))*+ [^ ]+" * CHAIN + ") )"
-_INNER = f" {_ANY}(?= )"
+#: A run of anchors with the content word after it (nothing at the end of a text), and ahead, beyond the
+#: next run, the second one.  No run is looked at more than twice, so a text of any anchors takes linear time.
+_SPOT = f"(?<= )((?:{_ANY} )++[^ ]*+)(?=(?: (?:{_ANY} )*+([^ ]*+))?)"
 
 
 def _let(value: Column, body) -> Column:
@@ -65,9 +65,18 @@ def signatures(text: Column) -> Column:
         words = F.trim(p)
         return _let(triples, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.when(words == "", text).otherwise(words))))
 
+    def chains(run: Column, second: Column) -> Column:
+        """Of each different anchor of the run the chain of the two words."""
+        return _let(
+            F.split(run, " "),
+            lambda w: F.transform(F.array_distinct(F.slice(w, 1, F.size(w) - 1)), lambda a: F.concat_ws(" ", a, F.element_at(w, -1), second)),
+        )
+
     def spots(p: Column) -> Column:
-        found = F.regexp_extract_all(p, F.lit(_SPOT), F.lit(1))
-        return _let(found, lambda s: F.when(F.size(s) > 0, F.transform(s, lambda x: F.regexp_replace(x, _INNER, ""))).otherwise(other(p)))
+        runs, seconds = (F.regexp_extract_all(p, F.lit(_SPOT), F.lit(i)) for i in (1, 2))
+        none = F.array().cast("array<string>")
+        found = F.flatten(F.zip_with(runs, seconds, lambda r, s: F.when(s == "", none).otherwise(chains(r, s))))
+        return _let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(other(p)))
 
     return _hashes(_let(plain, spots))
 
