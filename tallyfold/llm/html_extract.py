@@ -44,14 +44,20 @@ NEVER_ROLES = set("navigation banner contentinfo complementary search form alert
 CONTENT_TAGS = {"article", "main"}
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "summary"}
 
+#: Levels of blocks that a path tells apart; what is nested deeper counts as part of the element there.
+DEPTH = 64
+#: Labels that are longer are told apart by their hash.
+LABEL_CHARS = 40
 #: Share of a host's different pages with a node that have a text there, for it to be template (from two pages on).
 CONSTANT_SHARE = 0.8
-SHAPE_BUCKETS = 64
-#: Hosts, and texts of all their templates, up to which templates are sent to every task.
-BROADCAST_HOSTS, BROADCAST_TEXTS = 100_000, 1_000_000
-
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Trees that are aligned in one step.
+FAN_IN = 128
+#: Bytes of all hosts' names, paths and template texts up to which they are sent to every task.
+BROADCAST_BYTES = 8_000_000
+
+#: A quote counts right after an equals sign only; a tag whose quote is never closed ends at its first ``>``.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)>?)", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -61,10 +67,10 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("label", "tag", "never", "named", "kids")
+    __slots__ = ("label", "tag", "never", "named", "kids", "looked")
 
     def __init__(self, tag: str, label: str, never: bool, named: bool = False):
-        self.tag, self.label, self.never, self.named, self.kids = tag, label, never, named, []
+        self.tag, self.label, self.never, self.named, self.kids, self.looked = tag, label, never, named, [], False
 
 
 def _never_name(name: str, inside: bool) -> bool:
@@ -84,37 +90,66 @@ def _names(attrs: str, inside: bool = False) -> tuple[str, bool, bool]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
-            label += ("." if key == "class" else "#") + value[:40] if key == "class" or not any(c.isdigit() for c in value) else ""
+            # names with digits are mostly numbers of posts
+            label += ("." if key == "class" else "#") + " ".join(x for x in value.split() if not any(c.isdigit() for c in x))
             named |= any(_never_name(x, inside) for x in value.split())
         elif key == "role":
             never |= value in NEVER_ROLES
-        elif key == "hidden" and m[2] is None:
-            never = True
+        elif key == "hidden":
+            never |= value != "until-found"
         elif key == "aria-hidden":
             never |= value == "true"
         elif key == "style":
             never |= "display:none" in value.replace(" ", "")
-    return label, never, named
-
-
-def _size(node: Node) -> int:
-    """Characters of text below a node that may be content but for names."""
-    return sum(len(k) if isinstance(k, str) else 0 if k.never and not k.named else _size(k) for k in node.kids)
+    if len(label) > LABEL_CHARS:
+        label = f"{label[:16]}~{_hash('', label) & 0xFFFFFFFFFFFF:x}"
+    return label.replace("/", "|"), never, named
+
+
+def _sizes(root: Node) -> dict[int, int]:
+    """Characters of text below each element, and in all of it, that may be content but for names."""
+    size: dict[int, int] = {}
+    stack = [(root, iter(root.kids))]
+    size[id(root)] = 0
+    while stack:
+        node, kids = stack[-1]
+        for k in kids:
+            if isinstance(k, str):
+                size[id(node)] += len(k) - k.count(" ") - k.count("\n")
+            elif not k.never or k.named:
+                size[id(k)] = 0
+                stack.append((k, iter(k.kids)))
+                break
+        else:
+            stack.pop()
+            if stack:
+                size[id(stack[-1][0])] += size[id(node)]
+    return size
 
 
 def parse(page: str) -> Node:
     """The page's tree; text is kept as str among the kids.  Open elements end with their parent;
     a paragraph also ends at the next block, a list item, cell or row at the next of its kind."""
     root = Node("html", "html", False)
-    stack, at, inside = [root], 0, 0
+    stack, at, inside, body = [root], 0, 0, False
     around: list[Node] = []  # named as no content, around a page's main part or heading
+    names: list[Node] = []  # all that are
+    opened: dict[str, int] = {}  # elements that are open, by tag
 
     def pop_to(i: int) -> None:
         nonlocal inside
-        inside -= sum(n.tag in CONTENT_TAGS for n in stack[i:])
+        for n in stack[i:]:
+            inside -= n.tag in CONTENT_TAGS
+            opened[n.tag] -= 1
         del stack[i:]
 
+    def push(node: Node) -> None:
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+        stack.append(node)
+
     def close(*tags: str, until: tuple = ()) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 pop_to(i)
@@ -127,10 +162,13 @@ def parse(page: str) -> Node:
         if m is None:
             if at < len(page):
                 stack[-1].kids.append(page[at:])
-            if around:
-                most = _size(root) / 2
+            if names:
+                size = _sizes(root)
                 for node in around:
-                    node.never &= _size(node) <= most
+                    node.never &= size.get(id(node), 0) <= size[id(root)] / 2
+                if size[id(root)] and not blocks(root):
+                    for node in names:  # names that leave nothing say nothing
+                        node.never = False
             return root
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
@@ -143,12 +181,13 @@ def parse(page: str) -> Node:
             continue
         attrs = m[3] or ""
         if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in stack):
+            if tag == "body" and not body:
+                body = True
                 close("head")
                 node = Node("body", "body", False)
                 root.kids.append(node)
                 pop_to(1)
-                stack.append(node)
+                push(node)
             continue
         if tag in CLOSES_P:
             close("p", until=("td", "th", "button", "li", "div", "article", "section", "blockquote"))
@@ -166,8 +205,15 @@ def parse(page: str) -> Node:
         never = never or tag in NEVER_TAGS or tag == "header" and not inside
         named = named and not never and tag not in CONTENT_TAGS
         node = Node(tag, tag + name, never or named, named)
+        if named:
+            names.append(node)
         if tag in ("main", "h1"):
-            around += [n for n in stack if n.named and n not in around]
+            for n in reversed(stack):
+                if n.looked:
+                    break
+                n.looked = True
+                if n.named:
+                    around.append(n)
         stack[-1].kids.append(node)
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -176,36 +222,42 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
             inside += tag in CONTENT_TAGS
-            stack.append(node)
+            push(node)
 
 
-def blocks(node: Node, path: str = "", out: list | None = None) -> list[tuple[str, str]]:
+def blocks(root: Node) -> list[tuple[str, str]]:
     """(path, text) of each block with text that may be content, in page order."""
-    out = [] if out is None else out
+    out: list[tuple[str, str]] = []
     held: list[str] = []
+    known: dict[tuple[str, str], str] = {}
 
-    def flush(path):
-        text = " ".join(html_entities.unescape("".join(held)).split())
+    def flush(path: str) -> None:
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
             out.append((path, text))
 
-    def walk(n: Node, path: str):
-        for kid in n.kids:
+    stack = [(iter(root.kids), root.label, 0, True)]
+    while stack:
+        kids, path, depth, block = stack[-1]
+        for kid in kids:
             if isinstance(kid, str):
-                held.append(kid)
+                held.append(html_entities.unescape(kid))
             elif kid.tag == "br":
                 held.append(" ")
             elif kid.tag in BLOCKS or kid.never:
                 flush(path)
                 if not kid.never:
-                    inner = f"{path}/{kid.label}"
-                    walk(kid, inner)
-                    flush(inner)
+                    inner = path if depth == DEPTH else known.setdefault((path, kid.label), f"{path}/{kid.label}")
+                    stack.append((iter(kid.kids), inner, min(depth + 1, DEPTH), True))
+                    break
             else:
-                walk(kid, path)
-    walk(node, path or node.label)
-    flush(path or node.label)
+                stack.append((iter(kid.kids), path, depth, False))
+                break
+        else:
+            stack.pop()
+            if block:
+                flush(path)
     return out
 
 
@@ -232,42 +284,60 @@ def varying(tree: list, constant: set[int] | frozenset) -> list:
     return [tree[0], tree[1], sum(n for h, n in tree[2] if h not in constant), [varying(k, constant) for k in tree[3]]]
 
 
+def _pairs(xs: list, ys: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest set of pairs of kids with one label that keeps both orders, and its weight.
+
+    Few kids share a label, so pairs are chained by a prefix maximum over the second order."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        places.setdefault(y[0], []).append(j)
+    best: list[tuple[int, int]] = [(0, -1)] * (len(ys) + 1)  # Fenwick tree: (weight, last pair)
+    found: list[tuple[int, int, int]] = []
+    top = (0, -1)
+    for i, x in enumerate(xs):
+        for j in reversed(places.get(x[0], ())):
+            before, k = (0, -1), j
+            while k:
+                before = max(before, best[k])
+                k -= k & -k
+            mine = (before[0] + _match(x, ys[j], memo), len(found))
+            found.append((i, j, before[1]))
+            top = max(top, mine, key=lambda t: t[0])
+            k = j + 1
+            while k <= len(ys):
+                if mine[0] > best[k][0]:
+                    best[k] = mine
+                k += k & -k
+    chain, at = [], top[1]
+    while at >= 0:
+        i, j, at = found[at]
+        chain.append((i, j))
+    return top[0], chain[::-1]
+
+
 def _match(a: list, b: list, memo: dict) -> int:
     """Simple tree matching: the most pairs of nodes that keep labels, parents and order."""
     if a[0] != b[0]:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        row = [0] * (len(b[3]) + 1)
-        for x in a[3]:
-            new = [0]
-            for j, y in enumerate(b[3]):
-                new.append(max(new[j], row[j + 1], row[j] + _match(x, y, memo)))
-            row = new
-        memo[key] = row[-1] + 1
+        memo[key] = _pairs(a[3], b[3], memo)[0] + 1 if a[3] and b[3] else 1
     return memo[key]
 
 
 def align(a: list, b: list, memo: dict | None = None) -> list:
     """Both trees in one: matched nodes add up, the others are put in where they stand."""
     memo = {} if memo is None else memo
-    xs, ys = a[3], b[3]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + _match(x, y, memo))
-    kids, i, j = [], len(xs), len(ys)
-    while i or j:
-        if i and j and xs[i - 1][0] == ys[j - 1][0] and best[i][j] == best[i - 1][j - 1] + _match(xs[i - 1], ys[j - 1], memo):
-            kids.append(align(xs[i - 1], ys[j - 1], memo))
-            i, j = i - 1, j - 1
-        elif j and (not i or best[i][j] == best[i][j - 1]):
-            kids.append(ys[j - 1])
-            j -= 1
-        else:
-            kids.append(xs[i - 1])
-            i -= 1
-    return [a[0], a[1] + b[1], a[2] + b[2], kids[::-1]]
+    xs, ys, kids, i, j = a[3], b[3], [], 0, 0
+    for x, y in _pairs(xs, ys, memo)[1]:
+        kids += [*xs[i:x], *ys[j:y], align(xs[x], ys[y], memo)]
+        i, j = x + 1, y + 1
+    return [a[0], a[1] + b[1], a[2] + b[2], [*kids, *xs[i:], *ys[j:]]]
+
+
+def times(tree: list, n: int) -> list:
+    """The tree of ``n`` equal pages."""
+    return tree if n == 1 else [tree[0], tree[1] * n, tree[2] * n, [times(k, n) for k in tree[3]]]
 
 
 def slot(tree: list) -> str:
@@ -300,16 +370,42 @@ def _hash(path: str, text: str) -> int:
 
 
 def _merge_trees(key: list[str]):
+    """All trees of a group in one; their order doesn't depend on the order of arrival."""
+
     def merge(rows: pa.Table) -> pa.Table:
-        trees = [json.loads(t) for t in rows.column("tree").to_pylist()]
+        trees = [times(json.loads(t), n) for t, n in sorted(zip(rows.column("tree").to_pylist(), rows.column("n").to_pylist(), strict=True), key=_shape_first)]
         out = trees[0]
         for t in trees[1:]:
             out = align(out, t)
-        return pa.table({**{k: rows.column(k).slice(0, 1) for k in key}, "tree": [json.dumps(out, separators=(",", ":"))]})
+        return pa.table({"host": rows.column("host").slice(0, 1), "tree": [json.dumps(out, separators=(",", ":"))], "n": pa.array([1], pa.int64())})
 
     return merge
 
 
+def _shape_first(tree: tuple[str, int]) -> tuple:
+    """Trees of one shape follow each other."""
+    return re.sub("[0-9]+", "", tree[0]), tree
+
+
+def _templates(trees: DataFrame, scratch: Scratch) -> DataFrame:
+    """One aligned tree per host (``host``, ``tree``), in steps of about ``FAN_IN`` trees each, so that a
+    host of any number of shapes is never in one task as a whole."""
+    trees = trees.groupBy("host", "tree").agg(F.count("*").alias("n"))  # equal trees add up before they move
+    step = scratch.save(trees, "trees")
+    while True:
+        per_host = step.groupBy("host").agg(F.count("*").alias("trees"))
+        most = per_host.agg(F.max("trees").alias("m")).first().m or 0
+        if most <= FAN_IN:
+            return step.groupBy("host").applyInArrow(_merge_trees(["host"]), "host string, tree string, n long").select("host", "tree")
+        salt = F.pmod(F.xxhash64("tree"), F.ceil(F.col("trees") / FAN_IN)).alias("salt")
+        after = scratch.save(
+            step.join(per_host, "host").select("host", "tree", "n", salt).groupBy("host", "salt").applyInArrow(_merge_trees(["host", "salt"]), "host string, tree string, n long"),
+            "trees",
+        )
+        scratch.drop(step)
+        step = after
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (``page_id``, ``url``, ``html``; other columns ignored): ``page_id``,
     ``url``, ``text`` (blocks joined by line feeds, empty if there is none) and ``n_chars``.
@@ -337,15 +433,15 @@ def extract(pages: DataFrame) -> DataFrame:
                     {"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "tree": pa.array(trees, pa.string()), "texts": pa.array(texts, pa.list_(pa.int64())), "nodes": pa.array(nodes, pa.list_(pa.int64()))}
                 )
 
-    seen = scratch.save(rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string, texts array<long>, nodes array<long>").dropDuplicates(["host", "mark"]), "pages")
+    looked = rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string, texts array<long>, nodes array<long>")
+    seen = scratch.save(looked.groupBy("host", "mark").agg(F.min(F.struct("tree", "texts", "nodes")).alias("p")).select("host", "mark", "p.*"), "pages")
     # Text on most pages that have its node.  Counts are taken before the host, so that a large one is summed in parts.
     per_node = seen.select("host", F.explode(F.array_distinct("nodes")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
     pairs = seen.select("host", F.explode(F.arrays_zip("texts", "nodes")).alias("p")).select("host", "p.texts", "p.nodes").toDF("host", "text", "node")
     common = pairs.groupBy("host", "node", "text").agg(F.count("*").alias("n")).filter("n >= 2")
     constant = common.join(per_node, ["host", "node"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("constant"))
     constant = scratch.save(constant, "constants")
-    held = constant.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("constant")), F.lit(0)).alias("texts")).first()
-    few = held.hosts <= BROADCAST_HOSTS and held.texts <= BROADCAST_TEXTS
+    few = constant.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("constant") + 16), F.lit(0)).alias("bytes")).first().bytes <= BROADCAST_BYTES
 
     def weigh(batches):
         for batch in batches:
@@ -354,11 +450,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"host": part.column("host"), "tree": pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())})
 
     weighed = seen.select("host", "tree").join(F.broadcast(constant) if few else constant, "host", "left").select("host", "tree", "constant").mapInArrow(weigh, "host string, tree string")
-    # Shapes: lengths differ from page to page, so trees of one shape add up first, within their task too.
-    bucketed = weighed.select("host", F.pmod(F.xxhash64(F.regexp_replace("tree", "[0-9]+", "")), F.lit(SHAPE_BUCKETS)).cast("int").alias("bucket"), "tree")
-    near = bucketed.mapInArrow(_fold, "host string, bucket int, tree string")
-    partial = near.groupBy("host", "bucket").applyInArrow(_merge_trees(["host", "bucket"]), "host string, bucket int, tree string")
-    trees = partial.groupBy("host").applyInArrow(_merge_trees(["host"]), "host string, tree string")
+    trees = _templates(weighed, scratch)
 
     def slots(batches):
         for batch in batches:
@@ -380,23 +472,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(out, pa.string())})
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    few = few and wrappers.count() <= BROADCAST_HOSTS
+    size = F.length("host") + F.length("slot") + 8 * F.greatest(F.size("constant"), F.lit(0)) + 32
+    few = wrappers.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first().bytes <= BROADCAST_BYTES
     joined = rows.withColumn("host", host).join(F.broadcast(wrappers) if few else wrappers, "host", "left")
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "page_id")
     done = joined.select("page_id", "url", "html", "slot", "constant").mapInArrow(cut, f"page_id {kind}, url string, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def _fold(batches):
-    """Trees of one host and bucket within a batch, aligned."""
-    for batch in batches:
-        found: dict[tuple, list] = {}
-        for host, bucket, tree in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            t = json.loads(tree)
-            found[host, bucket] = align(found[host, bucket], t) if (host, bucket) in found else t
-        yield pa.RecordBatch.from_pydict(
-            {
-                "host": pa.array([h for h, _ in found], pa.string()), "bucket": pa.array([b for _, b in found], pa.int32()),
-                "tree": pa.array([json.dumps(t, separators=(",", ":")) for t in found.values()], pa.string()),
-            }
-        )
