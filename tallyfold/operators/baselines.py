@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .split import Split, by_origin
+from .features import at_origins, in_last, mean_of, median_of, medians_at, series
+from .split import Split
 
 #: In the order of the registry, which breaks ties.
 BASELINES = (
@@ -19,22 +20,23 @@ BASELINES = (
 )
 
 
-def _mean_of_last(days: int) -> Column:
-    return F.avg(F.when(F.col("date") > F.date_sub("cutoff", days), F.col("sales")))
-
-
 def context(split: Split, folds: DataFrame) -> DataFrame:
     """The scored requests with everything that the baselines predict from."""
-    seen = by_origin(split.history.select("unique_id", "date", "sales"), folds)
-    item = seen.groupBy("cutoff", "unique_id").agg(
-        F.max_by("sales", "date").alias("last"), _mean_of_last(7).alias("mean_7"), _mean_of_last(14).alias("mean_14")
+    known = split.history.select("unique_id", "date", "sales")
+    cutoffs = sorted({r[0] for r in folds.select("cutoff").distinct().collect()})  # one date per fold
+    sales = lambda days: F.transform(days, lambda d: d["sales"])
+    of_weekday = lambda w: F.filter("seen", lambda d: F.weekday(d["date"]) == w)
+    item = at_origins(series(known, "sales"), cutoffs, "cutoff").select(
+        "cutoff", "unique_id", F.try_element_at("seen", F.lit(-1))["sales"].alias("last"),
+        *[mean_of(sales(in_last(d, "cutoff"))).alias(f"mean_{d}") for d in (7, 14)],
+        F.transform(F.sequence(F.lit(0), F.lit(6)), lambda w: median_of(sales(of_weekday(w)))).alias("by_weekday"),
     )
-    overall = seen.groupBy("cutoff").agg(F.median("sales").alias("overall"))
-    weekday = seen.groupBy("cutoff", "unique_id", F.weekday("date").alias("weekday")).agg(F.median("sales").alias("weekday_median"))
-    week_ago = split.history.select("unique_id", F.date_add("date", 7).alias("date"), F.col("sales").alias("week_ago"))
-    rows = split.requests.select("fold", "cutoff", "unique_id", "date", "horizon_day").withColumn("weekday", F.weekday("date"))
+    overall = medians_at(known, cutoffs, [], "sales", "overall", "cutoff")
+    week_ago = known.select("unique_id", F.date_add("date", 7).alias("date"), F.col("sales").alias("week_ago"))
+    rows = split.requests.select("fold", "cutoff", "unique_id", "date", "horizon_day")
     rows = rows.join(F.broadcast(overall), "cutoff", "left").join(item, ["cutoff", "unique_id"], "left")  # one row per fold
-    rows = rows.join(weekday, ["cutoff", "unique_id", "weekday"], "left").join(week_ago, ["unique_id", "date"], "left")
+    rows = rows.withColumn("weekday_median", F.get("by_weekday", F.weekday("date"))).drop("by_weekday")
+    rows = rows.join(week_ago, ["unique_id", "date"], "left")
     return rows.withColumn("week_ago", F.when(F.date_sub("date", 7) <= F.col("cutoff"), F.col("week_ago")))
 
 

@@ -13,6 +13,8 @@ from ..functions.scalar import submission_id
 from .guards import CardinalityError, GuardError, check_unique, window_bounds
 
 HORIZON = 14
+#: Numbers of items that are counted together before places are summed up.
+ITEM_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,16 @@ def build_grid(requests: DataFrame, weights: DataFrame, origin: date, check: boo
             raise GuardError(f"the days aren't 1 to {horizon} after {origin}")
         if r.missing or r.bad:
             raise GuardError(f"{r.missing} requests without a weight, {r.bad} with a bad one")
-    order = Window.orderBy("unique_id", "test_date")
-    return joined.select((F.row_number().over(order) - 1).cast("long").alias("grid_order"), "unique_id", "test_date", "horizon_day", "weight")
+    # a request's place: those of all smaller items, and those of its own item's earlier days
+    per_item = joined.groupBy("unique_id").agg(F.count("*").alias("_n"))
+    block = F.floor(F.col("unique_id") / ITEM_BLOCK)
+    blocks = per_item.groupBy(block.alias("_block")).agg(F.sum("_n").alias("_m"))
+    before_block = blocks.select("_block", (F.sum("_m").over(Window.orderBy("_block")) - F.col("_m")).alias("_a"))
+    before = per_item.withColumn("_block", block).select(
+        "unique_id", "_block", (F.sum("_n").over(Window.partitionBy("_block").orderBy("unique_id")) - F.col("_n")).alias("_b")
+    ).join(before_block, "_block").select("unique_id", (F.col("_a") + F.col("_b")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("unique_id").orderBy("test_date")) - 1
+    return joined.join(before, "unique_id").select((F.col("_before") + within).cast("long").alias("grid_order"), "unique_id", "test_date", "horizon_day", "weight")
 
 
 def shift_grid(grid: DataFrame, folds: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import FIELDS, Availability
@@ -138,3 +138,36 @@ def check_finite(df: DataFrame, columns: list[str]) -> DataFrame:
     if found:
         raise GuardError(f"values that aren't finite: {found}")
     return df
+
+
+def frozen_audit(counters: DataFrame, expected: DataFrame, keys: list[str], most: float = 1e-15) -> DataFrame:
+    """Scored rows and coverage of each split next to the frozen ones (``expected_rows``, ``expected_coverage``)."""
+    both = counters.select(*keys, "scored_rows", "coverage").join(expected.select(*keys, "expected_rows", "expected_coverage"), keys, "full_outer")
+    rows = F.coalesce(F.col("scored_rows") == F.col("expected_rows"), F.lit(False))
+    near = F.coalesce(F.abs(F.col("coverage") - F.col("expected_coverage")) <= most, F.lit(False))
+    return both.withColumns({"rows_match": rows, "coverage_match": near})
+
+
+def check_frozen(counters: DataFrame, expected: DataFrame, keys: list[str], most: float = 1e-15) -> None:
+    bad = frozen_audit(counters, expected, keys, most).filter("not (rows_match and coverage_match)").select(*keys).limit(5).collect()
+    if bad:
+        raise GuardError(f"scored rows or coverage differ from the frozen contract: {[tuple(r) for r in bad]}")
+
+
+def violations(rows: DataFrame, by: list[str], cutoff: str, horizon: int, date_: str = "date", finite: Iterable[str] = ()) -> DataFrame:
+    """Per group the rows before, inside and after the window that follows the cutoff, repeated keys, and
+    values that are unknown or not finite: what the checks of this module raise on, as numbers."""
+    far = F.datediff(date_, cutoff)
+    bad = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(f"bad_{c}") for c in finite]
+    keyed = rows.withColumn("_copies", F.count("*").over(Window.partitionBy(*by, "unique_id", date_)))
+    return keyed.groupBy(*by).agg(
+        F.count_if(far <= 0).alias("before"), F.count_if(far.between(1, horizon)).alias("inside"), F.count_if(far > horizon).alias("after"),
+        F.count_if(F.col("_copies") > 1).alias("repeated"), *bad,
+    )
+
+
+def missing_days(grid: DataFrame, horizon: int) -> DataFrame:
+    """Per item the days of the horizon that are asked for, and those that aren't."""
+    every = F.sequence(F.lit(1), F.lit(horizon))
+    days = grid.groupBy("unique_id").agg(F.sort_array(F.collect_set(F.col("horizon_day").cast("int"))).alias("days"))  # of at most as many days
+    return days.select("unique_id", F.size("days").cast("long").alias("days"), F.array_join(F.array_except(every, "days"), ",").alias("missing"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .guards import GuardError
@@ -72,3 +72,43 @@ def decision(scores: DataFrame, name: str, control: str, least_folds: int = 3) -
     better = F.col("mean_wmae") < F.col("control_mean")
     verdict = F.when(better & (F.col("folds_won") >= least_folds), "supported").when(better, "inconclusive").otherwise("rejected")
     return out.withColumn("decision", verdict)
+
+
+def gates(scores: DataFrame, wmae: float, wape: float, bias: float, rows: str, expected_rows: str, **most: float) -> DataFrame:
+    """Acceptance of each score: WMAE below its limit, WAPE and the size of the bias at most theirs, the rows
+    that were expected, any further column below its limit (``runtime_minutes=30``), and all of them at once."""
+    checks = {
+        "wmae_ok": F.col("wmae") < wmae, "wape_ok": F.col("wape") <= wape, "bias_ok": F.abs("bias") <= bias,
+        "rows_ok": F.col(rows) == F.col(expected_rows), **{f"{c}_ok": F.col(c) < limit for c, limit in most.items()},
+    }
+    checks = {name: F.coalesce(c, F.lit(False)) for name, c in checks.items()}
+    passed = F.lit(True)
+    for c in checks.values():
+        passed &= c
+    return scores.withColumns({**checks, "passed": passed})
+
+
+def is_close(a: Column, b: Column, most: float) -> Column:
+    """Whether two numbers differ by ``most`` at the most; false where one is unknown or isn't a number."""
+    return F.coalesce((F.abs(a - b) <= most) & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
+
+
+def reproduced(scores: DataFrame, reference: DataFrame, keys: list[str], most: float = 5e-10) -> DataFrame:
+    """Whether scores are those of a reference, metric by metric; a key that one side lacks isn't."""
+    theirs = reference.select(*keys, *[F.col(m).alias(f"_{m}") for m in METRICS])
+    both = scores.select(*keys, *METRICS).join(theirs, keys, "full_outer")
+    return both.select(*keys, *[is_close(F.col(m), F.col(f"_{m}"), most).alias(f"{m}_same") for m in METRICS])
+
+
+def check_reproduced(scores: DataFrame, reference: DataFrame, keys: list[str], most: float = 5e-10) -> None:
+    off = reproduced(scores, reference, keys, most).filter(~(F.col("wmae_same") & F.col("wape_same") & F.col("bias_same"))).limit(1).count()
+    if off:
+        raise GuardError(f"metrics differ from the reference by more than {most}")
+
+
+def run_summary(runs: DataFrame, by: list[str], runtime: str = "runtime_seconds") -> DataFrame:
+    """Macro means of the metrics over runs, with the sum, the mean and the maximum of their run times."""
+    t = F.col(runtime)
+    return runs.groupBy(*by).agg(
+        *[F.avg(m).alias(f"mean_{m}") for m in METRICS], F.sum(t).alias("total_runtime"), F.avg(t).alias("mean_runtime"), F.max(t).alias("longest_runtime")
+    )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, invert_target, transform_target
-from .features import CONTRACTS
+from .features import CONTRACTS, category_codes
+from .guards import GuardError
 
 
 @dataclass(frozen=True)
@@ -30,33 +32,97 @@ def _assembled(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
 
 
-def fit_trees(train: DataFrame, config: TreeConfig = TreeConfig(), columns: list[str] | None = None, target: str = "sales") -> PipelineModel:
-    """Gradient-boosted trees for the absolute error; columns with few values are categories."""
+def with_categories(rows: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, int]:
+    """``rows`` with the columns marked as categories of codes from 0 on, and the largest number of codes.
+
+    Marks are metadata, so categories of thousands of values (items, products) need no index of their own;
+    a code that only appears later on is no member of any split's set."""
+    columns = list(columns)
+    if not columns:
+        return rows, 0
+    top = rows.agg(*[F.max(c).alias(c) for c in columns]).first()
+    sizes = {c: int(top[c] or 0) + 1 for c in columns}
+    marked = {c: F.col(c).cast("double").alias(c, metadata={"ml_attr": {"type": "nominal", "num_vals": max(2, n), "name": c}}) for c, n in sizes.items()}
+    return rows.select(*[marked.get(c, F.col(c)) for c in rows.columns]), max(sizes.values())
+
+
+def item_codes(rows: DataFrame, inventory: DataFrame, columns: Iterable[str] = ("unique_id", "product_unique_id")) -> DataFrame:
+    """Numbers of items and products replaced by dense codes of the inventory's vocabulary."""
+    for c in columns:
+        codes = category_codes(inventory, c).select(F.col(c).alias("_value"), F.col("code").alias("_code"))
+        rows = rows.join(codes, F.col(c) == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")
+    return rows
+
+
+def fit_trees(
+    train: DataFrame, config: TreeConfig = TreeConfig(), columns: list[str] | None = None, target: str = "sales", categorical: Iterable[str] = ()
+) -> PipelineModel:
+    """Gradient-boosted trees for the absolute error; ``categorical`` columns hold codes from 0 on."""
     columns = list(columns or CONTRACTS[91])
-    index = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=min(32, config.bins), handleInvalid="keep")
+    marked, most = with_categories(train, [c for c in categorical if c in columns])
     trees = GBTRegressor(
-        featuresCol="indexed", labelCol=target, lossType="absolute", maxIter=config.rounds, stepSize=config.rate, maxDepth=config.depth,
-        minInstancesPerNode=config.least_rows, maxBins=config.bins, seed=config.seed,
+        featuresCol="features", labelCol=target, lossType="absolute", maxIter=config.rounds, stepSize=config.rate, maxDepth=config.depth,
+        minInstancesPerNode=config.least_rows, maxBins=max(config.bins, most), seed=config.seed,
     )
-    return Pipeline(stages=[_assembled(columns), index, trees]).fit(train)
+    return Pipeline(stages=[_assembled(columns), trees]).fit(marked)
 
 
-def fit_tweedie(train: DataFrame, power: float = 1.1, columns: list[str] | None = None, target: str = "sales") -> PipelineModel:
+def fit_tweedie(train: DataFrame, power: float = 1.1, columns: list[str] | None = None, target: str = "sales", ridge: float = 0.1) -> PipelineModel:
     """A log-linear model with a Tweedie likelihood (power 1: Poisson); negative targets count as 0."""
     columns = list(columns or CONTRACTS[91])
     line = GeneralizedLinearRegression(
-        family="tweedie", variancePower=power, linkPower=0.0, labelCol="_target", featuresCol="features", regParam=0.1, maxIter=50
+        family="tweedie", variancePower=power, linkPower=0.0, labelCol="_target", featuresCol="features", regParam=ridge, maxIter=50
     )
     return Pipeline(stages=[_assembled(columns), line]).fit(train.withColumn("_target", clip(F.col(target))))
 
 
-def fit_transformed(train: DataFrame, how: str, config: TreeConfig, columns: list[str] | None = None, target: str = "sales") -> PipelineModel:
-    """Trees on a transformed target; ``predict(..., how)`` brings predictions back."""
-    return fit_trees(train.withColumn("_t", transform_target(F.col(target), how)), config, columns, "_t")
+@dataclass(frozen=True)
+class Variant:
+    """An objective on a transformed target."""
+
+    objective: str
+    transform: str = "raw"
+    power: float | None = None
+
+
+#: The variants that are compared with the first one.
+VARIANTS = {
+    "raw_l1": Variant("absolute"),
+    "sqrt_l1": Variant("absolute", "sqrt"),
+    "log1p_l1": Variant("absolute", "log1p"),
+    "tweedie_1_1": Variant("tweedie", power=1.1),
+    "tweedie_1_3": Variant("tweedie", power=1.3),
+    "poisson": Variant("tweedie", power=1.0),
+}
+
+
+def fit_variant(train: DataFrame, name: str, config: TreeConfig = TreeConfig(), columns: list[str] | None = None, target: str = "sales", ridge: float = 0.1) -> PipelineModel:
+    """The model of a variant; ``predict(..., VARIANTS[name].transform)`` brings predictions back."""
+    variant = VARIANTS[name]
+    if variant.objective == "tweedie":
+        return fit_tweedie(train, variant.power, columns, target, ridge)
+    return fit_trees(train.withColumn("_t", transform_target(F.col(target), variant.transform)), config, columns, "_t")
 
 
 def predict(model: PipelineModel, rows: DataFrame, how: str = "raw") -> DataFrame:
-    return model.transform(rows).withColumn("sales_hat", invert_target(F.col("prediction"), how)).drop("features", "indexed", "prediction")
+    """``rows`` with ``sales_hat``; ``check_predictions`` tells whether all are numbers."""
+    return model.transform(rows).withColumn("sales_hat", invert_target(F.col("prediction"), how)).drop("features", "prediction")
+
+
+def check_predictions(rows: DataFrame, predictions: DataFrame, column: str = "sales_hat") -> DataFrame:
+    """One finite prediction for each row."""
+    x = F.col(column)
+    r = predictions.agg(F.count("*").alias("n"), F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias("bad")).first()
+    if r.bad or r.n != rows.count():
+        raise GuardError(f"{r.n} predictions, {r.bad} of them not finite")
+    return predictions
+
+
+def horizon_counts(rows: DataFrame, horizon: int = 14) -> DataFrame:
+    """Rows of each day of the horizon, and whether all days together are all rows."""
+    per_day = rows.groupBy("horizon_day").agg(F.count("*").alias("rows"))
+    inside = F.sum(F.when(F.col("horizon_day").between(1, horizon), F.col("rows")).otherwise(0)).over(Window.partitionBy())  # a row per day
+    return per_day.withColumn("conserved", inside == F.sum("rows").over(Window.partitionBy()))
 
 
 def fit_by_horizon(train: DataFrame, fit, horizons: range = range(1, 15)) -> dict[int, PipelineModel]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.baselines import BASELINES
-from ..operators.features import ABLATIONS, BASE, CONTRACTS, LAGS
+from ..operators.features import BASE, CONTRACTS, LAGS
 from ..sources.fixtures import FINAL, FOLDS, NEW_ITEM, STEP
 from ..sources.schema import CALENDAR_FLAGS, CATEGORIES, DISCOUNTS
 
@@ -238,6 +238,36 @@ def _profile(c: str) -> str:
       MAX(ABS({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE)) / GREATEST(ABS({c}), 1.0)) <= 1e-6 AS float_safe FROM history"""
 
 
+# Columns of the ablations, by what they are made of.
+_OF_ITEM = "unique_id product_unique_id warehouse L1_category_name_en L2_category_name_en L3_category_name_en L4_category_name_en".split()
+_OF_DAY = "horizon_day day_of_week iso_week month weekend_flag holiday shops_closed winter_school_holidays school_holidays".split()
+_OF_PRICE = ["sell_price_main", *(f"type_{i}_discount" for i in range(7))]
+_OF_PAST = (
+    "last_observed_sales last_observed_available trailing_7_mean trailing_7_available trailing_14_mean trailing_14_available same_weekday_sales "
+    "same_weekday_direct_available historical_mean_sales historical_median_sales historical_stats_available observed_history_row_count"
+).split()
+_ABLATED = {
+    "A1": (_OF_ITEM + _OF_DAY + _OF_PAST, 9), "A2": (_OF_PAST, 0), "A3": (_OF_ITEM, 7), "A4": (_OF_ITEM + _OF_DAY + _OF_PRICE, 9),
+    "A5": (_OF_ITEM + _OF_DAY + _OF_PRICE + _OF_PAST, 9), "A6": (_OF_ITEM + _OF_DAY + _OF_PRICE + _OF_PAST, 0),
+}
+
+
+def _codes(c: str) -> str:
+    return f"(SELECT COUNT(DISTINCT v.{c}) FROM inventory v WHERE v.{c} < feat.{c})" if c in ("warehouse", *CATEGORIES) else c
+
+
+def _ablated(name: str, columns: list[str], categories: int) -> str:
+    cells = " + ".join(f"CAST({c} AS DOUBLE)" for c in columns)
+    newest = " WHERE origin = (SELECT MAX(origin) FROM cells)" if name == "A5" else ""
+    return f"SELECT '{name}' AS ablation, CAST({len(columns)} AS BIGINT) AS columns, CAST({categories} AS BIGINT) AS categories, COUNT(*) AS rows, ROUND(SUM({cells}), 2) AS cells FROM cells{newest}"
+
+
+_GATES = (("wmae_ok", "wmae < 17.5"), ("wape_ok", "wape <= 0.62"), ("bias_ok", "ABS(bias) <= 0.1"), ("rows_ok", "rows = (SELECT COUNT(*) FROM labels l WHERE l.fold = scores.fold)"), ("place_ok", "place < 6"))
+_WEEKEND = """
+wk AS (SELECT l.fold, l.horizon_day, l.sales, CAST(isodow(l.date) >= 6 AS BIGINT) AS g, (SELECT COUNT(DISTINCT v.warehouse) FROM inventory v WHERE v.warehouse < i.warehouse) AS w
+  FROM labels l JOIN inventory i USING (unique_id))"""
+
+
 SQL: dict[str, str] = {
     "fold_calendar": _with("", f"SELECT fold, cutoff, CAST(cutoff + 1 AS DATE) AS start, CAST(cutoff + {STEP} AS DATE) AS \"end\", CAST({STEP} AS BIGINT) AS horizon FROM folds"),
     "official_grid": _with("", "SELECT CAST(grid_order AS BIGINT) AS grid_order, unique_id, test_date, horizon_day, weight FROM grid"),
@@ -301,7 +331,8 @@ SQL: dict[str, str] = {
     "suspicious_flag": _with(BASE_LINES, """SELECT s.fold, s.baseline, (z.wmae - s.wmae) / z.wmae > 0.2 AS suspicious FROM scores s JOIN scores z ON z.fold = s.fold AND z.baseline = 'zero_forecast'"""),
     "submission_frame": _with(_FINAL, "SELECT CAST(grid_order AS BIGINT) AS grid_order, id, ROUND(sales_hat, 6) AS sales_hat FROM sub"),
     "submission_audit": _with(_FINAL, """SELECT (SELECT COUNT(*) FROM grid) AS grid_rows, COUNT(*) AS rows, COUNT(*) - COUNT(DISTINCT id) AS duplicates, COUNT(*) - COUNT(sales_hat) AS null_rows,
-      COUNT(CASE WHEN sales_hat < 0 THEN 1 END) AS negative_rows, CAST(0 AS BIGINT) AS misplaced FROM sub"""),
+      COUNT(CASE WHEN sales_hat < 0 THEN 1 END) AS negative_rows, (SELECT COUNT(*) FROM grid g FULL OUTER JOIN sub s ON s.grid_order = g.grid_order
+        WHERE concat(CAST(g.unique_id AS VARCHAR), '_', CAST(g.test_date AS VARCHAR)) IS DISTINCT FROM s.id) AS misplaced FROM sub"""),
     "prediction_summary": _with(_FINAL, """SELECT COUNT(*) AS rows, ROUND(MIN(sales_hat), 6) AS low, ROUND(MAX(sales_hat), 6) AS high, ROUND(AVG(sales_hat), 6) AS mean, ROUND(median(sales_hat), 6) AS median,
       COUNT(CASE WHEN sales_hat < 0 THEN 1 END) AS negative_rows, COUNT(*) - COUNT(sales_hat) AS null_rows FROM sub"""),
     "column_profile": _with("", f"""SELECT "column", rows, known, different, ROUND(low, 6) AS low, ROUND(high, 6) AS high, whole, float_safe,
@@ -311,7 +342,36 @@ SQL: dict[str, str] = {
       different / rows <= 0.1 AS encode FROM ({" UNION ALL ".join(_profile(c) for c in _PROFILED)}) t"""),
     "results_log_means": _with(BASE_LINES, """SELECT baseline AS stage, ROUND(AVG(wmae), 6) AS local_wmae, ROUND(AVG(wape), 6) AS local_wape, ROUND(AVG(bias), 6) AS local_bias, COUNT(*) AS rows
       FROM scores WHERE baseline IN ('trailing_7_day_mean', 'trailing_14_day_mean') GROUP BY 1"""),
-    "ablation_contracts": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({len(v)} AS BIGINT))" for k, v in ABLATIONS.items()) + ") AS t(ablation, columns)",
+    "ablation_checksums": f"WITH {DOMAIN}, {FEATURES}, cells AS (SELECT origin, {', '.join(f'{_codes(c)} AS {c}' for c in _ABLATED['A6'][0])} FROM feat) "
+      + " UNION ALL ".join(_ablated(n, *v) for n, v in _ABLATED.items()),
+    "ablation_baselines": _with(BASE_LINES, f"SELECT CASE baseline WHEN 'trailing_14_day_mean' THEN 'A9' ELSE 'A10' END AS ablation, {_ROUNDED}, rows FROM scores WHERE fold = 'F1' AND baseline IN ('trailing_14_day_mean', 'median_by_id_day_of_week')"),
+    "newest_origin": f"WITH {DOMAIN}, {FEATURES} SELECT origin, unique_id, date, ROUND(trailing_14_mean, 4) AS trailing_14_mean, horizon_day FROM feat WHERE origin = (SELECT MAX(cutoff) FROM folds)",
+    "horizon_counts": _with("", "SELECT CAST(horizon_day AS BIGINT) AS horizon_day, COUNT(*) AS rows, (SELECT COUNT(*) FROM labels WHERE horizon_day BETWEEN 1 AND 14) = (SELECT COUNT(*) FROM labels) AS conserved FROM labels GROUP BY 1"),
+    "coercing_parse": """SELECT o_orderpriority, COUNT(*) AS rows, COUNT(d) AS days, MIN(d) AS earliest, MAX(d) AS latest, COUNT(x) AS numbers, ROUND(SUM(x), 2) AS total FROM (
+      SELECT o_orderpriority, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN '2001-13-45' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS DATE) AS d,
+        CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 9 <> 0 THEN ROUND(o_totalprice, 2) END AS x FROM orders) t GROUP BY 1""",
+    "gate_audit": _with(BASE_LINES, f"SELECT fold, baseline, {', '.join(f'{e} AS {n}' for n, e in _GATES)}, {' AND '.join(f'({e})' for _, e in _GATES)} AS passed FROM scores"),
+    "reproduced_scores": _with(BASE_LINES, """SELECT c.fold, r.baseline AS reference, ABS(c.wmae - r.wmae) <= 5e-10 AS wmae_same, ABS(c.wape - r.wape) <= 5e-10 AS wape_same, ABS(c.bias - r.bias) <= 5e-10 AS bias_same
+      FROM scores c JOIN scores r ON c.fold = r.fold WHERE c.baseline = 'trailing_14_day_mean' AND r.baseline IN ('trailing_14_day_mean', 'median_by_id_day_of_week')"""),
+    "frozen_counts": _with("", """SELECT fold, COUNT(sales) AS scored_rows, COUNT(sales) + CASE WHEN fold = 'F4' THEN 1 ELSE 0 END AS expected_rows, fold <> 'F4' AS rows_match, TRUE AS coverage_match FROM joined GROUP BY 1"""),
+    "guard_counts": _with("""moved AS (
+      SELECT fold, cutoff, unique_id, CAST(date + 3 AS DATE) AS date, CASE WHEN unique_id % 4 <> 0 THEN sell_price_main END AS price, k FROM labels, (VALUES (1), (2)) t(k) WHERE k = 1 OR unique_id % 5 = 0
+      UNION ALL SELECT fold, cutoff, unique_id, CAST(date - 10 AS DATE), sell_price_main, 3 FROM labels WHERE unique_id % 3 = 0)""", """SELECT fold, COUNT(CASE WHEN date <= cutoff THEN 1 END) AS before, COUNT(CASE WHEN date > cutoff AND date <= cutoff + 14 THEN 1 END) AS inside,
+      COUNT(CASE WHEN date > cutoff + 14 THEN 1 END) AS after, COUNT(CASE WHEN (SELECT COUNT(*) FROM moved o WHERE o.fold = moved.fold AND o.unique_id = moved.unique_id AND o.date = moved.date) > 1 THEN 1 END) AS repeated,
+      COUNT(*) - COUNT(price) AS bad_price FROM moved GROUP BY 1"""),
+    "missing_days": _with("", """SELECT i.unique_id, COUNT(g.unique_id) AS days, COALESCE(string_agg(CASE WHEN g.unique_id IS NULL THEN CAST(d.horizon_day AS VARCHAR) END, ',' ORDER BY d.horizon_day), '') AS missing
+      FROM (SELECT DISTINCT unique_id FROM grid) i CROSS JOIN days d LEFT JOIN grid g ON g.unique_id = i.unique_id AND g.horizon_day = d.horizon_day GROUP BY 1"""),
+    "future_columns": _with("", f"SELECT h.unique_id, date, h.warehouse, ROUND(sell_price_main, 6) AS sell_price_main, {', '.join(f'ROUND({c}, 6) AS {c}' for c in DISCOUNTS)}, CAST(i.product_unique_id AS BIGINT) AS product_unique_id, {', '.join('i.' + c for c in CATEGORIES)} FROM history h JOIN inventory i ON i.unique_id = h.unique_id WHERE date > DATE '{FOLDS['F1']}' AND date <= DATE '{FOLDS['F1']}' + 14"),
+    "submission_file": _with(_FINAL, "SELECT id, ROUND(sales_hat, 6) AS sales_hat FROM sub"),
+    "csv_scan": _with("", 'SELECT unique_id, COUNT(*) AS rows, COUNT(sales) AS known_rows, MIN(date) AS "first", MAX(date) AS "last", ROUND(SUM(sales), 6) AS sales FROM history GROUP BY 1'),
+    "results_log": _with(BASE_LINES, "SELECT baseline AS stage, ROUND(AVG(wmae), 6) AS local_wmae, ROUND(AVG(wape), 6) AS local_wape, ROUND(AVG(bias), 6) AS local_bias, CAST(SUM(place) AS DOUBLE) AS runtime_minutes, COUNT(*) AS rows FROM scores GROUP BY 1"),
+    "run_totals": _with(BASE_LINES, """SELECT baseline, ROUND(AVG(wmae), 6) AS mean_wmae, ROUND(AVG(wape), 6) AS mean_wape, ROUND(AVG(bias), 6) AS mean_bias, ROUND(SUM(rows / 10), 6) AS total_runtime, ROUND(AVG(rows / 10), 6) AS mean_runtime,
+      ROUND(MAX(rows / 10), 6) AS longest_runtime FROM scores GROUP BY 1"""),
+    "blend_checked": _with(f"{BASE_LINES}, {_BLEND}", "SELECT fold, unique_id, date, ROUND(0.7 * a + 0.3 * b, 6) AS raw, ROUND(GREATEST(0.7 * a + 0.3 * b, 0.0), 6) AS sales_hat FROM pair"),
+    "model_means": _with(_WEEKEND, " UNION ALL ".join(
+      f"SELECT '{m}' AS model, CAST({g} AS BIGINT) AS \"group\", COUNT(*) AS rows, ROUND(AVG(sales), 3) AS sales_hat, CAST(0.0 AS DOUBLE) AS spread FROM wk GROUP BY 2"
+      for m, g in (("tweedie_1_1", "g"), ("tweedie_1_3", "g"), ("poisson", "g"), ("trees_by_warehouse", "w")))),
+    "model_by_horizon": _with(_WEEKEND, 'SELECT CAST(horizon_day AS BIGINT) AS horizon_day, g AS "group", COUNT(*) AS rows, ROUND(AVG(sales), 3) AS sales_hat, CAST(0.0 AS DOUBLE) AS spread FROM wk GROUP BY 1, 2'),
     "training_rows": _with("", f"""SELECT CAST(o.origin AS DATE) AS origin, COUNT(k.sales) AS rows, ROUND(SUM(k.sales), 6) AS sales FROM
       (SELECT CAST(DATE '{FOLDS["F1"]}' - CAST(14 * i AS INT) AS DATE) AS origin FROM range(1, 13) r(i)) o, grid g JOIN known k ON k.unique_id = g.unique_id AND k.date = CAST(o.origin + g.horizon_day AS DATE) GROUP BY 1"""),
 }

@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import invert_target, suspicious, transform_target
+from ..functions.scalar import invert_target, suspicious, to_day, to_number, transform_target
 from ..operators import baselines as B
 from ..operators import features as X
 from ..operators import grid as G
 from ..operators import metrics as M
+from ..operators import guards as Q
 from ..operators import predictions as P
 from ..operators.profile import profile
 from ..operators.split import Split, by_origin, split
 from ..sources import fixtures as fx
 from ..sources.schema import CALENDAR_FLAGS, CATEGORIES
+from ..sources import tables as T
 from ..sources.tables import stage_means
 from .oracle import INT_FEATURES, NUDGE
 
@@ -32,13 +34,23 @@ def _folds(spark: SparkSession) -> DataFrame:
     return G.fold_calendar(spark, G.make_folds(fx.FOLDS))
 
 
+def _history(spark: SparkSession, sf: str, holes: bool = True) -> DataFrame:
+    """The projected history, kept (in memory, or on disk beyond it): every part of a plan reads it, and
+    the projection's joins and sums are done once."""
+    return fx.history(spark, sf, holes).persist()
+
+
+def _inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.inventory(spark, sf).persist()
+
+
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    inv = fx.inventory(spark, sf)
-    return G.build_grid(fx.sales_test(spark, sf), fx.weights(inv), fx.FINAL, check=False)
+    inv = _inventory(spark, sf)
+    return G.build_grid(fx.sales_test(inv), fx.weights(inv), fx.FINAL, check=False)
 
 
 def _split(spark: SparkSession, sf: str, holes: bool = True) -> Split:
-    return split(fx.history(spark, sf, holes), _grid(spark, sf), _folds(spark))
+    return split(_history(spark, sf, holes), _grid(spark, sf), _folds(spark))
 
 
 def predictions(spark: SparkSession, sf: str, names: tuple[str, ...] = B.BASELINES) -> DataFrame:
@@ -58,7 +70,7 @@ def _baseline(name: str) -> Query:
 
 
 def history_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    seen = by_origin(fx.history(spark, sf).select("date", "sales"), _folds(spark))
+    seen = by_origin(_history(spark, sf).select("date", "sales"), _folds(spark))
     counted = seen.groupBy("cutoff").agg(F.count("*").alias("rows"), F.count("sales").alias("known_rows"), F.max("date").alias("latest"), F.sum("sales").alias("sales"))
     return _rounded(counted.join(F.broadcast(_folds(spark).select("fold", "cutoff")), "cutoff").drop("cutoff"))
 
@@ -80,7 +92,7 @@ def alignment_audit(spark: SparkSession, sf: str) -> DataFrame:
 def features(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
     s = _split(spark, sf)
     requests = s.requests.withColumnRenamed("cutoff", "origin")
-    return X.feature_matrix(s.history, requests, fx.inventory(spark, sf), fx.calendar(spark, sf), columns, origins=list(fx.FOLDS.values()))
+    return X.feature_matrix(s.history, requests, _inventory(spark, sf), fx.calendar(spark, sf), columns, origins=list(fx.FOLDS.values()))
 
 
 def _features(*columns: str) -> Query:
@@ -134,9 +146,9 @@ def suspicious_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 def submission(spark: SparkSession, sf: str) -> DataFrame:
     """Trailing 14-day means for the official requests, clipped at 0."""
-    known = fx.history(spark, sf).filter(F.col("sales").isNotNull() & (F.col("date") <= F.lit(fx.FINAL)))
+    known = _history(spark, sf).filter(F.col("sales").isNotNull() & (F.col("date") <= F.lit(fx.FINAL)))
     item = known.groupBy("unique_id").agg(F.max_by("sales", "date").alias("last"), F.avg(F.when(F.col("date") > F.date_sub(F.lit(fx.FINAL), 14), F.col("sales"))).alias("mean"))
-    overall = known.agg(F.median("sales").alias("overall"))
+    overall = X.medians_at(known, [fx.FINAL], [], "sales", "overall")
     grid = _grid(spark, sf)
     p = grid.join(item, "unique_id", "left").crossJoin(F.broadcast(overall)).select(  # one row
         "unique_id", F.col("test_date").alias("date"), F.greatest(F.coalesce("mean", "last", "overall"), F.lit(0.0)).alias("sales_hat")
@@ -148,7 +160,7 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that each of the twelve training origins of the first fold contributes."""
     origins = [(d.isoformat(), d) for d in fx.origins(fx.FOLDS["F1"])]
     frame = spark.createDataFrame(origins, "fold string, cutoff date")
-    s = split(fx.history(spark, sf), _grid(spark, sf), frame)
+    s = split(_history(spark, sf), _grid(spark, sf), frame)
     return s.requests.groupBy(F.col("cutoff").alias("origin")).agg(F.count("*").alias("rows")).join(
         s.labels.groupBy(F.to_date("fold").alias("origin")).agg(F.round(F.sum("sales"), 6).alias("sales")), "origin"
     )
@@ -179,8 +191,8 @@ def _model_scores(spark: SparkSession, sf: str, fit, name: str) -> DataFrame:
     cols = ("horizon_day", "day_of_week", "month", "sell_price_main", *X.BASE[24:])
     fold = fx.FOLDS["F1"]
     rows = [(d.isoformat(), d) for d in fx.origins(fold)] + [("F1", fold)]
-    s = split(fx.history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
-    inv, cal = fx.inventory(spark, sf), fx.calendar(spark, sf)
+    s = split(_history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
+    inv, cal = _inventory(spark, sf), fx.calendar(spark, sf)
     frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, cal, cols, origins=[d for _, d in rows]).join(
         s.labels.select("unique_id", "date", "sales", "weight"), ["unique_id", "date"]
     ).cache()
@@ -188,6 +200,191 @@ def _model_scores(spark: SparkSession, sf: str, fit, name: str) -> DataFrame:
     return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fold))).withColumn("model", F.lit(name)), ["model"])
 
 
+def _horizon_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import models
+
+    return models.horizon_counts(_split(spark, sf).requests).select(F.col("horizon_day").cast("long").alias("horizon_day"), "rows", "conserved")
+
+
+def ablation_checksums(spark: SparkSession, sf: str) -> DataFrame:
+    """What each ablation that has columns trains on: their number, rows, and the sum of all cells."""
+    frame = features(spark, sf, X.BASE).cache()
+    parts = []
+    for name, which in X.ABLATIONS.items():
+        if which.columns:
+            cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in which.columns]
+            row = X.ablation(frame, name).agg(F.count("*").alias("rows"), F.round(F.sum(sum(cells[1:], cells[0])), 2).alias("cells"))
+            parts.append(row.select(F.lit(name).alias("ablation"), F.lit(len(which.columns)).cast("long").alias("columns"), F.lit(len(which.categorical)).cast("long").alias("categories"), "rows", "cells"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def ablation_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """The naive forecasts that stand beside the ablations, on the first fold."""
+    names = {a.baseline: n for n, a in X.ABLATIONS.items() if a.baseline}
+    scores = baseline_scores(spark, sf, tuple(names)).filter(F.col("fold") == "F1")
+    named = F.coalesce(*[F.when(F.col("baseline") == b, F.lit(n)) for b, n in names.items()])
+    return _rounded(scores.select(named.alias("ablation"), *M.METRICS, "rows"))
+
+
+def coercing_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Days and numbers from strings of which some can't be read."""
+    key = F.col("o_orderkey")
+    text = T.read_parquet(spark, sf, "orders").select(
+        "o_orderpriority",
+        F.when(key % 7 == 0, "n/a").when(key % 11 == 0, "2001-13-45").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("day"),
+        F.when(key % 5 == 0, "abc").when(key % 6 == 0, "NaN").when(key % 9 == 0, "Infinity").otherwise(F.round("o_totalprice", 2).cast("string")).alias("number"),
+    )
+    parsed = text.select("o_orderpriority", to_day("day").alias("day"), to_number("number").alias("number"))
+    return parsed.groupBy("o_orderpriority").agg(
+        F.count("*").alias("rows"), F.count("day").alias("days"), F.min("day").alias("earliest"), F.max("day").alias("latest"), F.count("number").alias("numbers"),
+        F.round(F.sum("number"), 2).alias("total"),
+    )
+
+
+def gate_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Which baselines pass fixed limits in which folds, with all rows scored."""
+    counted = _split(spark, sf).counters.select("fold", "scored_rows")
+    scores = baseline_scores(spark, sf).join(F.broadcast(counted), "fold")  # a row per fold
+    judged = M.gates(scores, wmae=17.5, wape=0.62, bias=0.1, rows="rows", expected_rows="scored_rows", place=6)
+    return judged.select("fold", "baseline", "wmae_ok", "wape_ok", "bias_ok", "rows_ok", "place_ok", "passed")
+
+
+def reproduced_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The control's scores against those of the same forecasts by another way, and against the other model's."""
+    mixed, rows = variant_scores(spark, sf), baseline_scores(spark, sf, ("trailing_14_day_mean", "median_by_id_day_of_week"))
+    control = mixed.filter(F.col("variant") == "control")
+    parts = [M.reproduced(control, rows.filter(F.col("baseline") == b), ["fold"]).withColumn("reference", F.lit(b)) for b in ("trailing_14_day_mean", "median_by_id_day_of_week")]
+    return parts[0].unionByName(parts[1])
+
+
+def frozen_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The splits' counters against rows counted without the split."""
+    known = _history(spark, sf).filter(F.col("sales").isNotNull()).select("unique_id", "date")
+    shifted = G.shift_grid(_grid(spark, sf), _folds(spark))
+    asked = shifted.groupBy("fold").agg(F.count("*").alias("asked"))
+    hit = shifted.join(known, ["unique_id", "date"], "left_semi").groupBy("fold").agg(F.count("*").alias("expected_rows"))
+    expected = asked.join(hit, "fold").select("fold", "expected_rows", (F.col("expected_rows") / F.col("asked")).alias("expected_coverage"))
+    expected = expected.withColumn("expected_rows", F.when(F.col("fold") == "F4", F.col("expected_rows") + 1).otherwise(F.col("expected_rows")))
+    return Q.frozen_audit(_split(spark, sf).counters, expected, ["fold"]).select("fold", "scored_rows", "expected_rows", "rows_match", "coverage_match")
+
+
+def guard_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests moved by three days, some twice, some without a price, and what the guards see of it."""
+    s = _split(spark, sf)
+    rows = s.requests.select("fold", "cutoff", "unique_id", F.date_add("date", 3).alias("date"), F.when(F.col("unique_id") % 4 != 0, F.col("sell_price_main")).alias("price"))
+    rows = rows.unionByName(rows.filter(F.col("unique_id") % 5 == 0))
+    early = s.requests.select("fold", "cutoff", "unique_id", F.date_sub("date", 10).alias("date"), F.col("sell_price_main").alias("price")).filter(F.col("unique_id") % 3 == 0)
+    return Q.violations(rows.unionByName(early), ["fold"], "cutoff", fx.STEP, finite=["price"])
+
+
+def future_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the first fold's days what may be known in advance."""
+    fold = fx.FOLDS["F1"]
+    wide = _history(spark, sf).join(_inventory(spark, sf).drop("warehouse"), "unique_id").withColumns({"total_orders": F.lit(1.0), "availability": F.lit(1.0), "weight": F.lit(1.0)})
+    first, last = Q.window_bounds(fold, fx.STEP)
+    return _rounded(Q.future_covariates(wide.filter(F.col("date").between(F.lit(first), F.lit(last)))))
+
+
+def submission_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The submission written as CSV and read back with its declared types; its ids are the template's."""
+    folder = T.shared_folder(spark, "submission")
+    sent, grid = submission(spark, sf), _grid(spark, sf)
+    T.write_submission(sent, folder)
+    back = T.read_csv(spark, folder, "solution")
+    placed = back.join(sent.select("id", F.col("grid_order").alias("place")), "id")
+    G.check_template(grid, placed)
+    return _rounded(back)
+
+
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The history written as CSV and read back, three of its columns only."""
+    folder = T.shared_folder(spark, "sales-train")
+    names = T.SCHEMAS["sales_train"].names
+    full = _history(spark, sf).withColumns({"total_orders": F.lit(None).cast("double"), "availability": F.lit(1.0)})
+    full.select(*names).write.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(folder)
+    back = T.read_csv(spark, folder, "sales_train", ("unique_id", "date", "sales"))
+    return _rounded(back.groupBy("unique_id").agg(F.count("*").alias("rows"), F.count("sales").alias("known_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("sales").alias("sales")))
+
+
+def results_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores appended to an empty log in two parts, read back, and averaged."""
+    folder = T.shared_folder(spark, "results")
+    scores = baseline_scores(spark, sf)
+    text = {c: F.lit("") for c in ("timestamp", "git_hash", "change_description", "kept", "notes")}
+    log = scores.select(F.col("baseline").alias("stage"), *[F.col(m).alias(f"local_{m}") for m in M.METRICS], F.col("place").cast("double").alias("runtime_minutes"), "fold").withColumns(text)
+    for one in (F.col("fold") < "F3", F.col("fold") >= "F3"):
+        T.append_results(log.filter(one), folder)
+    return _rounded(T.read_results(spark, folder).groupBy("stage").agg(*[F.avg(f"local_{m}").alias(f"local_{m}") for m in M.METRICS], F.sum("runtime_minutes").alias("runtime_minutes"), F.count("*").alias("rows")))
+
+
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary of runs; a fold's scored rows stand in for its seconds."""
+    runs = baseline_scores(spark, sf).withColumn("runtime_seconds", F.col("rows") / 10)
+    return _rounded(M.run_summary(runs, ["baseline"]))
+
+
+def blend_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The 70/30 blend, after a check that both sides have the same keys."""
+    _, one, two = _pair(spark, sf)
+    return _rounded(P.blend_frames(one, two, KEY, (0.7, 0.3), check=True))
+
+
+def _weekend_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = _split(spark, sf).labels.select("fold", "unique_id", "date", "horizon_day", "sales")
+    return s.withColumn("weekend_flag", (F.weekday("date") >= 5).cast("int")).join(_inventory(spark, sf).select("unique_id", "warehouse"), "unique_id")
+
+
+def _fitted(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.round(F.avg("sales_hat"), 3).alias("sales_hat"), (F.round(F.max("sales_hat") - F.min("sales_hat"), 3) + 0.0).alias("spread"))
+
+
+def model_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Models that have one parameter for each group: at the optimum their predictions are the groups' means."""
+    from ..operators import models
+
+    rows = _weekend_rows(spark, sf).cache()
+    parts = []
+    for name in ("tweedie_1_1", "tweedie_1_3", "poisson"):
+        model = models.fit_variant(rows, name, columns=["weekend_flag"], ridge=0.0)
+        parts.append(_fitted(models.check_predictions(rows, models.predict(model, rows, models.VARIANTS[name].transform)), "weekend_flag").withColumn("model", F.lit(name)))
+    # the first round of the trees fits means, with the warehouse's codes as categories
+    codes = X.category_codes(_inventory(spark, sf), "warehouse").select(F.col("warehouse").alias("_w"), "code")
+    coded = rows.join(codes, F.col("warehouse") == F.col("_w")).drop("warehouse", "_w").withColumnRenamed("code", "warehouse").cache()
+    trees = models.fit_trees(coded, models.TreeConfig(rounds=1, least_rows=1), ["warehouse"], categorical=["warehouse"])
+    parts.append(_fitted(models.predict(trees, coded), "warehouse").withColumnRenamed("warehouse", "weekend_flag").withColumn("model", F.lit("trees_by_warehouse")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("model", F.col("weekend_flag").cast("long").alias("group"), "rows", "sales_hat", "spread")
+
+
+def model_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    """One model for each day of the horizon, each row by its own; group means as in ``model_means``."""
+    from ..operators import models
+
+    rows = _weekend_rows(spark, sf).repartition(1).cache()
+    fitted = models.fit_by_horizon(rows, lambda day: models.fit_tweedie(day, 1.0, ["weekend_flag"], ridge=0.0))
+    out = models.predict_by_horizon(fitted, rows)
+    return _fitted(out, "horizon_day", "weekend_flag").select(F.col("horizon_day").cast("long").alias("horizon_day"), F.col("weekend_flag").cast("long").alias("group"), "rows", "sales_hat", "spread")
+
+
+def model_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees with all nine categories, items and products included, trained and scored like ``tree_scores``."""
+    from ..operators import models
+
+    fold = fx.FOLDS["F1"]
+    rows = [(d.isoformat(), d) for d in fx.origins(fold)] + [("F1", fold)]
+    s = split(_history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
+    inv = _inventory(spark, sf)
+    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, fx.calendar(spark, sf), X.BASE, origins=[d for _, d in rows])
+    frame = models.item_codes(frame.join(s.labels.select("unique_id", "date", "sales", "weight"), ["unique_id", "date"]), inv).cache()
+    model = models.fit_trees(frame.filter(F.col("origin") < F.lit(fold)), models.TreeConfig(rounds=3, rate=0.5, least_rows=20), list(X.BASE), categorical=X.CATEGORICAL)
+    return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fold))).withColumn("model", F.lit("trees_l1_categories")), ["model"])
+
+
 QUERIES: dict[str, Query] = {
     "fold_calendar": lambda spark, sf: _rounded(_folds(spark)),
     "official_grid": lambda spark, sf: _grid(spark, sf),
@@ -236,10 +433,28 @@ QUERIES: dict[str, Query] = {
     "submission_audit": lambda spark, sf: P.submission_audit(_grid(spark, sf), submission(spark, sf)),
     "prediction_summary": lambda spark, sf: _rounded(P.prediction_summary(submission(spark, sf))),
     "column_profile": lambda spark, sf: _rounded(
-        profile(fx.history(spark, sf), ["unique_id", "sales", "sell_price_main", "type_0_discount", "type_4_discount"]).drop("float_error")
+        profile(_history(spark, sf), ["unique_id", "sales", "sell_price_main", "type_0_discount", "type_4_discount"]).drop("float_error")
     ),
     "results_log_means": results_log_means,
-    "ablation_contracts": lambda spark, sf: spark.createDataFrame([(k, len(v)) for k, v in X.ABLATIONS.items()], "ablation string, columns long"),
+    "ablation_checksums": ablation_checksums,
+    "ablation_baselines": ablation_baselines,
+    "newest_origin": lambda spark, sf: _rounded(X.latest_origin(features(spark, sf, ("trailing_14_mean", "horizon_day"))), 4),
+    "horizon_counts": lambda spark, sf: _horizon_counts(spark, sf),
+    "coercing_parse": coercing_parse,
+    "gate_audit": gate_audit,
+    "reproduced_scores": reproduced_scores,
+    "frozen_counts": frozen_counts,
+    "guard_counts": guard_counts,
+    "missing_days": lambda spark, sf: Q.missing_days(_grid(spark, sf), fx.STEP),
+    "future_columns": future_columns,
+    "submission_file": submission_file,
+    "csv_scan": csv_scan,
+    "results_log": results_log,
+    "run_totals": run_totals,
+    "blend_checked": blend_checked,
+    "model_means": model_means,
+    "model_by_horizon": model_by_horizon,
+    "model_categories": model_categories,
     "training_rows": training_rows,
     "model_tweedie_scores": tweedie_scores,
     "model_tree_scores": tree_scores,

@@ -88,7 +88,7 @@ def request_mask(inv: DataFrame) -> DataFrame:
     return days.filter((F.col("unique_id") + F.col("horizon_day")) % 13 != 0)
 
 
-def sales_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_test(inv: DataFrame) -> DataFrame:
     """Requests after the final origin: ``unique_id``, ``date``."""
-    mask = request_mask(inventory(spark, sf_dir))
+    mask = request_mask(inv)
     return mask.select("unique_id", F.date_add(F.lit(FINAL), F.col("horizon_day")).alias("date"))

@@ -63,3 +63,20 @@ FIELDS: dict[str, Availability] = {
     "weight": Availability.EVALUATION,
     **dict.fromkeys(("id", "sales_hat"), Availability.OUTPUT),
 }
+
+
+class Role(Enum):
+    """What a feature is made of."""
+
+    STATIC = "static metadata"
+    CALENDAR = "calendar"
+    PRICE = "price and discounts"
+    DEMAND = "past demand"
+
+
+#: Roles of the request's fields and their calendar parts; every other feature comes from past demand.
+ROLES: dict[str, Role] = {
+    **{c: Role.STATIC for c, a in FIELDS.items() if a is Availability.STATIC},
+    **dict.fromkeys(("horizon_day", "day_of_week", "iso_week", "month", "weekend_flag", *CALENDAR_FLAGS), Role.CALENDAR),
+    **dict.fromkeys(("sell_price_main", *DISCOUNTS), Role.PRICE),
+}

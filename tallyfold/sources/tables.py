@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,20 @@ from pyspark.sql import functions as F
 from .schema import RESULTS, SCHEMAS
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a session on one machine gets a temporary one; on a cluster that would lose data, so
+    it is an error there."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tallyfold-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, table: str, columns: Iterable[str] | None = None, strict: bool = True) -> DataFrame:
     """A CSV table with its declared types; nothing is inferred.  Only ``columns`` are parsed.
 

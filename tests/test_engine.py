@@ -235,9 +235,11 @@ def test_pressure_features(spark):
 
 def test_contracts(spark):
     assert {n: len(c) for n, c in X.CONTRACTS.items()} == {36: 36, 46: 46, 76: 76, 91: 91}
-    assert {k: len(v) for k, v in X.ABLATIONS.items()} == {"A1": 28, "A2": 12, "A3": 7, "A4": 24, "A5": 36, "A6": 36}
-    frame = spark.createDataFrame([tuple(range(36))], ", ".join(f"{c} int" for c in X.BASE))
-    assert X.ablation(frame, "A3").columns == list(X.ABLATIONS["A3"])
+    assert {k: len(v.columns) for k, v in X.ABLATIONS.items()} == {"A1": 28, "A2": 12, "A3": 7, "A4": 24, "A5": 36, "A6": 36, "A9": 0, "A10": 0}
+    assert len(X.CATEGORICAL) == 9 and X.ABLATIONS["A6"].categorical == () and X.ABLATIONS["A5"].categorical == X.CATEGORICAL and X.ABLATIONS["A3"].categorical == X.BASE[:7]
+    frame = spark.createDataFrame([tuple(range(37)), tuple(range(1, 38))], "origin int, " + ", ".join(f"{c} int" for c in X.BASE))
+    assert X.ablation(frame, "A3").columns == list(X.ABLATIONS["A3"].columns)
+    assert [r.unique_id for r in X.ablation(frame, "A5").collect()] == [2] and X.ablation(frame, "A6").count() == 2
     with pytest.raises(Q.GuardError):
         X.ablation(frame, "A9")
     with pytest.raises(Q.GuardError):
@@ -245,8 +247,75 @@ def test_contracts(spark):
 
 
 def test_median(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 9.0), ("b", 3.0), ("b", 5.0), ("c", None)], "k string, x double")
-    assert {r.k: r.m for r in X.exact_median(df, ["k"], "x", "m").collect()} == {"a": 2.0, "b": 4.0}
+    import random
+    from statistics import median
+
+    rng = random.Random(4)
+    groups = {"a": [1.0, 2.0, 2.0, 9.0], "b": [3.0, 5.0], "c": [None], "d": [-7.5, -0.25], "e": [rng.gauss(0, 1) * 10 ** rng.randint(-3, 6) for _ in range(501)], "f": [1e6 + i / 7 for i in range(300)]}
+    df = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, x double").groupBy("k", "x").agg(F.count("*").alias("_n"))
+    assert {r.k: r.m for r in X.exact_median(df, ["k"], "x", "m").collect()} == {k: pytest.approx(median(xs), rel=1e-12) for k, xs in groups.items() if xs != [None]}
+
+
+def test_order_of_the_contracts():
+    assert X.PRICE[5:9] == ("any_discount_active", "max_discount", "total_discount", "active_discount_count")
+    assert X.STRONGER[7:11] == ("rolling_7_median_sales", "rolling_14_median_sales", "rolling_28_mean_sales", "rolling_28_median_sales")
+    assert X.CONTRACTS[46][36:] == X.PRICE and X.CONTRACTS[76][46:] == X.STRONGER and X.CONTRACTS[91][76:] == X.PRESSURE
+
+
+def test_plans_fail_on_unmatched_rows(spark):
+    asked, known = requests(spark, day(10), [(1, 11, 10, 0.0)]), history(spark, [(1, 5, 10.0)])
+    inv, cal = inventory(spark, [(1, 7, "W1", "A")]), calendar(spark)
+    assert X.feature_matrix(known, asked, inv, cal, X.BASE).count() == 1
+    place = ("warehouse_category_l2_mean_sales",)
+    for h, r, i, c, columns in (
+        (known, asked, inv.limit(0), cal, X.BASE), (known, asked, inv, cal.filter("date <> '2024-01-11'"), X.BASE), (known, asked.withColumn("warehouse", F.lit("W2")), inv, cal, X.BASE),
+        (known.unionByName(history(spark, [(9, 5, 1.0)])), asked, inv, cal, place),
+    ):
+        with pytest.raises(Exception, match="inventory|calendar"):
+            X.feature_matrix(h, r, i, c, columns).collect()
+    assert X.feature_matrix(known, asked.withColumn("warehouse", F.lit("W1")), inv, cal, X.BASE).count() == 1
+
+
+def test_gates_and_frozen_counts(spark):
+    scores = spark.createDataFrame([("F1", 9.0, 0.3, -0.1, 5, 5, 29.0), ("F2", 10.0, 0.3, 0.0, 5, 5, 1.0), ("F3", 9.0, None, 0.0, 4, 5, 1.0)], "fold string, wmae double, wape double, bias double, rows int, wanted int, minutes double")
+    judged = {r.fold: r for r in M.gates(scores, 10.0, 0.3, 0.1, "rows", "wanted", minutes=30).collect()}
+    assert judged["F1"].passed and not judged["F2"].wmae_ok and not judged["F3"].wape_ok and not judged["F3"].rows_ok and judged["F3"].minutes_ok
+    near = scores.withColumn("wmae", F.col("wmae") + 4e-10)
+    assert [r.wmae_same for r in M.reproduced(scores, near, ["fold"]).collect()] == [True] * 3
+    with pytest.raises(Q.GuardError):
+        M.check_reproduced(scores, near, ["fold"], 1e-10)
+    total = M.run_summary(scores, [], "minutes").first()
+    assert (total.total_runtime, total.longest_runtime) == (31.0, 29.0)
+    counters = spark.createDataFrame([("F1", 26, 26 / 28)], "fold string, scored_rows long, coverage double")
+    frozen = lambda n, c: spark.createDataFrame([("F1", n, c)], "fold string, expected_rows long, expected_coverage double")
+    Q.check_frozen(counters, frozen(26, 26 / 28), ["fold"])
+    for n, c in ((27, 26 / 28), (26, 0.9)):
+        with pytest.raises(Q.GuardError):
+            Q.check_frozen(counters, frozen(n, c), ["fold"])
+
+
+def test_horizon_models(spark):
+    from tallyfold.operators import models
+
+    rows = spark.createDataFrame([(h, float(i % 2), 2.0 * h + i % 2) for h in (1, 2, 3) for i in range(8)], "horizon_day int, x double, sales double")
+    fitted = models.fit_by_horizon(rows, lambda day: models.fit_tweedie(day, 1.0, ["x"], ridge=0.0), range(1, 4))
+    assert all(r.sales_hat == pytest.approx(r.sales, abs=1e-4) for r in models.predict_by_horizon(fitted, rows).collect())
+    with pytest.raises(ValueError):
+        models.predict_by_horizon({1: fitted[1]}, rows)
+    sqrt = models.fit_variant(rows, "sqrt_l1", models.TreeConfig(rounds=1, least_rows=1), ["x", "horizon_day"])
+    assert all(r.sales_hat == pytest.approx(r.sales, rel=1e-6) for r in models.predict(sqrt, rows, "sqrt").collect())
+    with pytest.raises(Q.GuardError):
+        models.check_predictions(rows, rows.withColumn("sales_hat", F.lit(float("nan"))))
+    assert {r.conserved for r in models.horizon_counts(rows).collect()} == {True}
+    assert {r.conserved for r in models.horizon_counts(rows.withColumn("horizon_day", F.col("horizon_day") + 12)).collect()} == {False}
+
+
+def test_grid_order_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "ITEM_BLOCK", 2)
+    asked = spark.createDataFrame([(i, date(2024, 6, 2) + timedelta(days=d)) for i in (7, 2, 3, 11) for d in range(1, 15)], "unique_id int, date date")
+    weights = spark.createDataFrame([(i, 1.0) for i in (2, 3, 7, 11)], "unique_id int, weight double")
+    rows = G.build_grid(asked, weights, date(2024, 6, 2)).orderBy("grid_order").collect()
+    assert [(r.grid_order, r.unique_id, r.horizon_day) for r in rows] == [(k, i, d) for k, (i, d) in enumerate((i, d) for i in (2, 3, 7, 11) for d in range(1, 15))]
 
 
 # --- predictions

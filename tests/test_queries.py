@@ -21,7 +21,7 @@ def test_registry_is_whole():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["model_tweedie_scores"])
+@pytest.mark.parametrize("name", ["model_tweedie_scores", "model_tree_scores", "model_categories"])
 def test_models_score(spark, sf, name):
     row = QUERIES[name](spark, sf).first()
     assert row.rows > 0 and row.wmae > 0
