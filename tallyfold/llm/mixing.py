@@ -20,8 +20,10 @@ from .common import WORD, Scratch
 CAP = 3
 #: Documents of one source and size that are ranked in one task.
 CELL_ROWS = 4096
+#: Characters of all names of sources up to which one row per source is sent to every task.
+BROADCAST_CHARS = 4_000_000
 #: The relative miss of a source's target at which its tilt is good enough, and the most steps.
-MISS, STEPS = 1e-9, 60
+MISS, STEPS = 1e-9, 120
 
 
 def words_in(text: Column) -> Column:
@@ -101,21 +103,25 @@ def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP)
         state = after
         if not state.filter("not done").limit(1).count():
             break
+    else:
+        worst = state.filter("not done").select("key").first()
+        raise RuntimeError(f"no tilt meets the target of source {worst.key!r} within {STEPS} steps")
     return state.select("key", "mean", "tilt")
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CAP) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CAP, row: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``, ``source``; other columns ignored):
     ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``copies``, ``rate``.
 
     A null or empty text has size 0 and is taken once, which adds nothing.  Null is a source of its
     own, the last.  Rows that repeat are documents of their own; of equal rows any may be the one
-    that gets a further copy, so the result is the same.  A null ``doc_id`` is a value like others.
+    that gets a further copy, so the result is the same.  ``row`` names a column of unique numbers, which
+    comes back as ``row``.  A text of any length is one regular expression's count.  A null ``doc_id`` is a value like others.
     A source without words has target 0.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid")), "sizes")
+    sized = scratch.save(docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), words_in(F.col("text")).alias("size"), (F.col(row).cast("long") if row else F.monotonically_increasing_id()).alias("uid")), "sizes")
     hist = scratch.save(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = hist.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     goals = scratch.save(targets(sizes, weights, cap), "targets")
@@ -150,14 +156,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CA
         ranked.select("doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), "rate", "lot", "uid"), "taken"
     )
     # What is still off after rounding is mended by one copy more or less of the document whose size comes nearest.
-    off = taken.groupBy("key").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off")).filter("off <> 0")
+    off = scratch.save(taken.groupBy("key").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off")).filter("off <> 0"), "off")
+    # a row per source: sent to the documents, so that those of a large source stay where they are
+    few = off.agg(F.coalesce(F.sum(F.length("key") + 24), F.lit(0)).alias("chars")).first().chars <= BROADCAST_CHARS
+    off = F.broadcast(off) if few else off
     can = F.when(F.col("off") > 0, F.col("copies") > 0).otherwise(F.col("copies") < cap)
     gap = F.abs(F.col("size") - F.abs("off"))
     mend = taken.join(off, "key").filter(can & (gap < F.abs("off"))).groupBy("key").agg(
         F.min(F.struct(gap.alias("gap"), F.col("lot"), F.col("doc_id"), F.col("uid"), F.signum("off").cast("long").alias("less"))).alias("x")
     )
-    mended = taken.join(mend.select(F.col("x.uid").alias("uid"), F.col("x.less").alias("less")), "uid", "left")
+    less = mend.select(F.col("x.uid").alias("uid"), F.col("x.less").alias("less"))
+    mended = taken.join(F.broadcast(less) if few else less, "uid", "left")  # at most a row per source
     mended = mended.withColumn("copies", F.col("copies") - F.coalesce("less", F.lit(0)))
+    if row:
+        mended = mended.withColumn("row", F.col("uid"))
     return mended.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *(["row"] if row else [])
     )
