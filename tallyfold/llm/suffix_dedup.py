@@ -406,6 +406,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text:
     bytes or more nothing is left.  In ``kept_text`` bytes that a cut leaves of a broken character are dropped.  Columns of ``docs``
     with an added name are replaced.  An empty table gives an empty result.
     """
+    if not q <= length < q + 2048:
+        raise ValueError(f"strings of {q} to {q + 2047} bytes, not {length}: a run's width has eleven bits")
     scratch = Scratch(docs.sparkSession, "repeats")
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
     own = [c for c in docs.columns if c not in {*added, "k1", "k2", "spans", "_whole"}]
