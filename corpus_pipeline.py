@@ -45,14 +45,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs, cap=CAP).groupBy("doc_id", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    per_row = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copies", "rows")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-    dealt = docs.select(*COLUMNS).join(per_row.filter("copies > 0"), same)
-    # rows that share an id share its copies as evenly as whole copies allow
-    one = F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.ceil(F.col("copies") / F.col("rows"))).cast("int")
-    return dealt.withColumn("_again", F.explode(F.array_repeat(F.lit(1), one))).select(*COLUMNS)
+    """Each row as often as the mix takes it, rows that share an id each by itself.
+
+    A document without words is taken once.  No row's copies meet: rows keep their number from the mix."""
+    numbered = Scratch(spark, "numbered").save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
+    taken = mixing.mix_sources(numbered, cap=CAP, row="_row").filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    dealt = numbered.join(taken, "_row")
+    return dealt.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
