@@ -399,7 +399,7 @@ def _templates(trees: DataFrame, scratch: Scratch) -> DataFrame:
             return step.groupBy("host").applyInArrow(_merge_trees(["host"]), "host string, tree string, n long").select("host", "tree")
         salt = F.pmod(F.xxhash64("tree"), F.ceil(F.col("trees") / FAN_IN)).alias("salt")
         after = scratch.save(
-            step.join(per_host, "host").select("host", "tree", "n", salt).groupBy("host", "salt").applyInArrow(_merge_trees(["host", "salt"]), "host string, tree string, n long"),
+            step.join(per_host, "host").select("host", "tree", "n", salt).repartition("host", "salt").groupBy("host", "salt").applyInArrow(_merge_trees(["host", "salt"]), "host string, tree string, n long"),
             "trees",
         )
         scratch.drop(step)

@@ -234,9 +234,65 @@ def test_names_of_layouts_are_content():
         assert text(f'<body><p>story</p><div class="{name}">noise</div></body>') == "story"
 
 
+def test_hard_pages():
+    def text(page):
+        return [t for _, t in html_extract.blocks(html_extract.parse(page))]
+
+    assert text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<b>" * 50_000 + "end") == ["deep", "end"]
+    assert text('x <a href="un>closed z') == ["x closed z"] and text("<a title=it's>one</a> don't") == ["one don't"]
+    assert text('<p title="a hidden gem" data-id="sidebar">one &amp; two<p hidden>three') == ["one & two"]
+    assert text("<div class=sidebar>the only text</div>") == ["the only text"]  # names that leave nothing say nothing
+    long = "c" * 60
+    labels = [html_extract.parse(f"<div class='{long}{x}'>t</div>").kids[0].label for x in "ab"]
+    assert labels[0] != labels[1] and all(len(x) < 40 for x in labels)
+
+
+def test_deep_pages_and_hosts_of_many_shapes(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN_IN", 3)
+    rows = [(n, "https://many/", f"<body><div>Follow us</div>{'<div>' * (n % 7)}<section class=s{chr(97 + n % 20)}><p>story {n}</p></section></body>") for n in range(60)]
+    rows += [(100 + n, "https://deep/", "<div>" * 2000 + f"deep {n}") for n in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {n: f"story {n}" for n in range(60)} | {100 + n: f"deep {n}" for n in range(3)}
+    assert got == {r.page_id: r.text for r in html_extract.extract(df.repartition(7)).collect()}
+
+
+def test_matching_equals_brute_force():
+    rng = np.random.default_rng(8)
+
+    def grow(depth):
+        return [str(rng.choice(list("abc"))), 1, 1, [grow(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+
+    def brute(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = [[0] * (len(b[3]) + 1) for _ in range(len(a[3]) + 1)]
+        for i, x in enumerate(a[3]):
+            for j, y in enumerate(b[3]):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(60):
+        a, b = grow(3), grow(3)
+        a[0] = b[0] = "root"
+        assert html_extract._match(a, b, {}) == brute(a, b)
+        pages = lambda t: t[1] + sum(map(pages, t[3]))
+        assert pages(html_extract.align(a, b)) == pages(a) + pages(b)
+
+
 # --- op3
 
 
+def test_spots_of_any_anchors_take_linear_time(spark):
+    import time
+
+    for t in ("the " * 250_000 + "stone river", "stone river " + "the " * 250_000, "the stone " * 100_000):
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert df.select(F.size(spotsigs.signatures(F.col("text"))).alias("n")).first().n >= 1
+        assert time.perf_counter() - start < 60
+
+
 def brute_spots(text):
     w = [x for x in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if x]
     out = set()
@@ -519,6 +575,19 @@ def test_pages_of_neighbours_fill_the_window():
     assert {p[0] for p in pieces if p[3] == 0} == set(range(0, 200, 2))
 
 
+def test_columns_encode_like_texts(monkeypatch):
+    rng = np.random.default_rng(9)
+    stems = ["".join(rng.choice(list("abcdeéßñ’'.,!#日"), rng.integers(1, 9))) for _ in range(400)]
+    texts_ = [" ".join(rng.choice(stems, rng.integers(0, 40))) + rng.choice(["", "\n", "  ", "\x85", "\x1c\xa0x"]) for _ in range(300)] + ["", " ", "a<|endoftext|>b"]
+    for units in (1_000_000, 50):  # a memo that is trimmed all the time
+        monkeypatch.setattr(bpe, "MEMO_UNITS", units)
+        enc = bpe.Encoder(WORD_BPE)
+        for part in (texts_[:100], texts_[100:200], texts_[200:-1], texts_):
+            ids, n = enc.column(pa.array(part))
+            want = enc._whole(part)
+            assert ids.tobytes() == b"".join(want) and n.tolist() == [len(w) // 4 for w in want]
+
+
 # --- op9
 
 
@@ -681,11 +750,47 @@ def test_pipeline(spark, sf, docs):
 def test_stages_on_odd_rows(spark, sf, odd, none):
     import corpus_pipeline as pipeline
 
-    for df in (odd, none):
-        for _, stage in pipeline.STAGES:
-            assert stage(spark, df, sf).count() >= 0
+    known = Counter((r.doc_id, r.text) for r in odd.collect())
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+        rows = stage(spark, odd, sf).collect()
+        found = Counter((r.doc_id, r.text) for r in rows) if name != "packing" else Counter()
+        if name.startswith("quality") or name.startswith("n-gram"):
+            assert not found - known  # rows go, none is changed
+        if name.startswith("quality"):
+            assert all(len(WORDS.findall(t or "")) >= 50 for _, t in found)
+        if name.startswith("n-gram"):
+            assert found[4, None] == found[5, ""] == found[1, _BASE] == 1 and not found[2, _BASE]
+        if name.startswith("suffix"):
+            assert all(found[k] == known[k] for k in ((4, None), (5, ""), (9, "One TWO")))
+        if name.startswith("mixing"):
+            assert set(found) <= set(known) and all(n <= 3 * known[k] for k, n in found.items()) and found[4, None] == 1
+        if name == "packing":
+            check_packing(odd, rows, 4096)
 
 
 @pytest.mark.parametrize("n", range(1, 11))
 def test_registered(n):
     assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tallyfold.llm import common
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master, fails in (("spark://host:7077", True), ("yarn", True), ("local[2]", False)):
+        session = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(RuntimeError):
+                common.shared_root(session)
+        else:
+            assert common.shared_root(session).startswith("file:")
+
+
+def test_strings_too_long_for_a_run(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs.select("doc_id", "text"), length=2100)
