@@ -6,8 +6,9 @@ that can be equal for ``LENGTH`` bytes: each window of that length has an anchor
 
 1. One scan hashes texts and finds, for each run of windows with one anchor, the run's whole
    context.  Equal contexts within a task are settled there and sent once.
-2. Runs meet by anchor.  Equal contexts settle all their windows; an anchor with one run only has no
-   repeat; what is left are the edges of repeats, different contexts of one anchor.
+2. Runs meet by anchor, those of the few heaviest anchors by anchor and context.  Equal contexts
+   settle all their windows; an anchor with one run only has no repeat; what is left are the edges of
+   repeats, different contexts of one anchor.  Rows stream by in order, so no task holds an anchor.
 3. The bytes of these contexts meet by anchor, and their window positions are refined: buckets by
    64-grams, then twice by the buckets of later offsets, the second time by the updated ones
    (64, 128, ``LENGTH``); positions alone in a bucket drop out.  Buckets that keep two are repeats.
@@ -37,6 +38,12 @@ Q = 32
 SETTLE_RUNS, REFINE_BYTES = 400_000, 1_500_000
 #: Contexts of one anchor beyond which windows are counted by a shuffle instead of in one task.
 HOT_CONTEXTS = 20_000
+#: An anchor with more than two in this many of all runs is dealt by its contexts, so at most this many are.
+HEAVY = 10_000
+#: Rows of one context that are held before all but two are passed on.
+KEPT_RUNS = 100_000
+#: Hot anchors up to which their list is broadcast (a long and a boolean each); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of a huge text that are looked at together.
 PIECE = 1_000_000
 
@@ -139,12 +146,15 @@ def _pack(lo, hi, many):
 
 def _scan(length: int, q: int):
     """Rows of runs to meet by anchor (``place`` packs starts and whether equal contexts were
-    settled here), and rows of settled intervals (null anchor; ``context`` holds the end)."""
+    settled here), rows of settled intervals (null anchor; ``context`` holds the end), and rows of
+    anchors with many runs among those settled together (null key; ``context`` holds the runs)."""
 
-    def rows(anchor, context, k1, k2, place, gap):
-        mask = np.full(len(k1), gap)
+    def rows(anchor, context, k1, k2, place, gap=False, keyless=False):
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor, pa.int64(), mask=mask), pa.array(context, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int32()), pa.array(place, pa.int64())],
+            [
+                pa.array(anchor, pa.int64(), mask=np.full(len(anchor), gap)), pa.array(context, pa.int64()),
+                pa.array(k1, pa.int64(), mask=np.full(len(anchor), keyless)), pa.array(k2, pa.int32()), pa.array(place, pa.int64()),
+            ],
             names=["anchor", "context", "k1", "k2", "place"],
         )
 
@@ -157,12 +167,17 @@ def _scan(length: int, q: int):
         head[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
         count = np.diff(np.append(np.flatnonzero(head), len(anchor)))
         many = np.repeat(count > 1, count)
-        yield from pieces(rows(anchor[head], context[head], k1[head], k2[head], _pack(lo[head], hi[head], many[head].astype("i8")), False))
+        yield from pieces(rows(anchor[head], context[head], k1[head], k2[head], _pack(lo[head], hi[head], many[head].astype("i8"))))
+        anchors, sent = np.unique(anchor[head], return_counts=True)
+        often = (sent > 1) & (sent * HEAVY >= len(count))
+        if often.any():
+            none = np.zeros(int(often.sum()), "i8")
+            yield from pieces(rows(anchors[often], sent[often], none, none.astype("i4"), none, keyless=True))
         if many.any():
             owner, a, b = _merged(text[many], lo[many], hi[many] + length)
             first = dict(zip(text.tolist(), range(len(text)), strict=True))
             at = np.array([first[t] for t in owner.tolist()])
-            yield from pieces(rows(np.zeros(len(a), "i8"), b, k1[at], k2[at], a, True))
+            yield from pieces(rows(np.zeros(len(a), "i8"), b, k1[at], k2[at], a, gap=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -188,51 +203,64 @@ def _scan(length: int, q: int):
 
 def _meet(length: int):
     """Runs in the order of (anchor, context): intervals of equal contexts, and the runs of anchors
-    with different contexts (one of each repeated context, which needs no answer).  All runs of one
-    anchor are held at once."""
+    with different contexts (one of each repeated context, which needs no answer).  A heavy anchor
+    may have contexts in other tasks, so all of its contexts count as edges.  The rows of a batch's
+    last context are carried to the next batch, all but two of a long context are passed on before."""
 
-    def decide(anchor, context, k1, k2, place):
-        many, lo = place & 1, place >> 12
-        hi = lo + (place >> 1 & 0x7FF)
+    def out(cols, anchors, needs):
+        anchor, _, k1, k2, place, _ = cols
+        lo = place >> 12
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(k1, pa.int64()), pa.array(k2, pa.int32()), pa.array(lo, pa.int32()), pa.array(lo + (place >> 1 & 0x7FF) + length, pa.int32()),
+                pa.array(anchor, pa.int64(), mask=np.full(len(lo), not anchors)), pa.array(needs),
+            ],
+            names=["k1", "k2", "a", "b", "anchor", "needs"],
+        )
+
+    def full(cols, pick):
+        if pick.any():
+            yield out([c[pick] for c in cols], False, np.zeros(int(pick.sum()), bool))
+
+    def decide(cols, before, after):
+        """Whole contexts; the first anchor has had contexts ``before``, the last has some ``after``."""
+        anchor, context, _, _, place, heavy = cols
+        many = place & 1
         new_a = np.ones(len(anchor), bool)
         new_a[1:] = anchor[1:] != anchor[:-1]
         new_c = new_a.copy()
         new_c[1:] |= context[1:] != context[:-1]
         c_id, a_id = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
-        repeated = np.bincount(c_id, minlength=1) + np.bincount(c_id, weights=many, minlength=1) > 1
-        contexts = np.bincount(a_id[new_c], minlength=1)
-        full = repeated[c_id] & (many == 0)
-        edge = (contexts[a_id] > 1) & (~repeated[c_id] | new_c)
-
-        def out(pick, anchors, needs):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(k1[pick], pa.int64()), pa.array(k2[pick], pa.int32()), pa.array(lo[pick], pa.int32()),
-                    pa.array(hi[pick] + length, pa.int32()),
-                    pa.array(anchor[pick], pa.int64(), mask=np.full(int(pick.sum()), not anchors)), pa.array(needs),
-                ],
-                names=["k1", "k2", "a", "b", "anchor", "needs"],
-            )
-
-        if full.any():
-            yield out(full, False, np.zeros(int(full.sum()), bool))
+        repeated = np.bincount(c_id) + np.bincount(c_id, weights=many) > 1
+        contexts = np.bincount(a_id[new_c])
+        contexts[0] += before
+        contexts[-1] += after
+        yield from full(cols, repeated[c_id] & (many == 0))
+        edge = ((contexts[a_id] > 1) | heavy) & (~repeated[c_id] | new_c)
         if edge.any():
-            yield out(edge, True, ~repeated[c_id[edge]])
+            yield out([c[edge] for c in cols], True, ~repeated[c_id[edge]])
 
     def run(batches):
-        rest = None
+        rest, before = None, False
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
+            anchor, context = cols[:2]
+            if not len(anchor):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            cut = int(np.argmax((anchor == anchor[-1]) & (context == context[-1])))
             rest = [c[cut:] for c in cols]
             if cut:
-                yield from decide(*[c[:cut] for c in cols])
-        if rest is not None and len(rest[0]):
-            yield from decide(*rest)
+                after = bool(anchor[cut - 1] == anchor[cut])
+                yield from decide([c[:cut] for c in cols], before, after)
+                before = after
+            if len(rest[0]) > KEPT_RUNS:
+                tail = [c[2:] for c in rest]
+                yield from full(tail, tail[4] & 1 == 0)
+                rest = [c[:2] for c in rest]
+        if rest is not None:
+            yield from decide(rest, before, False)
 
     return run
 
@@ -340,13 +368,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, q: i
     of byte intervals that repeated windows cover; keys without any are left out."""
     runs_ = scratch.save(docs.select("text", "k1", "k2").mapInArrow(_scan(length, q), _RUN), "runs")
     settled = runs_.filter("anchor is null").select("k1", "k2", F.col("place").cast("int").alias("a"), F.col("context").cast("int").alias("b"))
-    met = scratch.save(
-        runs_.filter("anchor is not null").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_meet(length), _FOUND), "met"
-    )
+    runs_of = runs_.filter("anchor is not null and k1 is not null")
+    # The counts of an anchor add up to no more than all runs, so at most HEAVY anchors are broadcast.
+    heavy = runs_.filter("anchor is not null and k1 is null").groupBy("anchor").agg(F.sum("context").alias("n"))
+    heavy = heavy.filter(F.col("n") * HEAVY >= runs_of.count()).select("anchor", F.lit(True).alias("heavy"))
+    dealt = runs_of.join(F.broadcast(heavy), "anchor", "left").select(*runs_of.columns, F.coalesce("heavy", F.lit(False)).alias("heavy"))
+    dealt = dealt.repartition("anchor", F.when(F.col("heavy"), F.col("context"))).sortWithinPartitions("anchor", "context")
+    met = scratch.save(dealt.mapInArrow(_meet(length), _FOUND), "met")
     equal = met.filter("anchor is null").select("k1", "k2", "a", "b")
     edges = met.filter("anchor is not null")
     per_anchor = edges.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-    flagged = edges.join(per_anchor, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    per_anchor = scratch.save(per_anchor, "hot")
+    flagged = edges.join(F.broadcast(per_anchor) if per_anchor.count() <= BROADCAST_ROWS else per_anchor, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = flagged.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "a", "b", "needs", "hot")).alias("wanted"))
 
     def cut(batches):

@@ -477,9 +477,41 @@ def test_repeats(spark, odd, docs, none):
 
 def test_hot_anchors_and_pieces(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 2)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 0)  # test_repeats deals nearly all anchors by their contexts, this one none
     assert spans_of(docs) == brute_repeats(texts(docs), 200)
 
 
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 1)), max_size=40), st.integers(1, 9), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_meeting_of_runs_streams(runs, step, heavy):
+    """Whatever the batches: equal contexts, and one of each context of anchors with several."""
+    runs = sorted(runs)
+    place = [i << 12 | 3 << 1 | many for i, (_, _, many) in enumerate(runs)]
+    columns = [[r[0] for r in runs], [r[1] for r in runs], [0] * len(runs), [0] * len(runs), place, [heavy] * len(runs)]
+    table = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_()], strict=True)],
+        names=["anchor", "context", "k1", "k2", "place", "heavy"],
+    )
+    kept, suffix_dedup.KEPT_RUNS = suffix_dedup.KEPT_RUNS, 3
+    try:
+        parts = [table.slice(a, step) for a in range(0, len(runs), step)]
+        got = [r for b in suffix_dedup._meet(200)(iter(parts)) for r in b.to_pylist()]
+    finally:
+        suffix_dedup.KEPT_RUNS = kept
+    groups, contexts = defaultdict(list), defaultdict(set)
+    for i, (anchor, context, many) in enumerate(runs):
+        groups[anchor, context].append((i, many))
+        contexts[anchor].add(context)
+    equal, edges = [], []
+    for (anchor, _), rows in groups.items():
+        again = len(rows) + sum(many for _, many in rows) > 1
+        equal += [i for i, many in rows if again and not many]
+        edges += [(anchor, rows[0][0], not again)] * (heavy or len(contexts[anchor]) > 1)
+    assert sorted(r["a"] for r in got if r["anchor"] is None) == sorted(equal)
+    assert sorted((r["anchor"], r["a"], r["needs"]) for r in got if r["anchor"] is not None) == sorted(edges)
+    assert all(r["b"] == r["a"] + 3 + 200 for r in got)
+
+
 @given(st.lists(st.text(alphabet="ab", max_size=120), max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_refine(parts):
