@@ -152,9 +152,9 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def _only(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """``df`` joined to the rows of ``ids``: by broadcast up to ``BROADCAST_ROWS`` rows of two or three longs."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -291,14 +291,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     # slightly wider than the ratio of sizes that can link, so that these are in the same or the next step
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(den / num))).cast("int")
     size = member.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("elements"))
-    large = (F.col("m") > BLOCK_SETS) | (F.col("elements") > BLOCK_ELEMENTS)
-    member = member.join(size.withColumn("large", large).select("comp", "large"), "comp").withColumn("step", F.when(F.col("large"), step).otherwise(0))
-    parts = member.groupBy("comp", "step").agg(
-        F.when(F.first("large"), F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS))).otherwise(1).cast("int").alias("parts")
-    )
-    member = scratch.save(
-        member.join(parts, ["comp", "step"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("cid", "comp", "step", "part"), "members"
+    # Only large components, one for each BLOCK_SETS sets or BLOCK_ELEMENTS elements at most, are looked up.
+    large = scratch.save(size.filter((F.col("m") > BLOCK_SETS) | (F.col("elements") > BLOCK_ELEMENTS)).select("comp", F.lit(True).alias("large")), "large")
+    member = _only(member, large, "comp", "left").withColumn("step", F.when(F.col("large"), step).otherwise(0))
+    cuts = scratch.save(
+        member.filter("large").groupBy("comp", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("parts")), "cuts"
     )
+    member = _only(member, cuts, ["comp", "step"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    member = scratch.save(member.select("cid", "comp", "step", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")), "members")
+    whole_ones = size.join(large, "comp", "left_anti").select("comp", F.lit(0).alias("step"), F.lit(1).alias("parts"))
+    parts = cuts.unionByName(whole_ones)
     one = parts.select("comp", "step", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     other = one.select("comp", F.col("step").alias("step2"), F.col("part").alias("part2"))
     near_size = (F.col("step2") == F.col("step")) & (F.col("part2") >= F.col("part")) | (F.col("step2") == F.col("step") + 1)
