@@ -731,7 +731,8 @@ def test_jaccard_join(odd, docs, none, k, num, den):
     assert ngram_join.jaccard_join(none, k, num, den).count() == 0
 
 
-def test_jaccard_join_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_jaccard_join_in_small_blocks(spark, monkeypatch, broadcast):
     rng = np.random.default_rng(7)
     base = [f"w{i}" for i in range(90)]
     rows = []
@@ -742,8 +743,9 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w[: 90 - int(rng.integers(0, 12))])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_join(rows, 3, 80, 100)
-    for name, value in (("BLOCK_SETS", 20), ("WINDOW", 500), ("BROADCAST_ROWS", 0)):
+    for name, value in (("BLOCK_SETS", 20), ("WINDOW", 500)):
         monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
     assert sorted((tuple(r) for r in ngram_join.jaccard_join(df, 3, 80, 100).collect()), key=as_key) == want
 
 
