@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    filter_audit,
     html_extract,
+    kd_shards,
     license_scan,
     line_crf,
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     spotsigs,
     suffix_dedup,
     token_counts,
@@ -79,6 +82,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"), periodic_runs.planted)
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.kd_shards(read_table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_wrapper_extract": op2_wrapper_extract,
@@ -90,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_retrieval_packing": op8_retrieval_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_kd_shards": op13_kd_shards,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -112,4 +130,34 @@ reached AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM
 smallest AS (SELECT x, MIN(y) AS component_id FROM reached GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, (SELECT COUNT(*) FROM links l WHERE l.x = doc_id) AS n_links
 FROM sets JOIN smallest ON x = doc_id""",
+    "op11_filter_audit": """
+WITH texts AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, BOOL_OR(quality = 1) AS good, BOOL_OR(toxic = 1) AS toxic FROM labels GROUP BY 1),
+flags AS (
+  SELECT part, COALESCE(good, FALSE) AS good, COALESCE(toxic, FALSE) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > MIN(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+  FROM texts LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, failed, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic FROM flags GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) r(step)),
+judged AS (
+  SELECT part, filter_order, step, f, failed, n, good, toxic, contains(failed, f) AS fails,
+    before <> '' AND regexp_matches(failed, '[' || before || '_]') AS gone
+  FROM steps, cells),
+counted AS (
+  SELECT part, filter_order, step, f, COALESCE(SUM(n) FILTER (NOT gone AND NOT fails), 0) AS kept, COALESCE(SUM(n) FILTER (NOT gone AND fails), 0) AS removed,
+    COALESCE(SUM(n) FILTER (gone AND fails), 0) AS redundant, COALESCE(SUM(n) FILTER (failed = f), 0) AS unique_fails,
+    COALESCE(SUM(good) FILTER (NOT gone AND fails), 0) AS good_lost, COALESCE(SUM(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(SUM(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted""",
 }
