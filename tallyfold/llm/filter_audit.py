@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import permutations
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from .words import Words, code_points_before, distinct_per_text, utf8
 
 FILTERS = "ABCDE"
 N = len(FILTERS)
+SUBSETS = range(1 << N)
 #: Filters that look at one text; the last one looks at all of them.
 LOCAL = N - 1
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER = 200, 50, 3
@@ -97,44 +99,36 @@ def _holds(subset: int, i: int) -> bool:
 
 def joint_failures(counted: DataFrame) -> DataFrame:
     """A row per part: for each of the 32 subsets the rows, good rows and toxic rows that fail all of it."""
-    flags = [F.shiftright("fails", i).bitwiseAND(F.lit(1)) for i in range(LOCAL)]
-    flat = counted.select("lang", *[f.cast("long").alias(f"f{i}") for i, f in enumerate(flags)], "good", "toxic", "n", "later")
+    flat = counted.select("lang", *[F.expr(f"cast(shiftright(fails, {i}) & 1 as bigint)").alias(f"f{i}") for i in range(LOCAL)], "good", "toxic", "n", "later")
 
-    def product(subset: int, weight: str | None) -> Column:
-        out = F.col("later" if _holds(subset, LOCAL) else "n")
-        for i in range(LOCAL):
-            if _holds(subset, i):
-                out = out * F.col(f"f{i}")
-        return out * F.col(weight) if weight else out
+    def product(subset: int, weight: str | None) -> str:
+        factors = ["later" if _holds(subset, LOCAL) else "n", *[f"f{i}" for i in range(LOCAL) if _holds(subset, i)], *([weight] if weight else [])]
+        return " * ".join(factors)
 
-    sums = [F.sum(product(s, w)).alias(f"{name}_{s}") for name, w in (("n", None), ("good", "good"), ("toxic", "toxic")) for s in range(1 << N)]
+    sums = [F.expr(f"sum({product(s, w)})").alias(f"{name}_{s}") for name, w in (("n", None), ("good", "good"), ("toxic", "toxic")) for s in SUBSETS]
     return flat.groupBy(F.col("lang").alias("part")).agg(*sums)
 
 
-def _signed(name: str, terms: dict[int, int]) -> Column:
-    """The sum of the joint failures of subsets, each so many times."""
-    out = F.lit(0).cast("long")
-    for subset, times in terms.items():
-        out = out + F.col(f"{name}_{subset}") * times
-    return out
+def _signed(name: str, terms: dict[int, int]) -> str:
+    """SQL of the sum of the joint failures of subsets, each so many times."""
+    return " + ".join(f"{times} * {name}_{subset}" for subset, times in terms.items())
 
 
 def inverted(joint: DataFrame) -> DataFrame:
     """Per part: survivors of each set of filters (all, good and toxic rows), and each filter's failures,
     failures of it alone, and Shapley sum."""
-    every = range(1 << N)
     size = int.bit_count
 
     def survivors(name: str) -> Column:
-        return F.array(*[_signed(name, {s: (-1) ** size(s) for s in every if s & p == s}) for p in every])
+        return F.expr(f"array({', '.join(_signed(name, {s: (-1) ** size(s) for s in SUBSETS if s & p == s}) for p in SUBSETS)})")
 
     def of_filter(terms) -> Column:
-        return F.array(*[_signed("n", {s: terms(s) for s in every if _holds(s, i)}) for i in range(N)])
+        return F.expr(f"array({', '.join(_signed('n', {s: terms(s) for s in SUBSETS if _holds(s, i)}) for i in range(N))})")
 
-    orders = len(list(permutations(FILTERS)))
+    orders = factorial(N)
     return joint.select(
         "part", survivors("n").alias("kept"), survivors("good").alias("good"), survivors("toxic").alias("toxic"),
-        F.array(*[F.col(f"n_{1 << i}") for i in range(N)]).alias("fails"),
+        F.array(*[f"n_{1 << i}" for i in range(N)]).alias("fails"),
         of_filter(lambda s: (-1) ** (size(s) - 1)).alias("alone"),
         # a dividend is shared by the filters of its subset alike
         of_filter(lambda s: (-1) ** (size(s) - 1) * orders // size(s)).alias("shapley"),
@@ -156,11 +150,11 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     wide = inverted(joint_failures(cells(docs, labels)))
     orders = F.array(*[F.lit("".join(o)) for o in permutations(FILTERS)])
-    steps = wide.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(N))))
-    one = lambda k: F.expr(f"shiftleft(1, ascii(substring(filter_order, {k}, 1)) - {ord(FILTERS[0])})")
-    before = sum((F.when(F.col("step") > k, one(k)).otherwise(0) for k in range(1, N)), F.lit(0))
-    here = F.ascii(F.expr("substring(filter_order, step, 1)")) - ord(FILTERS[0])
-    at = steps.withColumns({"_f": here, "_before": before}).withColumn("_after", F.expr("_before + shiftleft(1, _f)"))
+    bit = lambda k: f"shiftleft(1, ascii(substring(filter_order, {k}, 1)) - {ord(FILTERS[0])})"
+    before = " + ".join(f"if(step > {k}, {bit(k)}, 0)" for k in range(1, N))
+    at = wide.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(N)))).withColumns(
+        {"_f": F.expr(f"ascii(substring(filter_order, step, 1)) - {ord(FILTERS[0])}"), "_before": F.expr(before), "_after": F.expr(f"{before} + {bit('step')}")}
+    )
     lost = lambda c: F.get(c, F.col("_before")) - F.get(c, F.col("_after"))
     return at.select(
         "part", "filter_order", "step", F.get("kept", F.col("_after")).alias("kept"), lost("kept").alias("removed"),

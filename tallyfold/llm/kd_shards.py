@@ -120,34 +120,32 @@ def _bits(value: int) -> tuple[int, int, int]:
     return value >> 2 * HASH_BITS, value >> HASH_BITS & mask, value & mask
 
 
-def _left_of(node: Node) -> Column:
+def _left_of(node: Node) -> str:
     level, text, own = _bits(node.cut)
-    c = F.col(DIMENSIONS[node.dim])
-    return (c < level) | (c == level) & ((F.col("_text") < text) | (F.col("_text") == text) & (F.col("_own") < own))
+    c = DIMENSIONS[node.dim]
+    return f"({c} < {level} or {c} = {level} and (_text < {text} or _text = {text} and _own < {own}))"
 
 
-def by_leaf(node: Node, value=lambda leaf: F.lit(leaf.first)) -> Column:
-    """A value of the leaf that a row is in, by default its smallest shard."""
+def by_leaf(node: Node, value=lambda leaf: str(leaf.first)) -> str:
+    """SQL of a value of the leaf that a row is in, by default its smallest shard."""
     if node.left is None:
         return value(node)
-    return F.when(_left_of(node), by_leaf(node.left, value)).otherwise(by_leaf(node.right, value))
+    return f"case when {_left_of(node)} then {by_leaf(node.left, value)} else {by_leaf(node.right, value)} end"
 
 
-def _bin(node: Node) -> Column:
-    """The node and the next bits of a row's key, where it begins with what is known of the node's cut; null elsewhere."""
+def _bin(node: Node) -> str:
+    """SQL of the node and the next bits of a row's key, where it begins with what is known of the node's cut; null elsewhere."""
     if node.shards == 1 or node.cut is not None:
-        return F.lit(None).cast("long")
+        return "cast(null as bigint)"
     level, text, own = _bits(node.prefix << KEY_BITS - node.known)
     hash_bits = node.known - LEVEL_BITS
-    inside = F.col(DIMENSIONS[node.dim]) == level
-    column, done = ("_text", hash_bits) if hash_bits < HASH_BITS else ("_own", hash_bits - HASH_BITS)
+    inside = f"{DIMENSIONS[node.dim]} = {level}"
+    column, value, done = ("_text", text, hash_bits) if hash_bits < HASH_BITS else ("_own", own, hash_bits - HASH_BITS)
     if column == "_own":
-        inside = inside & (F.col("_text") == text)
+        inside += f" and _text = {text}"
     if done:
-        rest = HASH_BITS - done
-        inside = inside & (F.shiftright(column, rest) == (text if column == "_text" else own) >> rest)
-    next_ = F.shiftright(column, HASH_BITS - done - BIN_BITS).bitwiseAND(F.lit((1 << BIN_BITS) - 1).cast("long"))
-    return F.when(inside, next_ + (node.first << BIN_BITS))
+        inside += f" and shiftright({column}, {HASH_BITS - done}) = {value >> HASH_BITS - done}"
+    return f"case when {inside} then (shiftright({column}, {HASH_BITS - done - BIN_BITS}) & {(1 << BIN_BITS) - 1}L) + {node.first << BIN_BITS}L end"
 
 
 def _advance(node: Node, bins: list[tuple[int, int, int]]) -> None:
@@ -171,7 +169,7 @@ def grow(rows: DataFrame, shards: int) -> Node:
         # all dimensions' levels in one pass
         each = F.posexplode(F.array(*DIMENSIONS)).alias("dim", "bin")
         seen: dict[int, list[tuple]] = {n.first: [] for n in open_}
-        levels = rows.select(by_leaf(root).alias("node"), "size", each).groupBy("node", "dim", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+        levels = rows.select(F.expr(by_leaf(root)).alias("node"), "size", each).groupBy("node", "dim", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
         for r in levels.collect():  # at most nodes times dimensions times levels
             if r["node"] in seen:
                 seen[r["node"]].append((r["dim"], r["bin"], r["w"], r["n"]))
@@ -183,7 +181,7 @@ def grow(rows: DataFrame, shards: int) -> Node:
             n.wanted = max(1, (2 * total * (n.shards // 2) + n.shards) // (2 * n.shards)) if total else 0
             _advance(n, of[n.dim])
         while looking := [n for n in open_ if n.cut is None]:
-            finer = rows.select(by_leaf(root, _bin).alias("bin"), "size").groupBy("bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+            finer = rows.select(F.expr(by_leaf(root, _bin)).alias("bin"), "size").groupBy("bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
             of = {n.first: [] for n in looking}
             for r in finer.collect():  # at most nodes times bins
                 if r["bin"] is not None:
@@ -224,5 +222,5 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "kd-shards")
     rows = narrow(docs, scratch)
     tree = grow(rows, shards)
-    numbered = _slots(rows.select("doc_id", "size", "text_crc32", "_text", "_row", by_leaf(tree).cast("int").alias("shard")), scratch)
+    numbered = _slots(rows.select("doc_id", "size", "text_crc32", "_text", "_row", F.expr(by_leaf(tree)).cast("int").alias("shard")), scratch)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
