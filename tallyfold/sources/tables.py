@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, computed and kept in the shared folder, without what it came from."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def read_csv(spark: SparkSession, path: str, table: str, columns: Iterable[str] | None = None, strict: bool = True) -> DataFrame:
     """A CSV table with its declared types; nothing is inferred.  Only ``columns`` are parsed.
 
