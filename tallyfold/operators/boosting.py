@@ -18,26 +18,22 @@ from __future__ import annotations
 
 import heapq
 import math
-import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, cloudpickle
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import clip
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, on_executors
 from .features import _bin
 from .guards import GuardError
 
-# executors get this module's functions with the tasks
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 @dataclass(frozen=True)
 class BoostConfig:
@@ -59,8 +55,8 @@ class BoostConfig:
     category_smooth: float = 10.0
     category_ridge: float = 10.0
     #: Rows of a block, and rounds after which the blocks' lineage is cut.
-    block_rows: int = 131_072
-    cut_rounds: int = 25
+    block_rows: int = 1 << 20
+    cut_rounds: int = 10
 
 
 @dataclass
@@ -95,6 +91,10 @@ class Boosted:
         """The largest value on the left of a split of numbers."""
         return float(self.edges[tree.feature[node]][tree.bin[node]])
 
+    def categories(self, tree: Tree, node: int) -> list[int]:
+        """The categories on the left of a split of categories."""
+        return (tree.codes[node] - 1).tolist()
+
 
 # --- bins
 
@@ -282,6 +282,8 @@ _SPLIT = "node long, feature int, bin int, codes binary, gain double, g double,
 _SPLIT_ARROW = pa.schema(
     [("node", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("codes", pa.binary()), *[(c, pa.float64()) for c in ("gain", "g", "h", "n", "left_g", "left_h", "left_n")]]
 )
+#: Bytes of sums that a task adds up, at about; those of a leaf's counts.
+REDUCED_BYTES, COUNT_BYTES = 16_000_000, 16_000
 #: A node's number: the model's times this, and its own.
 NODES = 1 << 20
 
@@ -591,6 +593,7 @@ def fit_boosted(
     category goes right, a null target is an error.  For poisson and tweedie a negative target counts as 0."""
     columns, categorical = list(columns), [c for c in categorical if c in set(columns)]
     spark = train.sparkSession
+    on_executors(spark)
     y = F.col(target).cast("double")
     y = y if config.objective == "absolute" else F.when(y.isNull(), y).otherwise(clip(y))
     numbers = [c for c in columns if c not in categorical]
@@ -606,18 +609,24 @@ def fit_boosted(
     parts = max(1, math.ceil(total / config.block_rows))
     # enough blocks for all cores, as long as they are worth a task
     parts = max(parts, min(spark.sparkContext.defaultParallelism, math.ceil(total / 4096)))
-    blocks = keyed.repartition(parts).mapInArrow(partial(_pack, layout), _BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
-    reducers = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(columns) * len(models)))
+    # no pass carries the plan that the rows come from
+    blocks = checkpointed(keyed.repartition(parts).mapInArrow(partial(_pack, layout), _BLOCK)).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed.unpersist()
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def reducers(nodes: int, width: int) -> int:
+        """Tasks for the sums of so many nodes, of so many bytes from each block."""
+        return max(1, min(most, math.ceil(nodes * width * parts / REDUCED_BYTES)))
+
+    width = 24 * sum(config.bins if e is None else len(e) + 2 for e in layout.edges)
 
     trees: dict[int, list[Tree]] = {m: [] for m in models}
     if config.objective == "absolute":
         root = Tree([-1], [-1], [None], [-1], [-1], [0.0], [0.0])
-        medians = leaf_medians(blocks, layout, {i: root for i in range(len(models))}, reducers)
+        medians = leaf_medians(blocks, layout, {i: root for i in range(len(models))}, reducers(len(models), COUNT_BYTES))
         start = {i: medians[i * NODES] for i in range(len(models))}
     else:
-        blocks.count()
         start = {i: math.log(max(float(stats[m]["y"]) / stats[m]["n"], 1e-9)) for i, m in enumerate(models)}
-    keyed.unpersist()  # the blocks are there
     steps: dict = start
     open_ = set(range(len(models)))
     for round_ in range(config.rounds):
@@ -635,7 +644,7 @@ def fit_boosted(
                 asked[m] = tree, [at[v] for v in nodes]
                 back |= {m * NODES + at[v]: v for v in nodes}
             sums = blocks.mapInArrow(partial(_histograms, layout, config, asked), _SUMS)
-            met = sums.repartition(reducers, "feature", "node").sortWithinPartitions("feature", "node", "part")
+            met = sums.repartition(reducers(len(back), width), "feature", "node").sortWithinPartitions("feature", "node", "part")
             best: dict[int, object] = {}
             for r in met.mapInArrow(partial(_best_splits, layout, config), _SPLIT).collect():  # at most nodes times reducers
                 if r["node"] not in best or (-r["gain"], r["feature"]) < (-best[r["node"]]["gain"], best[r["node"]]["feature"]):
@@ -661,7 +670,7 @@ def fit_boosted(
         if not steps:
             break
         if config.objective == "absolute":
-            for number, value in leaf_medians(blocks, layout, steps, reducers).items():
+            for number, value in leaf_medians(blocks, layout, steps, reducers(len(steps) * config.leaves, COUNT_BYTES)).items():
                 steps[number // NODES].value[number % NODES] = config.rate * value
         for m, tree in steps.items():
             trees[models[m]].append(tree)
@@ -689,6 +698,7 @@ def _predicted(model: Boosted, layout: Layout, name: str, batches: Iterator[pa.R
 
 def predict_boosted(model: Boosted, rows: DataFrame, name: str = "sales_hat") -> DataFrame:
     """``rows`` with a prediction, on the target's scale; a row without a model is an error."""
+    on_executors(rows.sparkSession)
     layout = Layout(tuple(f"_f{i}" for i in range(len(model.columns))), tuple(model.edges), tuple(model.start), "", model.by)
     inputs = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(model.columns)]
     wide = rows.select("*", *inputs, (F.col(model.by).cast("int") if model.by else F.lit(0)).alias("_m"))

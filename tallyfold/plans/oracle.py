@@ -268,6 +268,62 @@ wk AS (SELECT l.fold, l.horizon_day, l.sales, CAST(isodow(l.date) >= 6 AS BIGINT
   FROM labels l JOIN inventory i USING (unique_id))"""
 
 
+
+
+def _first_split(model: str, name: str, columns: tuple[str, ...], start: str, g: str, h: str, leaf: str, hat: str) -> str:
+    """The best split of one round over small whole numbers, by model; ``y``, ``s``, ``g``, ``h`` are a row's target, start, slope and curvature."""
+    each = " UNION ALL ".join(f"SELECT m, {i} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, y, s, g, h FROM sloped" for i, c in enumerate(columns))
+    return f"""
+boost AS (
+  SELECT CAST(substr(l.fold, 2) AS INT) AS fold_number, l.unique_id, isodow(l.date) - 1 AS weekday, l.horizon_day, i.product_unique_id, l.sales AS y
+  FROM labels l JOIN inventory i USING (unique_id)),
+begun AS (SELECT *, CAST({model} AS BIGINT) AS m, {start} OVER (PARTITION BY {model}) AS s0 FROM boost),
+started AS (SELECT *, {"s0" if hat == "v" else "LN(s0)"} AS s FROM begun),
+sloped AS (SELECT *, {g} AS g, {h} AS h FROM started),
+each AS ({each}),
+everywhere AS (SELECT f, x, LEAD(x) OVER (PARTITION BY f ORDER BY x) AS next FROM (SELECT DISTINCT f, x FROM each)),
+summed AS (SELECT m, f, feature, x, SUM(g) AS g, SUM(h) AS h, COUNT(*) AS n FROM each GROUP BY ALL),
+run AS (
+  SELECT m, f, feature, x, SUM(g) OVER u AS gl, SUM(h) OVER u AS hl, SUM(n) OVER u AS nl, SUM(g) OVER a AS gt, SUM(h) OVER a AS ht, SUM(n) OVER a AS nt
+  FROM summed WINDOW u AS (PARTITION BY m, f ORDER BY x), a AS (PARTITION BY m, f)),
+gains AS (
+  SELECT *, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht AS gain FROM run WHERE nl >= 20 AND nt - nl >= 20),
+best AS (
+  SELECT m, feature, g.f, g.x, gain, (g.x + next) / 2 AS threshold FROM gains g JOIN everywhere e ON e.f = g.f AND e.x = g.x WHERE gain > 1e-12
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY m ORDER BY ROUND(gain, 7) DESC, g.f, g.x) = 1),
+sides AS (SELECT e.m, e.s, b.feature, b.threshold, b.gain, e.x <= b.threshold AS on_left, COUNT(*) AS n, {leaf} AS v FROM each e JOIN best b ON b.m = e.m AND b.f = e.f GROUP BY ALL),
+split_rows AS (
+  SELECT m AS {name}, ROUND(s, 6) AS start, feature, threshold, CAST(0 AS BIGINT) AS categories, ROUND(gain, 6) AS gain, ROUND({"s + v" if hat == "v" else "EXP(s + v)"}, 6) AS sales_hat, CAST(SUM(n) AS BIGINT) AS rows
+  FROM sides GROUP BY ALL)"""
+
+
+_BOOSTED = ("horizon_day", "weekday", "product_unique_id")
+_L1 = ("median(y)", "CAST(SIGN(s - y) AS DOUBLE)", "CAST(1 AS DOUBLE)", "median(e.y - e.s)", "v")
+_TWEEDIE = "EXP({b} * s) - y * EXP({a} * s)", "{b} * EXP({b} * s) - {a} * y * EXP({a} * s)"
+
+
+def _newton(name: str, g: str, h: str) -> str:
+    body = _first_split("0", "model", _BOOSTED, "AVG(y)", g, h, "-SUM(e.g) / SUM(e.h)", "exp(v)")
+    return f"(WITH {DOMAIN}, {body} SELECT * REPLACE ('{name}' AS model) FROM split_rows)"
+
+
+_ITEM_SPLIT = """
+boost AS (SELECT CAST(substr(fold, 2) AS INT) AS m, unique_id AS x, sales AS y, median(sales) OVER (PARTITION BY fold) AS s FROM labels),
+summed AS (SELECT m, x, CAST(SUM(SIGN(s - y)) AS DOUBLE) AS g, COUNT(*) AS n FROM boost GROUP BY 1, 2),
+ranked AS (
+  SELECT *, SUM(g) OVER (PARTITION BY m) AS gt, SUM(n) OVER (PARTITION BY m) AS nt, g / (n + 3) AS ratio FROM summed),
+used AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY m ORDER BY ratio, x) AS up, ROW_NUMBER() OVER (PARTITION BY m ORDER BY ratio DESC, x DESC) AS down FROM ranked WHERE n >= 3),
+ways AS (SELECT *, 0 AS way, up AS place FROM used UNION ALL SELECT *, 1, down FROM used),
+run AS (SELECT *, SUM(g) OVER u AS gl, SUM(n) OVER u AS nl FROM ways WHERE place <= 32 WINDOW u AS (PARTITION BY m, way ORDER BY place)),
+best AS (
+  SELECT *, gl * gl / (nl + 10) + (gt - gl) * (gt - gl) / (nt - nl + 10) - gt * gt / nt AS gain FROM run WHERE nl >= 20 AND nt - nl >= 20
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY m ORDER BY ROUND(gain, 7) DESC, way, place) = 1),
+chosen AS (SELECT b.m, b.gain, w.x, b.place FROM best b JOIN ways w ON w.m = b.m AND w.way = b.way AND w.place <= b.place),
+told AS (SELECT m, gain, COUNT(*) AS categories, CAST(SUM(x) AS DOUBLE) AS threshold FROM chosen GROUP BY 1, 2),
+sides AS (SELECT b.m, b.s, c.x IS NOT NULL AS on_left, COUNT(*) AS n, median(b.y - b.s) AS v FROM boost b LEFT JOIN chosen c ON c.m = b.m AND c.x = b.x GROUP BY ALL)"""
+
+
 SQL: dict[str, str] = {
     "fold_calendar": _with("", f"SELECT fold, cutoff, CAST(cutoff + 1 AS DATE) AS start, CAST(cutoff + {STEP} AS DATE) AS \"end\", CAST({STEP} AS BIGINT) AS horizon FROM folds"),
     "official_grid": _with("", "SELECT CAST(grid_order AS BIGINT) AS grid_order, unique_id, test_date, horizon_day, weight FROM grid"),
@@ -372,6 +428,12 @@ SQL: dict[str, str] = {
       f"SELECT '{m}' AS model, CAST({g} AS BIGINT) AS \"group\", COUNT(*) AS rows, ROUND(AVG(sales), 3) AS sales_hat, CAST(0.0 AS DOUBLE) AS spread FROM wk GROUP BY 2"
       for m, g in (("tweedie_1_1", "g"), ("tweedie_1_3", "g"), ("poisson", "g"), ("trees_by_warehouse", "w")))),
     "model_by_horizon": _with(_WEEKEND, 'SELECT CAST(horizon_day AS BIGINT) AS horizon_day, g AS "group", COUNT(*) AS rows, ROUND(AVG(sales), 3) AS sales_hat, CAST(0.0 AS DOUBLE) AS spread FROM wk GROUP BY 1, 2'),
+    "boosted_split": _with(_first_split("fold_number", "fold_number", _BOOSTED, *_L1), "SELECT * FROM split_rows"),
+    "boosted_by_horizon": _with(_first_split("horizon_day", "horizon_day", _BOOSTED[1:], *_L1), "SELECT * FROM split_rows"),
+    "boosted_newton_split": " UNION ALL ".join([_newton("poisson", "EXP(s) - y", "EXP(s + 0.7)")] + [
+      _newton(f"tweedie_1_{p}", *[e.format(a=f"(-0.{p})", b=f"0.{10 - p}") for e in _TWEEDIE]) for p in (1, 3)]),
+    "boosted_category_split": _with(_ITEM_SPLIT, """SELECT CAST(s.m AS BIGINT) AS fold_number, ROUND(s, 6) AS start, 'unique_id' AS feature, threshold, categories, ROUND(gain, 6) AS gain, ROUND(s + v, 6) AS sales_hat,
+      CAST(SUM(n) AS BIGINT) AS rows FROM sides s JOIN told t ON t.m = s.m GROUP BY ALL"""),
     "training_rows": _with("", f"""SELECT CAST(o.origin AS DATE) AS origin, COUNT(k.sales) AS rows, ROUND(SUM(k.sales), 6) AS sales FROM
       (SELECT CAST(DATE '{FOLDS["F1"]}' - CAST(14 * i AS INT) AS DATE) AS origin FROM range(1, 13) r(i)) o, grid g JOIN known k ON k.unique_id = g.unique_id AND k.date = CAST(o.origin + g.horizon_day AS DATE) GROUP BY 1"""),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import invert_target, suspicious, to_day, to_number, transform_target
 from ..operators import baselines as B
+from ..operators import boosting as BO
 from ..operators import features as X
 from ..operators import grid as G
 from ..operators import metrics as M
@@ -385,6 +386,62 @@ def model_categories(spark: SparkSession, sf: str) -> DataFrame:
     return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fold))).withColumn("model", F.lit("trees_l1_categories")), ["model"])
 
 
+BOOSTED = ("horizon_day", "weekday", "product_unique_id")
+
+
+def _boost_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all folds with a few columns of small whole numbers, items as they are numbered."""
+    s = _split(spark, sf).labels.select(F.substring("fold", 2, 2).cast("int").alias("fold_number"), "unique_id", F.weekday("date").alias("weekday"), "horizon_day", "sales")
+    return s.join(_inventory(spark, sf).select("unique_id", "product_unique_id"), "unique_id")
+
+
+def _first_splits(spark: SparkSession, model, rows: DataFrame, by: str) -> DataFrame:
+    """Each model's first split, with the predictions on both sides and their rows."""
+    found = []
+    for m, trees in model.trees.items():
+        for tree in trees[:1]:
+            left = None if tree.codes[0] is None else model.categories(tree, 0)
+            threshold = model.threshold(tree, 0) if left is None else float(sum(left))
+            found.append((m, round(model.start[m], 6), model.columns[tree.feature[0]], threshold, len(left or []), round(tree.gain[0], 6)))
+    splits = spark.createDataFrame(found, f"{by} long, start double, feature string, threshold double, categories long, gain double")  # a row per model
+    hats = BO.predict_boosted(model, rows).groupBy(F.col(by).cast("long").alias(by), F.round("sales_hat", 6).alias("sales_hat")).agg(F.count("*").alias("rows"))
+    return hats.join(F.broadcast(splits), by)
+
+
+#: One round of one split: what SQL can follow.
+ONE_SPLIT = {"rounds": 1, "rate": 1.0, "leaves": 2, "least_rows": 20, "category_smooth": 3.0}
+
+
+def boosted_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split and the two medians of an absolute-error model for each fold, all in the same passes."""
+    rows = _boost_rows(spark, sf).cache()
+    return _first_splits(spark, BO.fit_boosted(rows, BO.BoostConfig(**ONE_SPLIT), BOOSTED, by="fold_number"), rows, "fold_number")
+
+
+def boosted_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for each day of the horizon: fourteen models in the same passes."""
+    rows = _boost_rows(spark, sf).cache()
+    return _first_splits(spark, BO.fit_boosted(rows, BO.BoostConfig(**ONE_SPLIT), BOOSTED[1:], by="horizon_day"), rows, "horizon_day")
+
+
+def boosted_newton_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split and the two Newton steps of Poisson and Tweedie models."""
+    rows = _boost_rows(spark, sf).withColumn("model", F.lit(0)).cache()
+    out = None
+    for name, objective, power in (("poisson", "poisson", 1.0), ("tweedie_1_1", "tweedie", 1.1), ("tweedie_1_3", "tweedie", 1.3)):
+        model = BO.fit_boosted(rows, BO.BoostConfig(objective, power, **ONE_SPLIT), BOOSTED)
+        one = _first_splits(spark, model, rows, "model").withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def boosted_category_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The first split of the items by the order of their gradients, for each fold."""
+    rows = _boost_rows(spark, sf).cache()
+    model = BO.fit_boosted(rows, BO.BoostConfig(**ONE_SPLIT), ["unique_id"], categorical=["unique_id"], by="fold_number")
+    return _first_splits(spark, model, rows, "fold_number")
+
+
 QUERIES: dict[str, Query] = {
     "fold_calendar": lambda spark, sf: _rounded(_folds(spark)),
     "official_grid": lambda spark, sf: _grid(spark, sf),
@@ -455,6 +512,10 @@ QUERIES: dict[str, Query] = {
     "model_means": model_means,
     "model_by_horizon": model_by_horizon,
     "model_categories": model_categories,
+    "boosted_split": boosted_split,
+    "boosted_by_horizon": boosted_by_horizon,
+    "boosted_newton_split": boosted_newton_split,
+    "boosted_category_split": boosted_category_split,
     "training_rows": training_rows,
     "model_tweedie_scores": tweedie_scores,
     "model_tree_scores": tree_scores,

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_sent: set[str] = set()
+
+
+def on_executors(spark: SparkSession) -> None:
+    """Sends this package to the executors where neither the working folder nor the path has it."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    found = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if sc.applicationId in _sent or str(package.parent) in found:
+        return
+    _sent.add(sc.applicationId)
+    zipped = os.path.join(tempfile.mkdtemp(prefix="tallyfold-"), "tallyfold.zip")  # the driver's own, Spark fetches it from there
+    with zipfile.ZipFile(zipped, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(zipped)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed and kept in the shared folder, without what it came from."""
     sc = df.sparkSession.sparkContext
