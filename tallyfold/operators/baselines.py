@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import at_origins, in_last, mean_of, median_of, medians_at, series
+from .guards import joined
 from .split import Split
 
 #: In the order of the registry, which breaks ties.
@@ -72,4 +73,5 @@ def fallback_counts(predictions: DataFrame) -> DataFrame:
 
 
 def with_labels(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    return predictions.join(labels.select("fold", "unique_id", "date", "sales", "weight"), ["fold", "unique_id", "date"])
+    """Each prediction with its label, of which there has to be exactly one."""
+    return joined(predictions, labels.select("fold", "unique_id", "date", "sales", "weight"), ["fold", "unique_id", "date"], "labels")

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..functions.scalar import clip
 from ..sources.tables import checkpointed, on_executors
 from .features import _bin
-from .guards import GuardError
+from .guards import GuardError, check_no_target
 
 
 @dataclass(frozen=True)
@@ -592,6 +592,7 @@ def fit_boosted(
     ``categorical`` columns hold whole numbers from 0 on.  A null number is above all others, a null
     category goes right, a null target is an error.  For poisson and tweedie a negative target counts as 0."""
     columns, categorical = list(columns), [c for c in categorical if c in set(columns)]
+    check_no_target(train.select(*columns), target)
     spark = train.sparkSession
     on_executors(spark)
     y = F.col(target).cast("double")

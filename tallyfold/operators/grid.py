@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import submission_id
-from .guards import CardinalityError, GuardError, check_unique, window_bounds
+from .guards import CardinalityError, GuardError, check_unique, unique_rows, window_bounds
 
 HORIZON = 14
 #: Numbers of items that are counted together before places are summed up.
@@ -50,7 +50,8 @@ def build_grid(requests: DataFrame, weights: DataFrame, origin: date, check: boo
     days = requests.select("unique_id", F.to_date("date").alias("test_date")).withColumn(
         "horizon_day", F.datediff("test_date", F.lit(origin)).cast("int")
     )
-    joined = days.join(weights.select("unique_id", F.col("weight").cast("double").alias("weight")), "unique_id", "left")
+    weighed = weights.select("unique_id", F.col("weight").cast("double").alias("weight"))
+    joined = days.join(unique_rows(weighed, ["unique_id"], "weights"), "unique_id", "left")
     if check:
         check_unique(requests, ["unique_id", "date"], "requests")
         check_unique(weights, ["unique_id"], "weights")

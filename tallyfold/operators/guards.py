@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import FIELDS, Availability
@@ -98,6 +99,44 @@ def check_unique(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df
 
 
+def required(rows: DataFrame, holds: Column, message: str | Column) -> DataFrame:
+    """Rows of which all have to meet a condition: the query fails where one doesn't.
+
+    The row's number, never below 0, keeps the optimizer from testing the condition on other frames' rows."""
+    broken = ~F.coalesce(holds, F.lit(False)) & (F.monotonically_increasing_id() >= 0)
+    said = message if isinstance(message, Column) else F.lit(message)
+    return rows.filter(F.when(broken, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+
+
+def unique_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows, of which no two may have the same keys; rows with a null among them are left as they are.
+
+    Copies are counted where the rows meet by key, so a join by the same keys that follows moves nothing again."""
+    copies = F.count("*").over(Window.partitionBy(*keys))
+    whole = ~F.greatest(*[F.col(c).isNull() for c in keys], F.lit(False))
+    counted = df.withColumn("_copies", F.when(whole, copies).otherwise(1))
+    said = F.concat(F.lit(f"{name}: several rows of "), F.to_json(F.struct(*keys)))
+    return required(counted, F.col("_copies") == 1, said).drop("_copies")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], name: str, how: str = "m:1", match: str = "left") -> DataFrame:
+    """A join that fails, in its own pass, where it isn't what it is meant to be.
+
+    ``how``: ``m:1`` (keys of ``right`` unique) or ``1:1`` (of both).  ``match``: ``left`` (each row of
+    ``left`` has one in ``right``), ``both`` (and the other way round), or ``any`` (a left join)."""
+    if how not in ("m:1", "1:1") or match not in ("left", "both", "any"):
+        raise ValueError(f"no such join: {how}, {match}")
+    left = unique_rows(left, keys, name) if how == "1:1" else left
+    right = unique_rows(right, keys, name)
+    out = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), keys, "full_outer" if match == "both" else "left")
+    which = F.to_json(F.struct(*keys))
+    if match != "any":
+        out = required(out, F.col("_r"), F.concat(F.lit(f"{name}: no match for "), which))
+    if match == "both":
+        out = required(out, F.col("_l"), F.concat(F.lit(f"{name}: an extra row of "), which))
+    return out.drop("_l", "_r")
+
+
 def join_to_one(left: DataFrame, right: DataFrame, keys: list[str], name: str, required: str | None = None) -> DataFrame:
     """A left join whose right side has to be unique by ``keys``, and to have ``required`` for every row."""
     out = left.join(check_unique(right, keys, name), keys, "left")
@@ -106,6 +145,68 @@ def join_to_one(left: DataFrame, right: DataFrame, keys: list[str], name: str, r
     return out
 
 
+# --- guards that ride along: counted in the pass that computes the result
+
+
+@dataclass(frozen=True)
+class Guard:
+    """What rows may not be (``broken``; unknown counts as broken), the day to name, and the error it is."""
+
+    name: str
+    broken: Column
+    day: str | None = None
+    error: type[GuardError] = GuardError
+
+
+def no_later_than(cutoff: date | Column, column: str = "date", name: str = "history", unknown: bool = True) -> Guard:
+    """No day after the cutoff; ``unknown`` days are broken too, unless they are those of a feature's source."""
+    late = F.to_date(column) > (cutoff if isinstance(cutoff, Column) else F.lit(cutoff))
+    return Guard(name, late if unknown else F.coalesce(late, F.lit(False)), column, LeakageError)
+
+
+def within(cutoff: date | Column, horizon: int, column: str = "date", name: str = "window") -> Guard:
+    """Days 1 to ``horizon`` after the cutoff."""
+    origin = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
+    return Guard(name, ~F.datediff(F.to_date(column), origin).between(1, horizon), column, LeakageError)
+
+
+def finite(column: str) -> Guard:
+    x = F.col(column).cast("double")
+    return Guard(f"finite_{column}", x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def not_negative(column: str) -> Guard:
+    return Guard(f"not_negative_{column}", F.col(column) < 0)
+
+
+class Verdict:
+    """What the guards of a frame saw, once an action has run over it."""
+
+    def __init__(self, guards: list[Guard], seen: Observation):
+        self.guards, self._seen = guards, seen
+
+    def counts(self) -> dict[str, tuple[int, date | None]]:
+        """By guard the broken rows and the latest day among them."""
+        got = self._seen.get
+        return {g.name: (got[g.name], got.get(f"{g.name}_latest")) for g in self.guards}
+
+    def check(self) -> None:
+        """Raises the first broken guard's error, with the numbers of all."""
+        bad = {n: c for n, c in self.counts().items() if c[0]}
+        if bad:
+            first = next(g for g in self.guards if g.name in bad)
+            raise first.error("; ".join(f"{n}: {c} rows" + (f", the latest of {d}" if d is not None else "") for n, (c, d) in bad.items()))
+
+
+def guarded(df: DataFrame, *guards: Guard) -> tuple[DataFrame, Verdict]:
+    """The frame, and a verdict that is known after any action over all of its rows: no guard takes a job of its own."""
+    seen = Observation()
+    broken = [(g, F.coalesce(g.broken, F.lit(True))) for g in guards]
+    counts = [F.count_if(b).alias(g.name) for g, b in broken]
+    days = [F.max(F.when(b, F.to_date(g.day))).alias(f"{g.name}_latest") for g, b in broken if g.day]
+    return df.observe(seen, *counts, *days), Verdict(list(guards), seen)
+
+
 def classify(field: str) -> Availability:
     try:
         return FIELDS[field]

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, invert_target, transform_target
-from .features import CONTRACTS, category_codes
-from .guards import GuardError
+from .features import CONTRACTS, category_codes, vocabulary_bounds
+from .guards import GuardError, joined, required
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,22 @@ def with_categories(rows: DataFrame, columns: Iterable[str]) -> tuple[DataFrame,
 
 
 def item_codes(rows: DataFrame, inventory: DataFrame, columns: Iterable[str] = ("unique_id", "product_unique_id")) -> DataFrame:
-    """Numbers of items and products replaced by dense codes of the inventory's vocabulary."""
+    """Numbers of items and products replaced by dense codes of the inventory's vocabulary; one that is not in it is an error."""
+    columns = list(columns)
+    bounds = vocabulary_bounds(inventory, columns)
     for c in columns:
-        codes = category_codes(inventory, c).select(F.col(c).alias("_value"), F.col("code").alias("_code"))
-        rows = rows.join(codes, F.col(c) == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")
+        codes = category_codes(inventory, c, bounds[c]).withColumnRenamed("code", "_code")
+        rows = joined(rows, codes, [c], f"a {c} that the vocabulary doesn't have").withColumn(c, F.col("_code")).drop("_code")
     return rows
 
 
+def aligned(features: DataFrame, labels: DataFrame, keys: Iterable[str] = ("unique_id", "date"), values: Iterable[str] = ("sales", "weight")) -> DataFrame:
+    """Training rows: each feature row with its one label; a row without one, or with a null target, is an error."""
+    keys, values = list(keys), list(values)
+    out = joined(features, labels.select(*keys, *values), keys, "training labels", how="1:1")
+    return required(out, F.col(values[0]).isNotNull(), "a training row without a target")
+
+
 def fit_trees(
     train: DataFrame, config: TreeConfig = TreeConfig(), columns: list[str] | None = None, target: str = "sales", categorical: Iterable[str] = ()
 ) -> PipelineModel:

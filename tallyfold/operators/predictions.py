@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import blend, clip, submission_id
 from .grid import check_alignment
-from .guards import GuardError
+from .guards import GuardError, joined
 
 
-def blend_frames(left: DataFrame, right: DataFrame, keys: list[str], weights: tuple[float, float] = (0.5, 0.5), check: bool = False) -> DataFrame:
-    """The weighted sum of two predictions joined on their keys, unclipped and clipped at 0."""
-    if check:
+def blend_frames(left: DataFrame, right: DataFrame, keys: list[str], weights: tuple[float, float] = (0.5, 0.5), check: bool | str = False) -> DataFrame:
+    """The weighted sum of two predictions joined on their keys, unclipped and clipped at 0.
+
+    ``check``: the two have to have the same keys, each once.  ``True`` looks before it joins and raises
+    then; ``"plan"`` takes no job, the join itself fails."""
+    if check is True:
         check_alignment(left, right, keys)
-    both = left.select(*keys, F.col("sales_hat").alias("_a")).join(right.select(*keys, F.col("sales_hat").alias("_b")), keys)
+    one, two = left.select(*keys, F.col("sales_hat").alias("_a")), right.select(*keys, F.col("sales_hat").alias("_b"))
+    both = joined(one, two, keys, "blend", how="1:1", match="both") if check == "plan" else one.join(two, keys)
     mixed = blend([F.col("_a"), F.col("_b")], list(weights))
     return both.select(*keys, mixed.alias("raw"), clip(mixed).alias("sales_hat"))
 
@@ -37,8 +41,7 @@ def prediction_summary(df: DataFrame, column: str = "sales_hat") -> DataFrame:
 def submission(grid: DataFrame, predictions: DataFrame) -> DataFrame:
     """``grid_order``, ``id``, ``sales_hat`` by key; the grid decides on rows and their order."""
     p = predictions.select("unique_id", F.col("date").alias("test_date"), "sales_hat")
-    joined = grid.join(p, ["unique_id", "test_date"], "left")
-    return joined.select("grid_order", submission_id("unique_id", "test_date").alias("id"), "sales_hat")
+    return grid.join(p, ["unique_id", "test_date"], "left").select("grid_order", submission_id("unique_id", "test_date").alias("id"), "sales_hat")
 
 
 def submission_audit(grid: DataFrame, sent: DataFrame) -> DataFrame:

@@ -434,6 +434,18 @@ SQL: dict[str, str] = {
       _newton(f"tweedie_1_{p}", *[e.format(a=f"(-0.{p})", b=f"0.{10 - p}") for e in _TWEEDIE]) for p in (1, 3)]),
     "boosted_category_split": _with(_ITEM_SPLIT, """SELECT CAST(s.m AS BIGINT) AS fold_number, ROUND(s, 6) AS start, 'unique_id' AS feature, threshold, categories, ROUND(gain, 6) AS gain, ROUND(s + v, 6) AS sales_hat,
       CAST(SUM(n) AS BIGINT) AS rows FROM sides s JOIN told t ON t.m = s.m GROUP BY ALL"""),
+    "aligned_targets": _with("", f"""SELECT CAST(o.origin AS DATE) AS origin, COUNT(*) AS rows, ROUND(SUM(k.sales), 6) AS sales, ROUND(SUM(k.sales * g.horizon_day), 6) AS moment, ROUND(SUM(k.sell_price_main), 4) AS prices FROM
+      (SELECT CAST(DATE '{FOLDS["F1"]}' - CAST(14 * i AS INT) AS DATE) AS origin FROM range(0, 13) r(i)) o, grid g JOIN known k ON k.unique_id = g.unique_id AND k.date = CAST(o.origin + g.horizon_day AS DATE) GROUP BY 1"""),
+    "dense_codes": _with("", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(v AS VARCHAR) AS value, ROW_NUMBER() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {c} AS v FROM inventory)" for c in ("unique_id", "product_unique_id", CATEGORIES[1]))),
+    "observed_guards": _with("""moved AS (
+      SELECT cutoff, CAST(date + 3 AS DATE) AS date, CAST(date - 7 AS DATE) AS source, CASE WHEN unique_id % 4 <> 0 THEN sell_price_main - CASE WHEN unique_id % 5 = 0 THEN 1e9 ELSE 0.0 END END AS price FROM labels)""",
+      """SELECT 'history' AS guard, COUNT(*) AS rows, CAST(MAX(date) AS VARCHAR) AS latest FROM moved WHERE date > cutoff
+      UNION ALL SELECT 'window', COUNT(*), CAST(MAX(date) AS VARCHAR) FROM moved WHERE date <= cutoff OR date > cutoff + 14
+      UNION ALL SELECT 'source', COUNT(*), CAST(MAX(source) AS VARCHAR) FROM moved WHERE source > cutoff
+      UNION ALL SELECT 'finite_price', COUNT(*), NULL FROM moved WHERE price IS NULL UNION ALL SELECT 'not_negative_price', COUNT(*), NULL FROM moved WHERE price IS NULL OR price < 0"""),
+    "report_lines": _with(BASE_LINES, """SELECT 0 AS line, '| baseline | wmae | wape | bias |' AS text UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL
+      SELECT 1 + ROW_NUMBER() OVER (ORDER BY wmae, baseline), printf('| %s | %.6f | %.6f | %.6f |', baseline, wmae, wape, bias) FROM (SELECT baseline, AVG(wmae) AS wmae, AVG(wape) AS wape, AVG(bias) AS bias FROM scores GROUP BY 1)"""),
+    "submission_order": _with(_FINAL, "SELECT ROW_NUMBER() OVER (ORDER BY grid_order) AS line, id FROM sub"),
     "training_rows": _with("", f"""SELECT CAST(o.origin AS DATE) AS origin, COUNT(k.sales) AS rows, ROUND(SUM(k.sales), 6) AS sales FROM
       (SELECT CAST(DATE '{FOLDS["F1"]}' - CAST(14 * i AS INT) AS DATE) AS origin FROM range(1, 13) r(i)) o, grid g JOIN known k ON k.unique_id = g.unique_id AND k.date = CAST(o.origin + g.horizon_day AS DATE) GROUP BY 1"""),
 }

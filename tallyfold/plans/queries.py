@@ -180,25 +180,83 @@ def tweedie_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Absolute-error trees with few rounds, scored like ``tweedie_scores``."""
-    from ..operators import models
-
-    return _model_scores(spark, sf, lambda train, cols: models.fit_trees(train, models.TreeConfig(rounds=5, rate=0.5, least_rows=20), cols), "trees_l1")
+    """Absolute-error trees of all 36 columns and nine categories with few rounds, scored like ``tweedie_scores``."""
+    return _boosted_scores(spark, sf, BO.BoostConfig(rounds=5, rate=0.5, least_rows=20), "trees_l1")
 
 
-def _model_scores(spark: SparkSession, sf: str, fit, name: str) -> DataFrame:
+def training_frame(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
+    """Features and targets of the first fold's twelve training origins and of its own window."""
     from ..operators import models
 
-    cols = ("horizon_day", "day_of_week", "month", "sell_price_main", *X.BASE[24:])
     fold = fx.FOLDS["F1"]
     rows = [(d.isoformat(), d) for d in fx.origins(fold)] + [("F1", fold)]
     s = split(_history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
     inv, cal = _inventory(spark, sf), fx.calendar(spark, sf)
-    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, cal, cols, origins=[d for _, d in rows]).join(
-        s.labels.select("unique_id", "date", "sales", "weight"), ["unique_id", "date"]
-    ).cache()
-    model = fit(frame.filter(F.col("origin") < F.lit(fold)), list(cols))
-    return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fold))).withColumn("model", F.lit(name)), ["model"])
+    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, cal, columns, origins=[d for _, d in rows])
+    return models.aligned(frame, s.labels)
+
+
+def _boosted_scores(spark: SparkSession, sf: str, config: BO.BoostConfig, name: str) -> DataFrame:
+    from ..operators import models
+
+    frame = models.item_codes(training_frame(spark, sf, X.BASE), _inventory(spark, sf)).cache()
+    early, late = (frame.filter(one) for one in (F.col("origin") < F.lit(fx.FOLDS["F1"]), F.col("origin") == F.lit(fx.FOLDS["F1"])))
+    model = BO.fit_boosted(early, config, X.BASE, categorical=X.CATEGORICAL)
+    return M.score(BO.predict_boosted(model, late).withColumn("model", F.lit(name)), ["model"])
+
+
+def _model_scores(spark: SparkSession, sf: str, fit, name: str) -> DataFrame:
+    from ..operators import models
+
+    cols = ("horizon_day", "day_of_week", "month", "sell_price_main", *X.BASE[24:])
+    frame = training_frame(spark, sf, cols).cache()
+    model = fit(frame.filter(F.col("origin") < F.lit(fx.FOLDS["F1"])), list(cols))
+    return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fx.FOLDS["F1"]))).withColumn("model", F.lit(name)), ["model"])
+
+
+def aligned_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What the aligned training rows of each origin hold."""
+    frame = training_frame(spark, sf, ("horizon_day", "sell_price_main"))
+    return frame.groupBy("origin").agg(F.count("*").alias("rows"), F.round(F.sum("sales"), 6).alias("sales"), F.round(F.sum(F.col("sales") * F.col("horizon_day")), 6).alias("moment"), F.round(F.sum("sell_price_main"), 4).alias("prices"))
+
+
+def dense_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of items, products and second categories."""
+    inv, out = _inventory(spark, sf), None
+    columns = ["unique_id", "product_unique_id", CATEGORIES[1]]
+    bounds = X.vocabulary_bounds(inv, columns)
+    for c in columns:
+        one = X.category_codes(inv, c, bounds[c]).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.col("code").cast("long").alias("code"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def observed_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of all folds moved by three days, written in one pass in which all guards count what they see."""
+    s = _split(spark, sf)
+    price = F.when(F.col("unique_id") % 4 != 0, F.col("sell_price_main") - F.when(F.col("unique_id") % 5 == 0, 1e9).otherwise(0.0))
+    rows = s.requests.select("fold", "cutoff", "unique_id", F.date_add("date", 3).alias("date"), F.date_sub("date", 7).alias("source"), price.alias("price"))
+    cutoff = F.col("cutoff")
+    seen, verdict = Q.guarded(
+        rows, Q.no_later_than(cutoff), Q.within(cutoff, fx.STEP), Q.no_later_than(cutoff, "source", "source", unknown=False), Q.finite("price"), Q.not_negative("price")
+    )
+    seen.write.parquet(T.shared_folder(spark, "guarded"))
+    found = [(n, c, d.isoformat() if d else None) for n, (c, d) in verdict.counts().items()]
+    return spark.createDataFrame(found, "guard string, rows long, latest string")  # a row per guard
+
+
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The baselines' mean scores as lines of a Markdown table."""
+    means = M.ranking(M.macro_average(baseline_scores(spark, sf), ["baseline", "place"])).select("baseline", *[F.col(f"mean_{m}").alias(m) for m in M.METRICS]).orderBy("wmae", "baseline")
+    return spark.createDataFrame(list(enumerate(T.as_markdown(means).split("\n"))), "line long, text string")
+
+
+def submission_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the submission's file by line, as the file has them."""
+    folder = T.shared_folder(spark, "submission")
+    T.write_submission(submission(spark, sf), folder)
+    lines = spark.read.text(folder, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return lines.filter((F.col("line") > 0) & (F.col("text") != "")).select(F.col("line").cast("long").alias("line"), F.split("text", ",")[0].alias("id"))
 
 
 def _horizon_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,13 +369,13 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores appended to an empty log in two parts, read back, and averaged."""
+    """Scores appended to an empty log in two runs, the first of them once more, read back, and averaged."""
     folder = T.shared_folder(spark, "results")
     scores = baseline_scores(spark, sf)
     text = {c: F.lit("") for c in ("timestamp", "git_hash", "change_description", "kept", "notes")}
     log = scores.select(F.col("baseline").alias("stage"), *[F.col(m).alias(f"local_{m}") for m in M.METRICS], F.col("place").cast("double").alias("runtime_minutes"), "fold").withColumns(text)
-    for one in (F.col("fold") < "F3", F.col("fold") >= "F3"):
-        T.append_results(log.filter(one), folder)
+    for run, one in (("early", F.col("fold") < "F3"), ("late", F.col("fold") >= "F3"), ("early", F.col("fold") < "F3")):
+        T.append_results(log.filter(one), folder, run)
     return _rounded(T.read_results(spark, folder).groupBy("stage").agg(*[F.avg(f"local_{m}").alias(f"local_{m}") for m in M.METRICS], F.sum("runtime_minutes").alias("runtime_minutes"), F.count("*").alias("rows")))
 
 
@@ -328,9 +386,9 @@ def run_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blend_checked(spark: SparkSession, sf: str) -> DataFrame:
-    """The 70/30 blend, after a check that both sides have the same keys."""
+    """The 70/30 blend by a join that fails where the two sides haven't the same keys."""
     _, one, two = _pair(spark, sf)
-    return _rounded(P.blend_frames(one, two, KEY, (0.7, 0.3), check=True))
+    return _rounded(P.blend_frames(one, two, KEY, (0.7, 0.3), check="plan"))
 
 
 def _weekend_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,24 +424,15 @@ def model_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
     """One model for each day of the horizon, each row by its own; group means as in ``model_means``."""
     from ..operators import models
 
-    rows = _weekend_rows(spark, sf).repartition(1).cache()
+    rows = _weekend_rows(spark, sf).cache()
     fitted = models.fit_by_horizon(rows, lambda day: models.fit_tweedie(day, 1.0, ["weekend_flag"], ridge=0.0))
     out = models.predict_by_horizon(fitted, rows)
     return _fitted(out, "horizon_day", "weekend_flag").select(F.col("horizon_day").cast("long").alias("horizon_day"), F.col("weekend_flag").cast("long").alias("group"), "rows", "sales_hat", "spread")
 
 
 def model_categories(spark: SparkSession, sf: str) -> DataFrame:
-    """Trees with all nine categories, items and products included, trained and scored like ``tree_scores``."""
-    from ..operators import models
-
-    fold = fx.FOLDS["F1"]
-    rows = [(d.isoformat(), d) for d in fx.origins(fold)] + [("F1", fold)]
-    s = split(_history(spark, sf), _grid(spark, sf), spark.createDataFrame(rows, "fold string, cutoff date"))
-    inv = _inventory(spark, sf)
-    frame = X.feature_matrix(s.history, s.requests.withColumnRenamed("cutoff", "origin"), inv, fx.calendar(spark, sf), X.BASE, origins=[d for _, d in rows])
-    frame = models.item_codes(frame.join(s.labels.select("unique_id", "date", "sales", "weight"), ["unique_id", "date"]), inv).cache()
-    model = models.fit_trees(frame.filter(F.col("origin") < F.lit(fold)), models.TreeConfig(rounds=3, rate=0.5, least_rows=20), list(X.BASE), categorical=X.CATEGORICAL)
-    return M.score(models.predict(model, frame.filter(F.col("origin") == F.lit(fold))).withColumn("model", F.lit("trees_l1_categories")), ["model"])
+    """Tweedie trees with all nine categories, items and products included, trained and scored like ``tree_scores``."""
+    return _boosted_scores(spark, sf, BO.BoostConfig("tweedie", 1.1, rounds=3, rate=0.5, least_rows=20), "trees_tweedie_categories")
 
 
 BOOSTED = ("horizon_day", "weekday", "product_unique_id")
@@ -516,6 +565,11 @@ QUERIES: dict[str, Query] = {
     "boosted_by_horizon": boosted_by_horizon,
     "boosted_newton_split": boosted_newton_split,
     "boosted_category_split": boosted_category_split,
+    "aligned_targets": aligned_targets,
+    "dense_codes": dense_codes,
+    "observed_guards": observed_guards,
+    "report_lines": report_lines,
+    "submission_order": submission_order,
     "training_rows": training_rows,
     "model_tweedie_scores": tweedie_scores,
     "model_tree_scores": tree_scores,

@@ -74,15 +74,19 @@ def write_submission(submission: DataFrame, path: str, order: str = "grid_order"
     submission.orderBy(order).select("id", "sales_hat").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_results(log: DataFrame, path: str) -> None:
-    """Adds rows to the experiment log, numbers with ten decimals."""
+def append_results(log: DataFrame, path: str, run: str) -> None:
+    """Adds a run's rows to the experiment log, numbers with ten decimals.
+
+    A run has a folder of its own, so one that is retried or repeated replaces what it wrote, and adds nothing twice."""
+    if not run or not set(run) <= set("-_.abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") or run[0] in "._":
+        raise ValueError(f"a run's name is made of letters, digits, dashes, dots and underscores: {run!r}")
     numbers = {f.name for f in RESULTS if f.dataType.typeName() == "double"}
     rows = log.select(*[F.format_string("%.10f", F.col(c).cast("double")).alias(c) if c in numbers else F.col(c).cast("string").alias(c) for c in RESULTS.names])
-    rows.write.mode("append").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/run={run}")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).option("header", True).csv(path)
+    return spark.read.schema(RESULTS).option("header", True).csv(f"{path}/run=*")
 
 
 def stage_means(log: DataFrame, stages: Iterable[str]) -> DataFrame:

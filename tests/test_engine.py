@@ -276,6 +276,91 @@ def test_plans_fail_on_unmatched_rows(spark):
     assert X.feature_matrix(known, asked.withColumn("warehouse", F.lit("W1")), inv, cal, X.BASE).count() == 1
 
 
+def test_joins_check_their_cardinality(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, x string")
+    right = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (None, 40), (None, 50)], "k int, y int")
+    known = left.filter("k is not null")
+    assert {(r.x, r.y) for r in Q.joined(known, right, ["k"], "t").collect()} == {("a", 10), ("b", 10), ("c", 20)}
+    assert Q.joined(left, right, ["k"], "t", match="any").count() == 4  # nulls match nothing and are no copies
+    fails = (
+        (left, right, {}, "no match"), (known, right.unionByName(right.filter("k = 3")), {}, "several rows"), (known, right, {"how": "1:1"}, "several rows"),
+        (known.filter("x <> 'b'"), right.filter("k is not null"), {"how": "1:1", "match": "both"}, "an extra row"),
+    )
+    for a, b, kind, said in fails:
+        with pytest.raises(Exception, match=said):
+            Q.joined(a, b, ["k"], "t", **kind).collect()
+    with pytest.raises(ValueError):
+        Q.joined(left, right, ["k"], "t", how="1:m")
+
+
+def test_blend_fails_in_its_own_join(spark):
+    a = spark.createDataFrame([(1, -4.0), (2, 4.0)], "k int, sales_hat double")
+    assert P.blend_frames(a, a, ["k"], check="plan").count() == 2
+    for bad in (a.limit(1), a.unionByName(a.limit(1)), a.withColumn("k", F.col("k") + 1)):
+        with pytest.raises(Exception, match="blend"):
+            P.blend_frames(a, bad, ["k"], check="plan").collect()
+
+
+def test_training_targets_have_to_be_there(spark):
+    from tallyfold.operators import models
+
+    rows = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 1))], "unique_id int, date date")
+    labels = spark.createDataFrame([(1, date(2024, 1, 1), 3.0, 1.0), (2, date(2024, 1, 1), 4.0, 1.0)], "unique_id int, date date, sales double, weight double")
+    assert models.aligned(rows, labels).count() == 2
+    for bad in (labels.limit(1), labels.unionByName(labels), labels.withColumn("sales", F.when(F.col("unique_id") == 1, F.col("sales")))):
+        with pytest.raises(Exception, match="training"):
+            models.aligned(rows, bad).collect()
+    inv = spark.createDataFrame([(1, 7)], "unique_id int, product_unique_id int")
+    with pytest.raises(Exception, match="vocabulary"):
+        models.item_codes(rows, inv, ["unique_id"]).collect()
+
+
+def test_guards_ride_along(spark):
+    rows = spark.createDataFrame([(date(2024, 1, d), float(d) if d != 5 else None) for d in range(1, 11)], "date date, price double")
+    seen, verdict = Q.guarded(rows.repartition(3), Q.no_later_than(date(2024, 1, 8)), Q.finite("price"))
+    sc = spark.sparkContext
+    sc.setJobGroup("guards", "guards")
+    seen.write.format("noop").mode("overwrite").save()
+    with_guards = len(sc.statusTracker().getJobIdsForGroup("guards"))
+    assert verdict.counts() == {"history": (2, date(2024, 1, 10)), "finite_price": (1, None)}
+    assert len(sc.statusTracker().getJobIdsForGroup("guards")) == with_guards  # to ask takes no job
+    sc.setJobGroup("plain", "plain")
+    rows.repartition(3).write.format("noop").mode("overwrite").save()
+    assert len(sc.statusTracker().getJobIdsForGroup("plain")) == with_guards
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(Q.LeakageError, match="2 rows, the latest of 2024-01-10"):
+        verdict.check()
+    fine, verdict = Q.guarded(rows.filter("price is not null"), Q.within(date(2023, 12, 31), 14), Q.not_negative("price"))
+    fine.count()
+    fine.write.format("noop").mode("overwrite").save()
+    verdict.check()
+
+
+def test_shares_of_rank(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice("ab"), r.choice([None, 0.0, 1.0, 1.5, 2.0, 1e6, -3.0])) for _ in range(60)] + [("c", 2.0), ("d", None)]
+    got = {(x.k, x.x): x.share for x in X.shares_of_rank(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", "share").collect()}
+    want = {}
+    for k, x in rows:
+        of = [v for j, v in rows if j == k and v is not None]
+        if x is not None:
+            want[k, x] = pytest.approx((sum(v < x for v in of) + (sum(v == x for v in of) + 1) / 2) / len(of))
+    assert got == want
+
+
+def test_codes_by_blocks(spark):
+    words = [f"w{i % 50}" for i in range(200)] + [None, "", "Z", "é"]
+    inv = spark.createDataFrame([(w, i % 37) for i, w in enumerate(words)], "w string, n int")
+    for blocks in (1, 3, 64):
+        bounds = X.vocabulary_bounds(inv, ["w", "n"], blocks)
+        assert len(bounds["w"]) <= blocks
+        assert {r.w: r.code for r in X.category_codes(inv, "w", bounds["w"]).collect()} == {w: i for i, w in enumerate(sorted({w for w in words if w is not None}))}
+        assert {r.n: r.code for r in X.category_codes(inv, "n", bounds["n"]).collect()} == {n: n for n in range(37)}
+    assert X.category_codes(inv.limit(0), "w").count() == 0
+
+
 def test_gates_and_frozen_counts(spark):
     scores = spark.createDataFrame([("F1", 9.0, 0.3, -0.1, 5, 5, 29.0), ("F2", 10.0, 0.3, 0.0, 5, 5, 1.0), ("F3", 9.0, None, 0.0, 4, 5, 1.0)], "fold string, wmae double, wape double, bias double, rows int, wanted int, minutes double")
     judged = {r.fold: r for r in M.gates(scores, 10.0, 0.3, 0.1, "rows", "wanted", minutes=30).collect()}
@@ -368,8 +453,11 @@ def test_results_log(spark, tmp_path):
     path = str(tmp_path / "log")
     row = [("t", "h", "s5", "c", 1.0, 2.0, 0.25, 3.0, "yes", "")]
     frame = spark.createDataFrame(row, T.RESULTS)
-    T.append_results(frame, path)
-    T.append_results(frame.withColumn("local_wmae", F.lit(3.0)), path)
+    T.append_results(frame.withColumn("local_wmae", F.lit(9.0)), path, "first")
+    T.append_results(frame, path, "first")  # again: replaced, not added
+    T.append_results(frame.withColumn("local_wmae", F.lit(3.0)), path, "second")
+    with pytest.raises(ValueError):
+        T.append_results(frame, path, "../first")
     log = T.read_results(spark, path)
     assert T.stage_means(log, ["s5"]).first().local_wmae == 2.0 and log.count() == 2
     assert "s5" in T.as_markdown(log) and '"stage"' in T.as_json(log)
