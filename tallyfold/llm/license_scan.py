@@ -1,18 +1,18 @@
 """License notices in texts, by conditional compression.
 
 Lines that speak of licences are candidate blocks, alone and with the lines between them.  A block is
-widened by the length of the longest wording, and compressed with nothing and with each licence's
-wording as a zstandard raw dictionary.  Wordings that save enough are confirmed, or not, by the exact
-differences between the block's words and the wording's; the best one's words are taken out, and the
-rest is searched again until nothing more is found.
+widened by the length of the longest wording.  Windows of a wording's length run over it; those that
+hold enough of its words are compressed with nothing and with the wording as a zstandard raw dictionary.
+Wordings that save enough are confirmed, or not, by the fewest missing and extra words that any stretch
+of the window has; the best ones' words are taken out, and windows that lost words are searched again.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +109,29 @@ def _words(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def nearest(want: list[str], have: list[str | None]) -> tuple[int, int, int]:
+    """The stretch of ``have`` with the fewest missing and extra words: their number, its first word and the one after it."""
+    code = {w: i for i, w in enumerate(set(want))}
+    b = np.array([code.get(w, -1) for w in have], np.int64)
+    at = np.arange(len(b) + 1)
+    cost, start = np.zeros(len(b) + 1, np.int64), at.copy()
+    for w in want:
+        # a missing word, or one that is there
+        step, since = cost + 1, start
+        same = np.flatnonzero(b == code[w])
+        there = same[cost[same] <= step[same + 1]]
+        step[there + 1] = cost[there]
+        since = since.copy()
+        since[there + 1] = start[there]
+        # extra words after it
+        low = step - at
+        run = np.minimum.accumulate(low)
+        place = np.maximum.accumulate(np.where(low == run, at, 0))
+        cost, start = run + at, since[place]
+    end = int(np.argmin(cost))
+    return int(cost[end]), int(start[end]), end
+
+
 class Scanner:
     def __init__(self):
         import zstandard
@@ -121,67 +144,85 @@ class Scanner:
                 packer = zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False)
                 self.known.append((name, _words(wording), packer, len(self.plain.compress(wording.encode()))))
         self.count = [Counter(want) for _, want, _, _ in self.known]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for c in self.count for w in c}))}
+        self.ids = [np.array(sorted(self.vocabulary[w] for w in c), np.int64) for c in self.count]
         self.memo: dict[tuple, list] = {}
 
-    def best(self, block: str, cores: list[tuple[int, int]]) -> tuple | None:
-        """(licence, saving, share of its words, missing words, extra words) of the best wording that
-        holds, with the first and last character.  Beyond the cores (the lines with cues), the extra
-        words within a notice may be as many as its own at most."""
-        placed = list(_PLACED.finditer(block))
-        have = [m[0].lower() for m in placed]
-        count, best, size, data = Counter(have), None, None, block.encode()
-        for i, (name, want, packer, own) in enumerate(self.known):
-            # too few of its words in any order, so never enough in order
-            if sum(min(n, count[w]) for w, n in self.count[i].items()) < LEAST_SHARE * len(want):
-                continue
-            size = len(self.plain.compress(data)) if size is None else size
-            saving = (size - len(packer.compress(data))) / own
-            if saving < LEAST_SAVING:
-                continue
-            same = difflib.SequenceMatcher(None, want, have, autojunk=False)
-            spans = [m for m in same.get_matching_blocks() if m.size]
-            hit = sum(m.size for m in spans)
-            # words that only happen to stand further off
-            while len(spans) > 1:
-                x, y = spans[0], spans[-1]
-                if x.size < spans[1].b - x.b - x.size and hit - x.size >= LEAST_SHARE * len(want):
-                    hit -= spans.pop(0).size
-                elif y.size < y.b - spans[-2].b - spans[-2].size and hit - y.size >= LEAST_SHARE * len(want):
-                    hit -= spans.pop().size
-                else:
-                    break
-            if hit < LEAST_SHARE * len(want):
-                continue
-            first, last = spans[0].b, spans[-1].b + spans[-1].size
-            missing = len(want) - hit
-            extra = last - first - hit  # within the notice only
-            # a version or a name is a word like others, and has to be there
-            if any(w not in have[first:last] for w in want if any(c.isdigit() for c in w)):
-                continue
-            start, end = placed[first].start(), placed[last - 1].end()
-            if extra > len(want) and not any(a <= start and end <= b for a, b in cores):
-                continue
-            key = (missing + extra, -len(want), -saving)
-            if best is None or key < best[0]:
-                best = (key, (name, saving, hit / len(want), missing, extra), start, end)
-        return best and best[1:]
+    def windows(self, ids: np.ndarray, i: int, near: np.ndarray | None) -> list[int]:
+        """Starts of the windows that hold enough words of wording ``i`` (near one of the places ``near``, if given)."""
+        want = self.known[i][1]
+        step, wide = self.span(i)
+        starts = np.arange(0, max(1, len(ids) - wide + step), step)
+        held = np.concatenate([[0], np.cumsum(np.isin(ids, self.ids[i]))])
+        starts = starts[held[np.minimum(starts + wide, len(ids))] - held[starts] >= LEAST_SHARE * len(want)]
+        if near is not None:
+            starts = starts[np.searchsorted(near, starts) < np.searchsorted(near, starts + wide)]
+        return starts.tolist()
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Step and width of a wording's windows: each stretch of twice its words lies whole in one of them."""
+        n = len(self.known[i][1])
+        step = max(1, n // 2)
+        return step, 2 * n + step
+
+    def judge(self, i: int, have: list[str | None], text: str) -> tuple | None:
+        """(order, licence, saving, share, missing, extra words), first and last word, of a wording in a window."""
+        name, want, packer, own = self.known[i]
+        count = Counter(have)
+        if sum(min(n, count[w]) for w, n in self.count[i].items()) < LEAST_SHARE * len(want):
+            return None
+        data = text.encode()
+        saving = (len(self.plain.compress(data)) - len(packer.compress(data))) / own
+        if saving < LEAST_SAVING:
+            return None
+        cost, first, last = nearest(want, have)
+        hit = (len(want) + last - first - cost) // 2
+        missing, extra = len(want) - hit, last - first - hit
+        if hit < LEAST_SHARE * len(want):
+            return None
+        # a version or a name is a word like others, and has to be there
+        if any(w not in have[first:last] for w in want if any(c.isdigit() for c in w)):
+            return None
+        return (missing + extra, -len(want), -saving), (name, saving, hit / len(want), missing, extra), first, last
 
     def confirm(self, block: str) -> tuple | None:
         """(licence, saving, share of its words, missing words, extra words) of the best wording that holds."""
-        found = self.best(block, [(0, len(block))])
-        return found and found[0]
+        found = self.confirm_all(block, ((0, len(block)),))
+        return min(((f[4] + f[5], i, f[1:]) for i, f in enumerate(found)), default=(0, 0, None))[2]
 
     def confirm_all(self, block: str, cores: tuple[tuple[int, int], ...]) -> list[tuple]:
-        """(first character, licence, ...) of each notice in the block, the best one first."""
+        """(first character, licence, ...) of each notice in the block, the best ones first.
+
+        Every wording is held against windows of its own length, so what stands around a notice, or how
+        often it is repeated, makes no difference.  Beyond the cores (the lines with cues), the extra words
+        within a notice may be as many as its own at most."""
         key = block, cores
         if key not in self.memo:
-            found = []
-            while hit := self.best(block, cores):
-                what, start, end = hit
-                # what repeats word for word is found alike
-                again = re.compile(rf"(?<![a-z0-9])(?<![a-z0-9][.\-/]){re.escape(block[start:end])}(?![.\-/]?[a-z0-9])", re.I | re.A)
-                found += [(m.start(), *what) for m in again.finditer(block)]
-                block = again.sub(lambda m: " " * len(m[0]), block)
+            placed = list(_PLACED.finditer(block))
+            have: list[str | None] = [m[0].lower() for m in placed]
+            ids = np.array([self.vocabulary.get(w, -1) for w in have], np.int64)
+            found: list[tuple] = []
+            near = None
+            while len(have):
+                hits = []
+                for i in range(len(self.known)):
+                    for s in self.windows(ids, i, near):
+                        e = min(s + self.span(i)[1], len(have))
+                        if hit := self.judge(i, have[s:e], block[placed[s].start() : placed[e - 1].end()]):
+                            order, what, first, last = hit
+                            start, end = placed[s + first].start(), placed[s + last - 1].end()
+                            if what[4] <= len(self.known[i][1]) or any(a <= start and end <= b for a, b in cores):
+                                hits.append((order, s + first, s + last, what))
+                gone = []
+                for _, first, last, what in sorted(hits, key=lambda h: h[:3]):
+                    if all(have[k] is not None for k in range(first, last)):
+                        found.append((placed[first].start(), *what))
+                        have[first:last] = [None] * (last - first)
+                        gone += range(first, last)
+                if not gone:
+                    break
+                ids[gone] = -1
+                near = np.array(sorted(gone))  # only windows that have lost words can show something new
             if len(self.memo) >= MEMO_BLOCKS:
                 self.memo.clear()
             self.memo[key] = found
@@ -229,7 +270,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     differences, then the largest saving; null if none), ``licenses`` (all, ascending, by comma),
     ``differences`` (missing and extra words of the best one), ``saving`` (bytes saved, as a share of the wording's compressed size).
 
-    A null or empty text has no block.  Rows are judged one by one, so repeats and ties are alike.
+    A null or empty text has no block, no rows give no rows.  Rows are judged one by one, so repeats and
+    ties are alike.  Of a very long text all candidate blocks are searched; each notice is found however
+    often it is repeated and whatever stands around it.
     """
     prepare(docs.sparkSession)
     schema = pa.schema(
