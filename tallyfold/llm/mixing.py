@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, cap: float = CAP
     """``sizes``: one row per ``source`` with ``source_size``.  Adds ``weight`` and ``target``.
 
     Without ``weights`` (``source``, ``weight``) sources weigh 1, 2, 3, repeating, by code point,
-    null last.  Targets share the sum of all sizes by weight; one above ``cap`` times its source's
+    null last; one that ``weights`` lacks, or gives a weight of 0 or less, gets nothing.  Targets share the sum of all sizes by weight; one above ``cap`` times its source's
     size stops there, and the excess goes to the others by weight.  So all targets are
     ``min(cap * size, level * weight)``, and the level is the highest of those that result when the
     sources of the lowest caps per weight are taken as full.
@@ -45,9 +45,10 @@ def targets(sizes: DataFrame, weights: DataFrame | None = None, cap: float = CAP
         sized = sizes.withColumn("weight", ((place - 1) % 3 + 1).cast("double"))
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
-        sized = sizes.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").na.fill(0.0, ["weight"])
+        sized = sizes.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        sized = sized.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0))
     full = F.col("source_size") * F.lit(float(cap))
-    by_cap = Window.orderBy(full / F.col("weight"), F.col("source"))
+    by_cap = Window.orderBy(F.try_divide(full, F.col("weight")).asc_nulls_last(), F.col("source"))
     used = F.coalesce(F.sum(full).over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy())
@@ -62,13 +63,13 @@ def _rate(cap: float) -> Column:
 
 def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP) -> DataFrame:
     """``hist``: ``key``, ``size``, ``n``; ``goals``: ``key``, ``target``.  One row per source with
-    its ``mean`` and ``tilt``; a source whose target is its cap has a null tilt."""
+    its ``mean`` and ``tilt``; a source whose target is its cap, or 0, has none."""
     shape = hist.filter("size > 0").groupBy("key").agg(
         F.sum(F.col("size") * F.col("n")).cast("double").alias("whole"),
         (F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("mean"),
         F.min("size").cast("double").alias("least"),
     )
-    start = shape.join(goals.select("key", "target"), "key").filter(F.col("target") < F.col("whole") * (cap - 1e-9))
+    start = shape.join(goals.select("key", "target"), "key").filter((F.col("target") > 0) & (F.col("target") < F.col("whole") * (cap - 1e-9)))
     share = F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("whole"))
     state = scratch.save(
         start.select(
@@ -128,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CA
     found = tilts(hist, goals, scratch, cap)
 
     full = (F.col("source_size") > 0) & F.col("tilt").isNull()
-    rate = F.when(F.col("size") == 0, 1.0).when(full, float(cap)).otherwise(_rate(cap))
+    rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(full, float(cap)).otherwise(_rate(cap))
     # Cells: documents of one source and size, which have one rate; large cells are dealt into parts.
     cells = scratch.save(
         hist.join(goals.select("key", "source_size", "target"), "key").join(found, "key", "left").select(
