@@ -245,7 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, lines
     # at most 2 * per_class rows of two numbers: a proven bound
     sample = F.broadcast(picked[0].unionByName(picked[1]))
     head = F.substring(F.array_join(F.slice(F.split(text_or_empty(), "\n"), 1, lines), "\n"), 1, TRAIN_CHARS).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), head).join(sample, "doc_id").collect()
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), head).join(sample, "doc_id")
+    # of rows that share an id the smallest text: a row for each sampled id
+    rows = sampled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     if len({r.quality for r in rows}) < 2:
         return None
