@@ -30,10 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one of the smallest id stays.
 
     Documents without words link with nothing and all stay.  Of rows that share the smallest id one
-    stays for each different text; a document without an id stays where it links with nothing."""
+    stays for each different text, with the smallest source, language and count; a document without an
+    id stays where it links with nothing."""
     joined = ngram_join.jaccard_join(docs, SHINGLE, NUM, DEN)
     keep = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    kept = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*COLUMNS)
+    return kept.groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("_rest")).select("doc_id", "text", "_rest.*").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
