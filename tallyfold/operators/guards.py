@@ -39,11 +39,17 @@ def window_bounds(cutoff: date, horizon: int) -> tuple[date, date]:
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], name: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
+    missing, _ = column_difference(df, columns)
     if missing:
         raise GuardError(f"{name} lacks columns {missing}")
 
 
+def column_difference(df: DataFrame, columns: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Wanted columns that the frame doesn't have, and columns of it that aren't wanted, each in their order."""
+    columns = list(columns)
+    return [c for c in columns if c not in df.columns], [c for c in df.columns if c not in columns]
+
+
 def _late(df: DataFrame, condition, column: str):
     return df.agg(F.count_if(F.coalesce(condition, F.lit(True))).alias("n"), F.max(column).alias("latest")).first()
 

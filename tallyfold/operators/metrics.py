@@ -22,15 +22,20 @@ def score(rows: DataFrame, by: list[str], actual: str = "sales", predicted: str
     )
 
 
-def check_scorable(rows: DataFrame, actual: str = "sales", predicted: str = "sales_hat", weight: str = "weight") -> DataFrame:
-    """Rows, all finite, weights >= 0 with a positive sum, actuals that don't cancel."""
+def scorable_counts(rows: DataFrame, by: list[str] | None = None, actual: str = "sales", predicted: str = "sales_hat", weight: str = "weight") -> DataFrame:
+    """What keeps rows from being scored: values that aren't finite, negative weights, and the sums that scores divide by."""
     def odd(c):
         return F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
 
-    r = rows.agg(
+    return rows.groupBy(*(by or [])).agg(
         F.count("*").alias("n"), F.count_if(odd(actual) | odd(predicted) | odd(weight)).alias("odd"),
         F.count_if(F.col(weight) < 0).alias("negative"), F.sum(weight).alias("w"), F.sum(F.abs(F.col(actual))).alias("y"), F.sum(actual).alias("s"),
-    ).first()
+    )
+
+
+def check_scorable(rows: DataFrame, actual: str = "sales", predicted: str = "sales_hat", weight: str = "weight") -> DataFrame:
+    """Rows, all finite, weights >= 0 with a positive sum, actuals that don't cancel."""
+    r = scorable_counts(rows, None, actual, predicted, weight).first()
     if not r.n:
         raise GuardError("nothing to score")
     if r.odd:

@@ -297,6 +297,19 @@ split_rows AS (
   FROM sides GROUP BY ALL)"""
 
 
+_WANTED = {
+    "lineitem": ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate", "l_extendedprice", "l_absent"),
+    "part": ("p_partkey", "p_brand", "p_absent"), "supplier": ("s_suppkey", "s_nationkey"),
+}
+
+
+def _gaps(table: str, wanted: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{c}'" for c in wanted)
+    known = f"(SELECT name, n FROM (SELECT * FROM (SELECT COUNT(COLUMNS(*)) FROM {table}) UNPIVOT (n FOR name IN (COLUMNS(*)))))"
+    return f"""SELECT '{table}' AS "table", name AS "column", 'extra' AS kind, n AS known FROM {known} k WHERE name NOT IN ({listed})
+      UNION ALL SELECT '{table}', w, 'missing', 0 FROM (SELECT unnest([{listed}]) AS w) t WHERE w NOT IN (SELECT name FROM {known} k)"""
+
+
 _BOOSTED = ("horizon_day", "weekday", "product_unique_id")
 _L1 = ("median(y)", "CAST(SIGN(s - y) AS DOUBLE)", "CAST(1 AS DOUBLE)", "median(e.y - e.s)", "v")
 _TWEEDIE = "EXP({b} * s) - y * EXP({a} * s)", "{b} * EXP({b} * s) - {a} * y * EXP({a} * s)"
@@ -446,6 +459,9 @@ SQL: dict[str, str] = {
     "report_lines": _with(BASE_LINES, """SELECT 0 AS line, '| baseline | wmae | wape | bias |' AS text UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL
       SELECT 1 + ROW_NUMBER() OVER (ORDER BY wmae, baseline), printf('| %s | %.6f | %.6f | %.6f |', baseline, wmae, wape, bias) FROM (SELECT baseline, AVG(wmae) AS wmae, AVG(wape) AS wape, AVG(bias) AS bias FROM scores GROUP BY 1)"""),
     "submission_order": _with(_FINAL, "SELECT ROW_NUMBER() OVER (ORDER BY grid_order) AS line, id FROM sub"),
+    "unscorable_counts": _with(BASE_LINES, """SELECT fold, baseline, COUNT(*) AS n, COUNT(*) FILTER (unique_id % 7 = 0) AS odd, COUNT(*) FILTER (horizon_day = 3 AND weight > 0) AS negative,
+      ROUND(SUM(CASE WHEN horizon_day = 3 THEN -weight ELSE weight END), 6) AS w, ROUND(SUM(ABS(sales)), 6) AS y, ROUND(SUM(sales), 6) AS s FROM long WHERE baseline IN ('trailing_7_day_mean', 'last_observed_by_id') GROUP BY 1, 2"""),
+    "column_gaps": " UNION ALL ".join(_gaps(table, wanted) for table, wanted in _WANTED.items()),
     "training_rows": _with("", f"""SELECT CAST(o.origin AS DATE) AS origin, COUNT(k.sales) AS rows, ROUND(SUM(k.sales), 6) AS sales FROM
       (SELECT CAST(DATE '{FOLDS["F1"]}' - CAST(14 * i AS INT) AS DATE) AS origin FROM range(1, 13) r(i)) o, grid g JOIN known k ON k.unique_id = g.unique_id AND k.date = CAST(o.origin + g.horizon_day AS DATE) GROUP BY 1"""),
 }

@@ -251,6 +251,34 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(T.as_markdown(means).split("\n"))), "line long, text string")
 
 
+def unscorable_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of which some are unknown and some weights negative, by fold and baseline, as the check before scoring sees them."""
+    rows = predictions(spark, sf, ("trailing_7_day_mean", "last_observed_by_id"))
+    hat = F.when(F.col("unique_id") % 7 != 0, F.col("sales_hat"))
+    weight = F.when(F.col("horizon_day") == 3, -F.col("weight")).otherwise(F.col("weight"))
+    return _rounded(M.scorable_counts(rows.withColumns({"sales_hat": hat, "weight": weight}), ["fold", "baseline"]))
+
+
+#: What the projection reads, and a column that no table has.
+WANTED_COLUMNS = {
+    "lineitem": ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate", "l_extendedprice", "l_absent"),
+    "part": ("p_partkey", "p_brand", "p_absent"), "supplier": ("s_suppkey", "s_nationkey"),
+}
+
+
+def column_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that a table lacks, and those of it that nothing reads, with their known values."""
+    out = None
+    for table, wanted in WANTED_COLUMNS.items():
+        df = T.read_parquet(spark, sf, table)
+        missing, extra = Q.column_difference(df, wanted)
+        entries = [F.struct(F.lit(c).alias("column"), F.lit("missing").alias("kind"), F.lit(0).cast("long").alias("known")) for c in missing]
+        entries += [F.struct(F.lit(c).alias("column"), F.lit("extra").alias("kind"), F.count(c).alias("known")) for c in extra]
+        one = df.agg(F.array(*entries).alias("_")).select(F.lit(table).alias("table"), F.explode("_").alias("_")).select("table", "_.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def submission_order(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the submission's file by line, as the file has them."""
     folder = T.shared_folder(spark, "submission")
@@ -570,6 +598,8 @@ QUERIES: dict[str, Query] = {
     "observed_guards": observed_guards,
     "report_lines": report_lines,
     "submission_order": submission_order,
+    "unscorable_counts": unscorable_counts,
+    "column_gaps": column_gaps,
     "training_rows": training_rows,
     "model_tweedie_scores": tweedie_scores,
     "model_tree_scores": tree_scores,
