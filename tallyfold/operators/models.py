@@ -1,9 +1,9 @@
-"""Global and per-horizon models in Spark ML: the same roles as boosted trees of other libraries."""
+"""Variants of the models, by boosted trees and by Spark ML's linear and plain tree models; training rows and checks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, invert_target, transform_target
+from .boosting import BoostConfig, Boosted, fit_boosted, predict_boosted
 from .features import CONTRACTS, category_codes, vocabulary_bounds
 from .guards import GuardError, joined, required
 
@@ -113,6 +114,21 @@ def fit_variant(train: DataFrame, name: str, config: TreeConfig = TreeConfig(),
     return fit_trees(train.withColumn("_t", transform_target(F.col(target), variant.transform)), config, columns, "_t")
 
 
+def fit_boosted_variant(
+    train: DataFrame, name: str, config: BoostConfig = BoostConfig(), columns: Iterable[str] | None = None, target: str = "sales", categorical: Iterable[str] = (), by: str | None = None
+) -> Boosted:
+    """Boosted trees of a variant: its objective on its transformed target, everything else as ``config`` says."""
+    variant = VARIANTS[name]
+    objective = "absolute" if variant.objective == "absolute" else "poisson" if variant.power == 1.0 else "tweedie"
+    config = replace(config, objective=objective, power=variant.power or config.power)
+    return fit_boosted(train.withColumn("_t", transform_target(F.col(target), variant.transform)), config, columns or CONTRACTS[91], "_t", categorical, by)
+
+
+def predict_boosted_variant(model: Boosted, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``sales_hat`` on the target's own scale."""
+    return predict_boosted(model, rows).withColumn("sales_hat", invert_target(F.col("sales_hat"), VARIANTS[name].transform))
+
+
 def predict(model: PipelineModel, rows: DataFrame, how: str = "raw") -> DataFrame:
     """``rows`` with ``sales_hat``; ``check_predictions`` tells whether all are numbers."""
     return model.transform(rows).withColumn("sales_hat", invert_target(F.col("prediction"), how)).drop("features", "prediction")

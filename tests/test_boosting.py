@@ -168,3 +168,15 @@ def test_medians_by_bits():
     xs = np.array([-np.inf, -2.5, -1e-300, -0.0, 0.0, 1e-300, 1.0, 1.0 + 2**-52, np.inf])
     bits = B.ordered_bits(xs)
     assert (np.diff(bits) >= 0).all() and bits[3] == bits[4] and [B.from_bits(b) for b in bits] == [float(x) for x in xs]
+
+
+def test_variants(spark):
+    from tallyfold.operators import models
+
+    df = spark.createDataFrame([(float(i % 2), 3.0 + 2.0 * (i % 2)) for i in range(40)] + [(0.0, -1.0)], "a double, sales double")
+    c = B.BoostConfig(rounds=1, rate=1.0, leaves=2, least_rows=2)
+    for name, hats in (("raw_l1", {3.0, 5.0}), ("sqrt_l1", {3.0, 5.0}), ("log1p_l1", {3.0, 5.0})):
+        model = models.fit_boosted_variant(df, name, c, ["a"])
+        assert {round(r.sales_hat, 9) for r in models.predict_boosted_variant(model, df, name).collect()} == hats
+    kinds = {name: models.fit_boosted_variant(df, name, c, ["a"]).config for name in ("tweedie_1_1", "tweedie_1_3", "poisson")}
+    assert {n: (k.objective, k.power) for n, k in kinds.items()} == {"tweedie_1_1": ("tweedie", 1.1), "tweedie_1_3": ("tweedie", 1.3), "poisson": ("poisson", 1.0)}
