@@ -94,10 +94,10 @@ def _table(seed, n, ties=False):
 
 
 CONFIGS = {
-    "absolute": B.BoostConfig(rounds=4, rate=0.3, leaves=7, least_rows=5, category_smooth=3.0, most_categories=4),
-    "absolute_ties": B.BoostConfig(rounds=3, rate=0.5, leaves=5, least_rows=8, category_smooth=3.0),
-    "poisson": B.BoostConfig("poisson", rounds=4, rate=0.3, leaves=7, least_rows=5, category_smooth=3.0),
-    "tweedie": B.BoostConfig("tweedie", 1.3, rounds=4, rate=0.3, leaves=7, least_rows=5, ridge=0.5, category_smooth=3.0, cut_rounds=2),
+    "absolute": B.BoostConfig(rounds=3, rate=0.3, leaves=7, least_rows=5, category_smooth=3.0, most_categories=4),
+    "absolute_ties": B.BoostConfig(rounds=2, rate=0.5, leaves=5, least_rows=8, category_smooth=3.0),
+    "poisson": B.BoostConfig("poisson", rounds=2, rate=0.3, leaves=7, least_rows=5, category_smooth=3.0),
+    "tweedie": B.BoostConfig("tweedie", 1.3, rounds=3, rate=0.3, leaves=7, least_rows=5, ridge=0.5, category_smooth=3.0, cut_rounds=2),
 }
 
 
@@ -118,7 +118,7 @@ def test_equals_a_plain_trainer(spark, name):
 
 
 def test_many_models_equal_each_alone(spark):
-    c = B.BoostConfig(rounds=3, rate=0.3, leaves=5, least_rows=5)
+    c = B.BoostConfig(rounds=2, rate=0.3, leaves=5, least_rows=5)
     rows = [(i, i % 3 + 4, *r) for i, r in enumerate(_table(5, 240))]
     df = spark.createDataFrame(rows, "i int, h int, a double, b double, k double, sales double")
     both = B.fit_boosted(df, c, ["a", "b"], by="h")
