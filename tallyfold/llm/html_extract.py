@@ -1,11 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of elements, in which neighbouring siblings with one label are merged, so that a
-list or an article of any length has one shape.  The trees of one host are aligned by simple tree
-matching, first within buckets of shapes and then across them, into one template per host, which
-knows how many pages have a node and how much text varies there.  Text that is the same on most of the
-host's pages with its node is template; the deepest node that holds all text that varies is the slot of
-the content.  A page's text are the blocks of its slot that aren't template, in page order.
+Pages become trees of elements, in which neighbouring paragraphs, items, rows and the like (and long
+runs of any one label) are one node, so that a list or an article of any length has one shape.  The
+trees of one host are aligned by simple tree matching into one template per host.  Each aligned node
+knows how many pages have it, how much text they have there and which texts most of them share there:
+what is shared is constant, the rest varies.  The slot is found on the template: the article or main
+element with much of the varying text, else the deepest node with nearly all of it, but never below a
+varying heading or paragraphs of its own.  A page's tree is then aligned with its host's template, and
+its text is all that stands where the slot is, constant or not.  Only a slot that no tag marks as
+content loses the constant blocks at its two ends.
 
 Labels say what alignment cannot: adverts and menus vary from page to page too.  Elements whose tag,
 class, id or role names navigation, adverts, forms, comments and the like are never content.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as html_entities
 import json
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +39,12 @@ NEVER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login search form share sharing social related recommended recommendations comment comments commentlist respond disqus reviews "
-    "widget toolbar pager pagination skip copyright".split()
+    "widget widgets toolbar pager pagination skip copyright feedback discussion replies".split()
 )
-#: A name's first part counts where the last one only says what kind of box it is; no part counts after these.
-BOX_NAMES = set("area bar block box buttons container icons left links list right slot unit wrap wrapper zone".split())
+#: The part before them counts where the last ones only say what kind of box it is.
+BOX_NAMES = set("area bar block bottom box buttons container icons inner item items left links list main posts right section slot text thread top unit widgets wrap wrapper zone".split())
+#: Names with one of these and a box are those of layouts.
+CONTENT_NAMES = {"article", "content", "entry", "page", "post", "story"}
 NOT_NAMES = {"has", "no", "not", "with", "without"}
 NEVER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 CONTENT_TAGS = {"article", "main"}
@@ -48,12 +54,29 @@ CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th",
 DEPTH = 64
 #: Labels that are longer are told apart by their hash.
 LABEL_CHARS = 40
-#: Share of a host's different pages with a node that have a text there, for it to be template (from two pages on).
-CONSTANT_SHARE = 0.8
+#: Neighbouring siblings of these tags, and more than ``RUN`` of any one label, are one node.
+REPEATED = set("p li tr td th dt dd pre blockquote h2 h3 h4 h5 h6".split())
+RUN = 8
+TEXT_TAGS = REPEATED | {"h1"}
+#: Share of a node's pages that have one text there, for it to be constant (from two different pages on).
+CONSTANT_SHARE = 0.6
+#: Texts that a node counts: of a page at most the first and last two and all as one, so a count misses at
+#: most a fifth of the node's pages: what 80 % share is found, what less than 60 % share is not.
+SLOTS = 24
+#: Share of the varying text that an article or main element has, to be the slot.
+CONTENT_SHARE = 0.2
+#: Share of a node's varying text that one kid has, for the slot to lie within it.
+INNER_SHARE = 0.7
+#: Share that paragraphs of its own have in a node that is the slot itself.
+OWN_SHARE = 0.1
+#: A template drops nodes that fewer of its pages have, unless they lead to the slot.
+RARE_SHARE = 0.02
 #: Trees that are aligned in one step.
 FAN_IN = 128
 #: Bytes of all hosts' names, paths and template texts up to which they are sent to every task.
 BROADCAST_BYTES = 8_000_000
+#: Beyond, the templates of hosts with more than one in so many of all rows are sent; the others' rows are shuffled.
+HOT_HOSTS = 500
 
 #: A quote counts right after an equals sign only; a tag whose quote is never closed ends at its first ``>``.
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)>?)", re.S)
@@ -75,10 +98,15 @@ class Node:
 
 def _never_name(name: str, inside: bool) -> bool:
     """Whether a class or id is that of no content; headers within an article are content."""
-    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not any(c.isdigit() for c in x)]
     if not parts or NOT_NAMES.intersection(parts):
         return False
-    key = parts[0] if parts[-1] in BOX_NAMES else parts[-1]
+    last = len(parts) - 1
+    while last and parts[last] in BOX_NAMES:
+        last -= 1
+    if last < len(parts) - 1 and CONTENT_NAMES.intersection(parts):
+        return False
+    key = parts[last]
     return key in NEVER_NAMES and not (inside and key == "header")
 
 
@@ -225,63 +253,103 @@ def parse(page: str) -> Node:
             push(node)
 
 
-def blocks(root: Node) -> list[tuple[str, str]]:
-    """(path, text) of each block with text that may be content, in page order."""
-    out: list[tuple[str, str]] = []
+# --- a page's tree: [label, places of its own blocks, 0, kids]
+
+
+def outline(root: Node) -> tuple[list, list[str]]:
+    """The tree of a page's elements with text that may be content, and its blocks in page order."""
+    texts: list[str] = []
     held: list[str] = []
-    known: dict[tuple[str, str], str] = {}
 
-    def flush(path: str) -> None:
+    def flush(node: list) -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((path, text))
+            node[1].append(len(texts))
+            texts.append(text)
 
-    stack = [(iter(root.kids), root.label, 0, True)]
+    tree: list = [root.label, [], 0, []]
+    stack = [(iter(root.kids), tree, 0, True)]
     while stack:
-        kids, path, depth, block = stack[-1]
+        kids, node, depth, block = stack[-1]
         for kid in kids:
             if isinstance(kid, str):
                 held.append(html_entities.unescape(kid))
             elif kid.tag == "br":
                 held.append(" ")
             elif kid.tag in BLOCKS or kid.never:
-                flush(path)
+                flush(node)
                 if not kid.never:
-                    inner = path if depth == DEPTH else known.setdefault((path, kid.label), f"{path}/{kid.label}")
+                    inner = node
+                    if depth < DEPTH:
+                        inner = [kid.label, [], 0, []]
+                        node[3].append(inner)
                     stack.append((iter(kid.kids), inner, min(depth + 1, DEPTH), True))
                     break
             else:
-                stack.append((iter(kid.kids), path, depth, False))
+                stack.append((iter(kid.kids), node, depth, False))
                 break
         else:
             stack.pop()
             if block:
-                flush(path)
-    return out
+                flush(node)
+    return _fold(tree), texts
+
+
+def _fold(node: list) -> list:
+    """The tree without elements that have no text, runs of siblings as one node."""
+    kids: list = []
+    for label, run in groupby((k for k in map(_fold, node[3]) if k[1] or k[3]), key=lambda k: k[0]):
+        same = list(run)
+        if len(same) > 1 and (_tag(label) in REPEATED or len(same) > RUN):
+            same = [_fold([label, [i for k in same for i in k[1]], 0, [x for k in same for x in k[3]]])]
+        kids += same
+    return [node[0], node[1], 0, kids]
+
+
+def _tag(label: str) -> str:
+    return re.split("[.#]", label, maxsplit=1)[0]
+
+
+def blocks(root: Node) -> list[tuple[str, str]]:
+    """(label, text) of each block with text that may be content, in page order."""
+    tree, texts = outline(root)
+    labels = [""] * len(texts)
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        for i in node[1]:
+            labels[i] = node[0]
+        stack += node[3]
+    return list(zip(labels, texts, strict=True))
+
 
+# --- templates: [label, pages, characters of its own, kids, [text, pages, characters] of frequent texts]
 
-# --- templates: [label, pages, varying text, kids]
 
+def shape(node: list, texts: list[str]) -> list:
+    """The template of one page."""
+    own = [texts[i] for i in node[1]]
+    seen = {_hash(node[0], t): len(t) for t in (own if len(own) <= 4 else own[:2] + own[-2:])}
+    size = sum(map(len, own))
+    if len(own) > 1:
+        seen[_hash(node[0], "\n".join(own))] = size
+    return [node[0], 1, size, [shape(k, texts) for k in node[3]], sorted([h, 1, n] for h, n in seen.items())]
 
-def shape(found: list[tuple[str, str]]) -> list:
-    """The tree of a page's blocks, one node for all siblings of one label, with (hash, length) of each text."""
-    root = ["html", 1, [], []]
-    for path, text in found:
-        node = root
-        for label in path.split("/")[1:]:
-            kid = next((k for k in node[3] if k[0] == label), None)
-            if kid is None:
-                kid = [label, 1, [], []]
-                node[3].append(kid)
-            node = kid
-        node[2].append((_hash(path, text), len(text)))
-    return root
 
+def _frequent(a: list, b: list) -> list:
+    """Both lists of counted texts in one; of more than ``SLOTS`` the rarest go, and all lose as many pages (Misra-Gries)."""
+    counts: dict[int, list[int]] = {}
+    for h, pages, size in [*a, *b]:
+        old = counts.setdefault(h, [0, size])
+        old[0] += pages
+    least = sorted((c for c, _ in counts.values()), reverse=True)[SLOTS] if len(counts) > SLOTS else 0
+    return sorted([h, c - least, size] for h, (c, size) in counts.items() if c > least)
 
-def varying(tree: list, constant: set[int] | frozenset) -> list:
-    """The same tree with the length of the text that isn't template."""
-    return [tree[0], tree[1], sum(n for h, n in tree[2] if h not in constant), [varying(k, constant) for k in tree[3]]]
+
+def constants(node: list) -> list[int]:
+    """The texts that most pages with the node share there."""
+    return [h for h, pages, _ in node[4] if pages >= 2 and pages >= CONSTANT_SHARE * node[1]]
 
 
 def _pairs(xs: list, ys: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -302,10 +370,11 @@ def _pairs(xs: list, ys: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
                 k -= k & -k
             mine = (before[0] + _match(x, ys[j], memo), len(found))
             found.append((i, j, before[1]))
-            top = max(top, mine, key=lambda t: t[0])
+            if mine[0] > top[0] or mine[0] == top[0] and found[top[1]][0] == i:  # of equals the first
+                top = mine
             k = j + 1
             while k <= len(ys):
-                if mine[0] > best[k][0]:
+                if mine[0] > best[k][0] or mine[0] == best[k][0] and found[best[k][1]][0] == i:
                     best[k] = mine
                 k += k & -k
     chain, at = [], top[1]
@@ -332,35 +401,123 @@ def align(a: list, b: list, memo: dict | None = None) -> list:
     for x, y in _pairs(xs, ys, memo)[1]:
         kids += [*xs[i:x], *ys[j:y], align(xs[x], ys[y], memo)]
         i, j = x + 1, y + 1
-    return [a[0], a[1] + b[1], a[2] + b[2], [*kids, *xs[i:], *ys[j:]]]
+    return [a[0], a[1] + b[1], a[2] + b[2], [*kids, *xs[i:], *ys[j:]], *map(_frequent, a[4:], b[4:])]
 
 
 def times(tree: list, n: int) -> list:
-    """The tree of ``n`` equal pages."""
-    return tree if n == 1 else [tree[0], tree[1] * n, tree[2] * n, [times(k, n) for k in tree[3]]]
-
-
-def slot(tree: list) -> str:
-    """The path of the deepest node that holds all varying text."""
-
-    def weight(n):
-        return n[2] + sum(map(weight, n[3]))
-
-    node, path, total = tree, tree[0], weight(tree)
-    while True:
-        kid = max(node[3], key=weight, default=None)
-        if kid is None or not total or weight(kid) < total or kid[0].split(".")[0] in ("p", "li", "td", "pre", "h1", "h2", "h3"):
-            return path
-        node, path = kid, f"{path}/{kid[0]}"
+    """The template of ``n`` equal pages."""
+    if n == 1:
+        return tree
+    return [tree[0], tree[1] * n, tree[2] * n, [times(k, n) for k in tree[3]], [[h, c * n, size] for h, c, size in tree[4]]]
+
+
+def slot(tree: list) -> tuple[list[int], bool]:
+    """The places of the kids that lead to the node of the content, and whether its tag says that it is content."""
+    weights: dict[int, int] = {}
+
+    def weigh(node: list) -> int:
+        known = set(constants(node))
+        own = max(0, node[2] - sum(pages * size for h, pages, size in node[4] if h in known))
+        weights[id(node)] = own + sum(map(weigh, node[3]))
+        return weights[id(node)]
+
+    def weight(node: list) -> int:
+        return weights[id(node)]
+
+    def marked(node: list, least: float, path: list[int]) -> tuple[int, list[int], list] | None:
+        """The heaviest content element below a node; the node above where there are several side by side."""
+        here = [(weight(k), [*path, i], k) for i, k in enumerate(node[3]) if _tag(k[0]) in CONTENT_TAGS and weight(k)]
+        if len(here) > 1 and _tag(node[0]) in CONTENT_TAGS:
+            return None
+        if len(here) > 1 and sum(w for w, _, _ in here) >= least:
+            return sum(w for w, _, _ in here), path, node
+        found = [x for x in here if x[0] >= least]
+        for i, k in enumerate(node[3]):
+            if _tag(k[0]) not in CONTENT_TAGS and weight(k) >= least and (x := marked(k, least, [*path, i])):
+                found.append(x)
+        return max(found, key=lambda x: x[0], default=None)
+
+    def heading(node: list) -> bool:
+        return bool(weight(node)) and (_tag(node[0]) in ("h1", *CONTENT_TAGS) or any(map(heading, node[3])))
+
+    node, path, total = tree, [], weigh(tree)
+    if not total:
+        return path, False
+    while (found := marked(node, CONTENT_SHARE * weight(node), path)) and found[1] != path:
+        path, node = found[1], found[2]
+    if _tag(node[0]) in CONTENT_TAGS or found:
+        return path, _tag(node[0]) in CONTENT_TAGS
+    while node[3]:
+        at = max(range(len(node[3])), key=lambda i: weight(node[3][i]))
+        kid, own = node[3][at], weight(node) - sum(map(weight, node[3]))
+        own += sum(weight(k) for k in node[3] if _tag(k[0]) in TEXT_TAGS)
+        if _tag(kid[0]) in TEXT_TAGS or weight(kid) < INNER_SHARE * weight(node) or own > OWN_SHARE * weight(node):
+            break
+        if any(heading(k) for i, k in enumerate(node[3]) if i != at):
+            break
+        node, path = kid, [*path, at]
+    return path, False
+
+
+#: Marks of a wrapper's nodes: off the way, on the way to the slot, the slot, a slot whose tag says that it is content.
+OFF, WAY, SLOT, CONTENT = range(4)
+
+
+def wrapper(tree: list) -> list:
+    """What a page is held against: [label, constant texts, mark, kids], without nodes that few pages have."""
+    path, content = slot(tree)
+    least = RARE_SHARE * tree[1]
+
+    def lean(node: list, depth: int) -> list:
+        mark = OFF if depth < 0 else (CONTENT if content else SLOT) if depth == len(path) else WAY
+        kids = []
+        for i, k in enumerate(node[3]):
+            way = mark == WAY and path[depth] == i
+            if way or k[1] >= least:
+                kids.append(lean(k, depth + 1 if way else -1))
+        return [node[0], constants(node), mark, kids]
+
+    return lean(tree, 0)
+
+
+def _below(node: list) -> dict[int, str]:
+    """The places of the blocks at and below a node, with their labels."""
+    out: dict[int, str] = {}
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        out.update((i, at[0]) for i in at[1])
+        stack += at[3]
+    return out
 
 
-def text_of(found: list[tuple[str, str]], where: str, constant: set[int] | frozenset = frozenset()) -> str | None:
-    """The blocks at or below a path without the template's own texts; None if nothing is there."""
-    inner = where + "/"
-    here = [(p, t) for p, t in found if p == where or p.startswith(inner)]
-    if not here:
-        return None
-    return "\n".join(t for p, t in here if not constant or _hash(p, t) not in constant)
+def main_text(page: str, wrap: list) -> str:
+    """A page's text by its host's wrapper; where it has no such slot, by the slot of what varies on the page itself."""
+    tree, texts = outline(parse(page))
+    memo: dict = {}
+    constant: set[int] = set()
+    found, mark = None, SLOT
+    stack = [(tree, wrap)]
+    while stack:
+        node, known = stack.pop()
+        if known[2] in (SLOT, CONTENT):
+            found, mark = node, known[2]
+        if same := set(known[1]):
+            whole = _hash(node[0], "\n".join(texts[i] for i in node[1])) in same
+            constant.update(i for i in node[1] if whole or _hash(node[0], texts[i]) in same)
+        stack += [(node[3][i], known[3][j]) for i, j in _pairs(node[3], known[3], memo)[1]]
+    if found is None or not _below(found):
+        path, content = slot(shape(tree, ["" if i in constant else t for i, t in enumerate(texts)]))
+        found, mark = tree, CONTENT if content else SLOT
+        for i in path:
+            found = found[3][i]
+    places = _below(found)
+    kept = sorted(places)
+    if mark == SLOT:
+        deep = _tag(found[0]) not in ("html", "body")
+        own = [i for i in places if i not in constant or deep and _tag(places[i]) == "h1"]
+        kept = [i for i in kept if own and min(own) <= i <= max(own)]
+    return "\n".join(texts[i] for i in kept)
 
 
 def _hash(path: str, text: str) -> int:
@@ -393,15 +550,12 @@ def _templates(trees: DataFrame, scratch: Scratch) -> DataFrame:
     trees = trees.groupBy("host", "tree").agg(F.count("*").alias("n"))  # equal trees add up before they move
     step = scratch.save(trees, "trees")
     while True:
-        per_host = step.groupBy("host").agg(F.count("*").alias("trees"))
-        most = per_host.agg(F.max("trees").alias("m")).first().m or 0
+        most = step.groupBy("host").agg(F.count("*").alias("trees")).agg(F.max("trees").alias("m")).first().m or 0
         if most <= FAN_IN:
             return step.groupBy("host").applyInArrow(_merge_trees(["host"]), "host string, tree string, n long").select("host", "tree")
-        salt = F.pmod(F.xxhash64("tree"), F.ceil(F.col("trees") / FAN_IN)).alias("salt")
-        after = scratch.save(
-            step.join(per_host, "host").select("host", "tree", "n", salt).repartition("host", "salt").groupBy("host", "salt").applyInArrow(_merge_trees(["host", "salt"]), "host string, tree string, n long"),
-            "trees",
-        )
+        salt = F.pmod(F.xxhash64("tree"), F.lit(-(-most // FAN_IN)))
+        salted = step.select("host", "tree", "n", salt.alias("salt")).repartition("host", "salt")
+        after = scratch.save(salted.groupBy("host", "salt").applyInArrow(_merge_trees(["host", "salt"]), "host string, tree string, n long"), "trees")
         scratch.drop(step)
         step = after
 
@@ -410,9 +564,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (``page_id``, ``url``, ``html``; other columns ignored): ``page_id``,
     ``url``, ``text`` (blocks joined by line feeds, empty if there is none) and ``n_chars``.
 
-    A null or empty page has no text.  Pages without a host (a null or odd address) share the empty
-    one.  Repeated pages count once for their host's template, and each gets its text; a host of one
-    page is its own template.  Where a page lacks its host's slot, the slot is found on the page alone.
+    A null or empty page has no text, an empty table gives no rows.  Pages without a host (a null or odd
+    address) share the empty one.  Repeated pages count once for their host's template, and each gets
+    its text; a host of one page is its own template.  Where a page lacks its host's slot, the slot is
+    found on the page alone.  Of kids with equally much varying text the first is taken.  A page of any
+    length is read whole, by itself where it is longer than a batch.
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -420,61 +576,46 @@ def extract(pages: DataFrame) -> DataFrame:
     def look(batches):
         for batch in batches:
             for part in slices(batch, "html", STEP_BYTES):
-                hosts, marks, trees, texts, nodes = [], [], [], [], []
-                for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    found = blocks(parse(page))
-                    hosts.append(host_of(url))
-                    trees.append(json.dumps(shape(found), separators=(",", ":")))
-                    pairs = sorted({(_hash(p, t), _hash(p, "")) for p, t in found})
-                    texts.append([t for t, _ in pairs])
-                    nodes.append([n for _, n in pairs])
-                    marks.append(_hash("", "\n".join(t for _, t in found)))
-                yield pa.RecordBatch.from_pydict(
-                    {"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "tree": pa.array(trees, pa.string()), "texts": pa.array(texts, pa.list_(pa.int64())), "nodes": pa.array(nodes, pa.list_(pa.int64()))}
-                )
-
-    looked = rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string, texts array<long>, nodes array<long>")
-    seen = scratch.save(looked.groupBy("host", "mark").agg(F.min(F.struct("tree", "texts", "nodes")).alias("p")).select("host", "mark", "p.*"), "pages")
-    # Text on most pages that have its node.  Counts are taken before the host, so that a large one is summed in parts.
-    per_node = seen.select("host", F.explode(F.array_distinct("nodes")).alias("node")).groupBy("host", "node").agg(F.count("*").alias("pages"))
-    pairs = seen.select("host", F.explode(F.arrays_zip("texts", "nodes")).alias("p")).select("host", "p.texts", "p.nodes").toDF("host", "text", "node")
-    common = pairs.groupBy("host", "node", "text").agg(F.count("*").alias("n")).filter("n >= 2")
-    constant = common.join(per_node, ["host", "node"]).filter(F.col("n") >= CONSTANT_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("text").alias("constant"))
-    constant = scratch.save(constant, "constants")
-    few = constant.agg(F.coalesce(F.sum(F.length("host") + 8 * F.size("constant") + 16), F.lit(0)).alias("bytes")).first().bytes <= BROADCAST_BYTES
-
-    def weigh(batches):
+                marks, trees = [], []
+                for page in part.column("html").to_pylist():
+                    tree, texts = outline(parse(page))
+                    trees.append(json.dumps(shape(tree, texts), separators=(",", ":")))
+                    marks.append(_hash("", "\n".join(texts)))
+                hosts = [host_of(u) for u in part.column("url").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "mark": pa.array(marks, pa.int64()), "tree": pa.array(trees, pa.string())})
+
+    def wrap(batches):
         for batch in batches:
-            for part in slices(batch, "tree", STEP_BYTES):
-                trees = [varying(json.loads(t), frozenset(known or ())) for t, known in zip(part.column("tree").to_pylist(), part.column("constant").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"host": part.column("host"), "tree": pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())})
+            wraps = [json.dumps(wrapper(json.loads(t)), separators=(",", ":")) for t in batch.column("tree").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "wrap": pa.array(wraps, pa.string())})
 
-    weighed = seen.select("host", "tree").join(F.broadcast(constant) if few else constant, "host", "left").select("host", "tree", "constant").mapInArrow(weigh, "host string, tree string")
-    trees = _templates(weighed, scratch)
-
-    def slots(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "slot": pa.array([slot(json.loads(t)) for t in batch.column("tree").to_pylist()], pa.string())})
-
-    wrappers = scratch.save(trees.mapInArrow(slots, "host string, slot string").join(constant, "host", "left"), "wrappers")
+    looked = rows.select("url", "html").mapInArrow(look, "host string, mark long, tree string")
+    seen = looked.groupBy("host", "mark").agg(F.min("tree").alias("tree"))
+    wraps = scratch.save(_templates(seen.select("host", "tree"), scratch).mapInArrow(wrap, "host string, wrap string"), "wraps")
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "html", STEP_BYTES):
+                known: dict[str, list] = {}
                 out = []
-                for page, where, known in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), part.column("constant").to_pylist(), strict=True):
-                    found = blocks(parse(page))
-                    known = frozenset(known or ())
-                    text = text_of(found, where, known) if where else None
-                    if text is None:
-                        text = text_of(found, slot(varying(shape(found), known)), known) or ""
-                    out.append(text)
+                for page, at in zip(part.column("html").to_pylist(), part.column("wrap").to_pylist(), strict=True):
+                    if at not in known:
+                        known[at] = json.loads(at)
+                    out.append(main_text(page, known[at]))
                 yield pa.RecordBatch.from_pydict({"page_id": part.column("page_id"), "url": part.column("url"), "text": pa.array(out, pa.string())})
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    size = F.length("host") + F.length("slot") + 8 * F.greatest(F.size("constant"), F.lit(0)) + 32
-    few = wrappers.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first().bytes <= BROADCAST_BYTES
-    joined = rows.withColumn("host", host).join(F.broadcast(wrappers) if few else wrappers, "host", "left")
+    rows = rows.withColumn("host", host)
+    size = wraps.agg(F.coalesce(F.sum(F.length("host") + F.length("wrap") + 32), F.lit(0)).alias("bytes")).first().bytes
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(wraps), "host", "left")
+    else:
+        counts = scratch.save(rows.groupBy("host").agg(F.count("*").alias("rows")), "hosts")
+        least = counts.agg(F.sum("rows")).first()[0] / HOT_HOSTS
+        hot = F.broadcast(counts.filter(F.col("rows") > least).select("host"))
+        joined = rows.join(F.broadcast(wraps.join(hot, "host", "left_semi")), "host").unionByName(
+            rows.join(hot, "host", "left_anti").join(wraps, "host", "left").select("host", *[c for c in rows.columns if c != "host"], "wrap")
+        )
     kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "page_id")
-    done = joined.select("page_id", "url", "html", "slot", "constant").mapInArrow(cut, f"page_id {kind}, url string, text string")
+    done = joined.select("page_id", "url", "html", "wrap").mapInArrow(cut, f"page_id {kind}, url string, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
