@@ -21,7 +21,10 @@ CAP = 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line labels reject go."""
+    """Documents that the base rules or the line labels reject go.
+
+    Null and empty texts fail the base rules.  Repeated rows are judged alike and all stay or go, texts of
+    any length by all their lines; other columns go, and an empty table gives an empty one."""
     field = line_crf.train(docs, read_table(spark, sf_dir, "labels"))
     return line_crf.quality(docs.select(*COLUMNS), field).filter("kept").select(*COLUMNS)
 
@@ -31,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words link with nothing and all stay.  Of rows that share the smallest id one
     stays for each different text, with the smallest source, language and count; a document without an
-    id stays where it links with nothing."""
+    id stays where it links with nothing.  Texts are compared by all their words; other columns go, and an
+    empty table gives an empty one."""
     joined = ngram_join.jaccard_join(docs, SHINGLE, NUM, DEN)
     keep = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*COLUMNS)
@@ -39,7 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that a repeated string of ``REPEAT_BYTES`` covers go; a text without a rest goes too."""
+    """Bytes that a repeated string of ``REPEAT_BYTES`` covers go; a text without a rest goes too.
+
+    Null and empty texts stay as they are.  Of repeated rows of that many bytes none is left.  Texts of any
+    length are cut anywhere; other columns go, and an empty table gives an empty one."""
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), REPEAT_BYTES, with_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = cut.filter("n_removed < n_bytes or n_bytes = 0").select("doc_id", text.alias("text"), "lang", "source")
@@ -49,7 +56,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, rows that share an id each by itself.
 
-    A document without words is taken once.  No row's copies meet: rows keep their number from the mix."""
+    A document without words or text is taken once.  No row's copies meet: rows keep their number from the
+    mix.  Texts of any length stay whole; other columns go, and an empty table gives an empty one."""
     numbered = Scratch(spark, "numbered").save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "rows")
     taken = mixing.mix_sources(numbered, cap=CAP, row="_row").filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
     dealt = numbered.join(taken, "_row")
@@ -57,7 +65,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens.
+
+    A null or empty text is the end id alone.  Repeated rows are packed one by one, texts of any length
+    in pieces; an empty table has no pieces."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 

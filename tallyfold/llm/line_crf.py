@@ -264,7 +264,8 @@ def quality(docs: DataFrame, field: Field | None, content_share: float = CONTENT
 
     A null text has no words and fails the base rules, as an empty one does; its content share is 0.
     Repeated rows and ties are judged alike; columns of ``docs`` with one of the added names are
-    replaced; without a field (no labels) every line counts as content.
+    replaced; without a field (no labels) every line counts as content.  All lines of a text of any
+    length are labelled; a very long one comes alone.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     added = [

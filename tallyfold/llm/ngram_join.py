@@ -166,8 +166,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     words, its whole sequence.  Two documents link when ``den * intersection >= num * union``.  A
     null or empty text has an empty set and links with nothing: its component is its own id.
     Repeated rows count as documents of equal sets.  A null id takes part, but gives no component
-    its name; where no id is known the component is null.  Other columns are ignored, and an empty
-    table gives an empty result.
+    its name; where no id is known the component is null.  A pair just at the bound links, and so do equal
+    texts.  All words of a text of any length count.  Other columns are ignored, and an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")

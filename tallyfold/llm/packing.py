@@ -203,7 +203,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
 
     ``docs`` has ``doc_id`` and ``text``; other columns are ignored.  A null or empty text is the end
     id alone.  Rows that repeat, or share an id, are packed as documents of their own, and a null id
-    stays null.  An empty table has no pieces.
+    stays null.  Neighbours with the same score are taken in the order of their places in the shard.  A text
+    of any length is encoded whole and cut into as many pieces as it needs.  An empty table has no pieces.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")

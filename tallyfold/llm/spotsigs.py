@@ -144,7 +144,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     empty text's set holds the hash of the empty string, and is as alike as 1 to another's.  A null
     id sorts first; documents that share an id follow each other in the order of their texts' hashes;
     a repeated row is followed by its own copy, but for the last copy.  A table's only document is its
-    own successor.  An empty table gives an empty result.
+    own successor.  Fingerprints are of whole texts of any length, in time that grows with it.  An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "spots")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))

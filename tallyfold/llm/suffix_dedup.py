@@ -437,7 +437,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text:
     Texts are UTF-8 bytes (null: empty).  A byte goes when a string of ``length`` bytes covers it that
     also starts anywhere else in the table, the same text included, so of two equal texts of ``length``
     bytes or more nothing is left.  In ``kept_text`` bytes that a cut leaves of a broken character are dropped.  Columns of ``docs``
-    with an added name are replaced.  An empty table gives an empty result.
+    with an added name are replaced.  Repeated rows are each other's copies, and none is spared, so ties
+    don't arise.  A very long text is cut into overlapping pieces and compared with itself as with all
+    others.  An empty table gives an empty result.
     """
     if not q <= length < q + 2048:
         raise ValueError(f"strings of {q} to {q + 2047} bytes, not {length}: a run's width has eleven bits")

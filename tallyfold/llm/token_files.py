@@ -42,7 +42,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     of one row per shard (run it once and keep it).
 
     A null or empty text is the end id alone.  A null ``doc_id`` sorts first; rows that share an id
-    keep one place each, in the order of their texts.  An empty table leaves no shard.  A retried or
+    keep one place each, in the order of their texts; equal rows are the same in either order.  A text of any
+    length is encoded whole.  An empty table leaves no shard.  A retried or
     repeated task writes under a name of its own and moves the finished files into place.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))

@@ -93,3 +93,14 @@ def test_survivor_is_the_same_in_any_order(spark):
     docs = spark.createDataFrame([*rows, (2, text, "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     first, again = (corpus_pipeline.near_duplicates(spark, d, "").collect() for d in (docs, docs.orderBy(F.desc("source")).repartition(3)))
     assert [tuple(r) for r in first] == [tuple(r) for r in again] and len(first) == 1 and first[0].doc_id == 1
+
+
+def test_verdict_on_held_out_documents(spark, sf):
+    """The field is fitted on one half of the labels; the other half judges it, among documents that pass the base rules."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    field = line_crf.train(docs, labels.filter(half == 0))
+    judged = line_crf.quality(docs, field).filter("not base_failed").join(labels.filter(half == 1).select("doc_id", "quality"), "doc_id")
+    found = Counter((r.quality, r.kept) for r in judged.select("quality", "kept").collect())
+    good, bad = found[1, True] / (found[1, True] + found[1, False]), found[0, False] / max(1, found[0, True] + found[0, False])
+    assert good >= 0.95 and (found[0, True] + found[0, False] == 0 or bad >= 0.5)
