@@ -61,9 +61,13 @@ def _rate(cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(math.log(cap) + 1))))
 
 
-def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP) -> DataFrame:
+def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP, few: bool = False) -> DataFrame:
     """``hist``: ``key``, ``size``, ``n``; ``goals``: ``key``, ``target``.  One row per source with
-    its ``mean`` and ``tilt``; a source whose target is its cap, or 0, has none."""
+    its ``mean`` and ``tilt``; a source whose target is its cap, or 0, has none.  ``few``: sources are
+    few enough to be sent to every task.
+
+    A step is one join and one aggregation, which carries the source's row along: plans and jobs of
+    many steps fill the driver's memory, however small the tables are."""
     shape = hist.filter("size > 0").groupBy("key").agg(
         F.sum(F.col("size") * F.col("n")).cast("double").alias("whole"),
         (F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("mean"),
@@ -82,17 +86,18 @@ def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP)
         "tilts",
     )
     for _ in range(STEPS):
-        rated = hist.filter("size > 0").join(state.filter("not done"), "key").withColumn("rate", _rate(cap))
+        rated = hist.filter("size > 0").join(F.broadcast(state) if few else state, "key").withColumn("rate", _rate(cap))
         tokens = F.col("n") * F.col("size") * F.col("rate")
         slope = F.when(F.col("rate") < cap, tokens * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = rated.groupBy("key").agg(F.sum(tokens).alias("have"), F.sum(slope).alias("slope"))
+        same = [F.first(c).alias(c) for c in ("mean", "target", "tilt", "low", "high", "done")]  # a source's row, at each of its sizes
+        sums = rated.groupBy("key").agg(F.sum(tokens).alias("have"), F.sum(slope).alias("slope"), *same)
         miss = F.col("have") - F.col("target")
         low = F.when(miss < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(miss > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - F.try_divide(miss, F.col("slope"))
         inside = newton.isNotNull() & (newton > low) & (newton < high)
         good = F.abs(miss) <= F.col("target") * MISS
-        stepped = state.join(sums, "key", "left").select(
+        stepped = sums.select(
             "key", "mean", "target",
             F.when(F.col("done") | good, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2).alias("tilt"),
             F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"),
@@ -102,7 +107,7 @@ def tilts(hist: DataFrame, goals: DataFrame, scratch: Scratch, cap: float = CAP)
         after = scratch.save(stepped, "tilts")
         scratch.drop(state)
         state = after
-        if not state.filter("not done").limit(1).count():
+        if state.filter("not done").isEmpty():
             break
     else:
         worst = state.filter("not done").select("key").first()
@@ -126,7 +131,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CA
     hist = scratch.save(sized.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = hist.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     goals = scratch.save(targets(sizes, weights, cap), "targets")
-    found = tilts(hist, goals, scratch, cap)
+    # a row per source: sent to the sizes and documents, so that those of a large source stay where they are
+    few = goals.agg(F.coalesce(F.sum(F.length("key") + 24), F.lit(0)).alias("chars")).first().chars <= BROADCAST_CHARS
+    found = tilts(hist, goals, scratch, cap, few)
 
     full = (F.col("source_size") > 0) & F.col("tilt").isNull()
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(full, float(cap)).otherwise(_rate(cap))
@@ -158,8 +165,6 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cap: int = CA
     )
     # What is still off after rounding is mended by one copy more or less of the document whose size comes nearest.
     off = scratch.save(taken.groupBy("key").agg((F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off")).filter("off <> 0"), "off")
-    # a row per source: sent to the documents, so that those of a large source stay where they are
-    few = off.agg(F.coalesce(F.sum(F.length("key") + 24), F.lit(0)).alias("chars")).first().chars <= BROADCAST_CHARS
     off = F.broadcast(off) if few else off
     can = F.when(F.col("off") > 0, F.col("copies") > 0).otherwise(F.col("copies") < cap)
     gap = F.abs(F.col("size") - F.abs("off"))
