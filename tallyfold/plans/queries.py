@@ -36,12 +36,14 @@ def _folds(spark: SparkSession) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf: str, holes: bool = True) -> DataFrame:
-    """The projected history, kept (in memory, or on disk beyond it): every part of a plan reads it, and
-    the projection's joins and sums are done once."""
+    """The projected history, kept (in memory, or on disk beyond it): every part of a plan reads it.  The days' sums
+    that it shares with the inventory are kept too, so the lines are read, joined and summed up once."""
+    fx.daily(spark, sf).persist()
     return fx.history(spark, sf, holes).persist()
 
 
 def _inventory(spark: SparkSession, sf: str) -> DataFrame:
+    fx.daily(spark, sf).persist()
     return fx.inventory(spark, sf).persist()
 
 

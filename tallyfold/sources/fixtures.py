@@ -27,29 +27,42 @@ def origins(cutoff: date, n: int = 12) -> list[date]:
     return [cutoff - timedelta(days=STEP * i) for i in range(1, n + 1)]
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Suppliers up to which their regions are sent to every task (some 40 bytes each).
+BROADCAST_SUPPLIERS = 1_000_000
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per item and day with a sale: the sums that history and inventory are made of.
+
+    Lines are summed up by product, region's number and day, all of them numbers, so that sums are hashed and
+    no line is sorted for them; names come to the sums.  Regions that share an item's number are summed up once more."""
     line = read_parquet(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", F.col("l_shipdate").cast("date").alias("date"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
     part = read_parquet(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 10).cast("int").alias("product_unique_id"))
     supplier = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = read_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    few = supplier.count() <= BROADCAST_SUPPLIERS
+    nation = read_parquet(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("int").alias("rk"))
     region = read_parquet(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("rk"), F.col("r_name").alias("warehouse"))
-    place = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("rk"))
-    joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.withColumn("unique_id", (F.col("product_unique_id") * 10 + F.col("rk")).cast("int"))
+    place = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "rk")
+    placed = line.join(F.broadcast(place) if few else place, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = placed.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    slots = [f"_d{i}" for i in range(len(DISCOUNTS))]
+    most = [F.max(F.when(F.col("l_linenumber") == i + 1, F.col("l_discount") * (-1 if i == 4 else 1))).alias(c) for i, c in enumerate(slots)]
+    sums = joined.groupBy("product_unique_id", "rk", "date").agg(F.sum("l_quantity").alias("sold"), F.sum("cents").alias("cents"), *most)
+    named = sums.join(region, "rk").withColumn("unique_id", (F.col("product_unique_id") * 10 + F.col("rk")).cast("int"))
+    return named.groupBy("unique_id", "date").agg(
+        F.min("product_unique_id").alias("product_unique_id"), F.min("warehouse").alias("warehouse"), F.sum("sold").alias("sold"), F.sum("cents").alias("cents"),
+        *[F.max(c).alias(c) for c in slots],
+    )
 
 
 def history(spark: SparkSession, sf_dir: str, holes: bool = True) -> DataFrame:
     """One row per (``unique_id``, ``date``) with a sale."""
-    discounts = [
-        F.coalesce(F.max(F.when(F.col("l_linenumber") == i + 1, F.col("l_discount") * (-1 if i == 4 else 1))), F.lit(0.0)).alias(c)
-        for i, c in enumerate(DISCOUNTS)
-    ]
-    sold = F.sum("l_quantity")
-    full = _lines(spark, sf_dir).groupBy("unique_id", "date").agg(
-        F.min("warehouse").alias("warehouse"), sold.alias("sales"), (F.sum("cents") / (sold * 100)).alias("sell_price_main"), *discounts
+    discounts = [F.coalesce(F.col(f"_d{i}"), F.lit(0.0)).alias(c) for i, c in enumerate(DISCOUNTS)]
+    full = daily(spark, sf_dir).select(
+        "unique_id", "date", "warehouse", F.col("sold").alias("sales"), (F.col("cents") / (F.col("sold") * 100)).alias("sell_price_main"), *discounts
     )
     if not holes:
         return full
@@ -61,7 +74,7 @@ def history(spark: SparkSession, sf_dir: str, holes: bool = True) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = F.min("product_unique_id")
     named = [F.concat(F.lit(f"L{i}_"), (product % m).cast("string")).alias(f"L{i}_category_name_en") for i, m in ((1, 3), (2, 5), (3, 7), (4, 4))]
-    return _lines(spark, sf_dir).groupBy("unique_id").agg(product.alias("product_unique_id"), F.min("warehouse").alias("warehouse"), *named)
+    return daily(spark, sf_dir).groupBy("unique_id").agg(product.alias("product_unique_id"), F.min("warehouse").alias("warehouse"), *named)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -475,3 +475,14 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, -3.0, 0.1, None), (300, 4.0, 1e9 + 0.123, None)], "a int, b double, c double, d double")
     got = {r["column"]: r.kind for r in profile(df, ["a", "b", "c", "d"]).collect()}
     assert got == {"a": "uint16", "b": "int8", "c": "float32", "d": "uint8"}
+
+
+def test_the_inventory_reads_no_line_once_the_history_is_kept(spark, sf):
+    """Both come from the same kept sums, so the lines are read, joined and summed up once."""
+    from tallyfold.plans import queries as plans
+    from tallyfold.sources import fixtures
+
+    spark.catalog.clearCache()
+    plans._history(spark, sf)
+    leaves = fixtures.inventory(spark, sf)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())} == {"InMemoryRelation"}
